@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -35,9 +36,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder as Parquet and reads it again; this cuts its lineage and outlives executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    release()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any longer."""
+    gc.collect()
+    SparkSession.getActiveSession().sparkContext._jvm.System.gc()
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets, without copies; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

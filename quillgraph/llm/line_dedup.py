@@ -38,7 +38,7 @@ def line_sets(raw: np.ndarray, off: np.ndarray, unique: bool):
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
     """(p1, p2, lines array<long>) of the documents that lose lines."""
     rows = keyed(docs, id_col, text_col).select("p1", "p2", F.coalesce(F.col("__text"), F.lit("")).alias("text"))
-    items, nodes, links = linked(rows, line_sets, num, den)
+    items, nodes, links = linked(rows, line_sets, num, den, signed=True)
     best = links.groupBy("k").agg(F.min(F.struct("p1", "p2", "p3")).alias("b"))
     late = nodes.select("k", "w", F.struct("p1", "p2", "p3").alias("own")).join(best, "k", "left").select("k", "own", F.coalesce(F.col("b") < F.col("own"), F.lit(False)).alias("all"), "w").where("w > 1 or all")
     gone = items.join(late, "k").where(F.col("all") | (F.struct("p1", "p2", "p3") != F.col("own")))

@@ -3,7 +3,7 @@
 1. A count sketch over all tokens (fixed length, summed over tasks) gives one global order: rare tokens first.
 2. Each item gives its set's key and the set's prefix in that order; equal sets share a key and are one node.
 3. Prefix tokens are shuffled once; runs of equal tokens give candidate pairs that pass the length filter, the
-   index-prefix filter and the positional filter. A pair is given at the first token of each stretch of common
+   index-prefix filter, the positional filter and, for small sets, a bound by parities of hash classes. A pair is given at the first token of each stretch of common
    tokens only (both predecessors are compared), so near copies don't repeat it for every common token.
 4. Candidates get a label by their smallest neighbour; labels are packed into cells of about CELL tokens, larger
    ones are split into pairs of blocks. Only sets of candidates (a Bloom filter of bounded size) travel to cells.
@@ -88,11 +88,21 @@ def items(docs: DataFrame, extract: Extract, num: int, den: int, common: np.ndar
                 best = order[positions(np.cumsum(c) - c, np.arange(len(take)), pre[take])] if len(take) else order
                 data = sets[at][best].astype("<u8")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p1[a:b][row]), pa.array(p2[a:b][row]), pa.array(no), pa.array(n), pa.array(k), binary(data, po)],
-                    ["p1", "p2", "p3", "n", "k", "prefix"],
+                    [pa.array(p1[a:b][row]), pa.array(p2[a:b][row]), pa.array(no), pa.array(n), pa.array(k), pa.array(parities(sets, so)), binary(data, po)],
+                    ["p1", "p2", "p3", "n", "k", "sig", "prefix"],
                 )
 
-    return docs.select("p1", "p2", "text").mapInArrow(item, "p1 long, p2 long, p3 long, n long, k long, prefix binary")
+    return docs.select("p1", "p2", "text").mapInArrow(item, "p1 long, p2 long, p3 long, n long, k long, sig long, prefix binary")
+
+
+def parities(sets: np.ndarray, so: np.ndarray) -> np.ndarray:
+    """Of each set, for 64 hash classes, whether an odd number of tokens is in the class. Two sets differ in at
+    least as many tokens as these bits differ, which bounds their overlap from above."""
+    out = np.zeros(len(so) - 1, np.uint64)
+    some = np.flatnonzero(np.diff(so) > 0)
+    if len(some):
+        out[some] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(sets) >> np.uint64(58)), so[some])
+    return out.view(np.int64)
 
 
 def ordered(seg: np.ndarray, rank: np.ndarray, inner: np.ndarray) -> np.ndarray:
@@ -109,27 +119,31 @@ def binary(data: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(kind, len(off) - 1, [None, pa.py_buffer(o.astype(width)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def postings(found: DataFrame) -> DataFrame:
-    """(token, prev, k, meta) of each prefix token: prev is the one before it (0 for the first), meta holds n and the position."""
+def postings(found: DataFrame, signed: bool) -> DataFrame:
+    """(token, prev, k, meta) of each prefix token: prev is the one before it (0 for the first), meta holds n and the position.
+
+    signed: each also carries its set's parities; they tell small sets apart and are of no use for large ones.
+    """
+    own = ["k", "n", "sig"] if signed else ["k", "n"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = utf8(batch.column(2))
+            raw, off = utf8(batch.column(len(own)))
             for a, b in pieces(off, 1 << 20):
                 tokens = np.frombuffer(raw[off[a] : off[b]].tobytes(), "<i8")
                 c = np.diff(off[a : b + 1]) // 8
-                k, n = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False)[a:b], c) for i in (0, 1))
+                k, n, *sig = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False)[a:b], c) for i in range(len(own)))
                 pos = np.arange(len(tokens)) - np.repeat(np.cumsum(c) - c, c)
                 prev = np.concatenate([[0], tokens[:-1]]) if len(tokens) else tokens
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.where(pos == 0, 0, prev)), pa.array(k), pa.array((n << POS) | pos)], ["token", "prev", "k", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.where(pos == 0, 0, prev)), pa.array(k), pa.array((n << POS) | pos), *map(pa.array, sig)], ["token", "prev", "k", "meta", *own[2:]])
 
-    return found.where("octet_length(prefix) > 0").select("k", "n", "prefix").mapInArrow(spread, "token long, prev long, k long, meta long")
+    return found.where("octet_length(prefix) > 0").select(*own, "prefix").mapInArrow(spread, "token long, prev long, k long, meta long" + ", sig long" * signed)
 
 
 def candidates(post: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs (a, b) of keys that share a prefix token and pass the filters."""
 
-    def pair(t, prev, k, n, pos) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pair(t, prev, k, n, pos, sig=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows are sorted by token and n; i meets i + 1, i + 2, ... as long as the token and the length filter allow."""
         index = pos < n - -(-2 * num * n // (num + den)) + 1
         i, d = np.flatnonzero(index[:-1]), 1
@@ -142,6 +156,8 @@ def candidates(post: DataFrame, num: int, den: int) -> DataFrame:
             i, j = i[go], j[go]
             need = -(-num * (n[i] + n[j]) // (num + den))
             ok = (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need) & ((prev[i] != prev[j]) | (pos[i] == 0) | (pos[j] == 0)) & (k[i] != k[j])
+            if sig is not None:
+                ok &= np.bitwise_count(sig[i] ^ sig[j]) <= n[i] + n[j] - 2 * need
             outs.append((np.minimum(k[i[ok]], k[j[ok]]), np.maximum(k[i[ok]], k[j[ok]])))
             held += int(ok.sum())
             if held > 500_000:
@@ -155,10 +171,10 @@ def candidates(post: DataFrame, num: int, den: int) -> DataFrame:
         rest = None
 
         def done(x, final):
-            t, prev, k, meta = x
+            t, prev, k, meta, *sig = x
             keep = np.ones(len(t), bool)  # equal sets from several tasks
             keep[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (meta[1:] != meta[:-1])
-            t, prev, k, meta = (y[keep] for y in (t, prev, k, meta))
+            t, prev, k, meta, *sig = (y[keep] for y in (t, prev, k, meta, *sig))
             cut = len(t) if final else int(np.searchsorted(t, t[-1]))
             near = np.zeros(cut, bool)
             if cut:
@@ -167,15 +183,15 @@ def candidates(post: DataFrame, num: int, den: int) -> DataFrame:
                 near[:-1] |= same
             at = np.flatnonzero(near)
             found = []
-            for a, b in pair(t[at], prev[at], k[at], meta[at] >> POS, meta[at] & ((1 << POS) - 1)):
+            for a, b in pair(t[at], prev[at], k[at], meta[at] >> POS, meta[at] & ((1 << POS) - 1), *(y[at].view(np.uint64) for y in sig)):
                 u = np.unique(np.stack([a, b], 1), axis=0) if len(a) < 50_000 else unique_pairs(a, b)
                 found.append(pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"]))
-            return found, tuple(y[cut:] for y in (t, prev, k, meta))
+            return found, tuple(y[cut:] for y in (t, prev, k, meta, *sig))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            x = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
             if rest is not None:
                 x = tuple(np.concatenate(y) for y in zip(rest, x))
             found, rest = done(x, False)
@@ -239,6 +255,23 @@ def sets_of(docs: DataFrame, extract: Extract, wanted: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(take, "k long, tokens binary")
 
 
+def overlaps(ia: np.ndarray, ib: np.ndarray, tokens: np.ndarray, off: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs in order of ia, and how many tokens (small numbers) both have."""
+    order = np.argsort(ia, kind="stable")
+    ia, ib = ia[order], ib[order]
+    mark = np.zeros(len(tokens) + 1, np.int32)
+    cuts = np.flatnonzero(np.concatenate([[True], ia[1:] != ia[:-1]])) if len(ia) else np.zeros(0, np.int64)
+    both = np.zeros(len(ia), np.int64)
+    for s, e in zip(cuts, [*cuts[1:], len(ia)]):
+        own = tokens[off[ia[s]] : off[ia[s] + 1]]
+        mark[own] = 1
+        for t in range(s, e, 2000):
+            ys = ib[t : min(e, t + 2000)]
+            both[t : t + len(ys)] = np.add.reduceat(mark[tokens[positions(off[:-1], ys, n)]], np.cumsum(n[ys]) - n[ys])
+        mark[own] = 0
+    return ia, ib, both
+
+
 def verified(num: int, den: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Of one cell: pairs (a, b) and sets (k, w, p1, p2, p3, tokens) to a row per linked node."""
 
@@ -257,20 +290,8 @@ def verified(num: int, den: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             x, y = ia[s : s + 100_000], ib[s : s + 100_000]
             ok[s : s + 100_000] = np.minimum(ranges[x], ranges[y]).sum(1) * (num + den) >= num * (n[x] + n[y])
         ia, ib = ia[ok], ib[ok]
-        order = np.argsort(ia, kind="stable")
-        ia, ib = ia[order], ib[order]
-        local = np.unique(tokens, return_inverse=True)[1]
-        mark = np.zeros(len(tokens) + 1, np.int32)
-        cuts = np.flatnonzero(np.concatenate([[True], ia[1:] != ia[:-1]])) if len(ia) else np.zeros(0, np.int64)
-        link = np.zeros(len(ia), bool)
-        for s, e in zip(cuts, [*cuts[1:], len(ia)]):
-            own = local[off[ia[s]] : off[ia[s] + 1]]
-            mark[own] = 1
-            for t in range(s, e, 2000):
-                ys = ib[t : min(e, t + 2000)]
-                both = np.add.reduceat(mark[local[positions(off[:-1], ys, n)]], np.cumsum(n[ys]) - n[ys])
-                link[t : t + len(ys)] = both * (num + den) >= num * (n[ia[s]] + n[ys])
-            mark[own] = 0
+        ia, ib, both = overlaps(ia, ib, np.unique(tokens, return_inverse=True)[1], off, n)
+        link = both * (num + den) >= num * (n[ia] + n[ib])
         a, b = ia[link], ib[link]
         x, y = np.concatenate([a, b]), np.concatenate([b, a])
         total = np.bincount(x, weights=w[y], minlength=len(keys)).astype(np.int64)
@@ -287,17 +308,11 @@ def verified(num: int, den: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return cell
 
 
-def linked(docs: DataFrame, extract: Extract, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links of sets whose Jaccard similarity is at least num / den.
+def cells(pairs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidate pairs (a, b) with cells (c1, c2); the members (k, d1, d2, w, p1, p2, p3) that each cell needs; all nodes with pairs.
 
-    docs has p1 long, p2 long and text, none of them null. Gives (items, nodes, links): items (p1, p2, p3, n, k),
-    a row per set; nodes (k, n, w, p1, p2, p3), a row per different set with its number of items and smallest
-    position; links (k, w, p1, p2, p3, root), rows of nodes with a link: w items linked through other sets, the
-    smallest position among them, and an edge k-root that keeps components together.
+    nodes: k, n (size), w, p1, p2, p3.
     """
-    found = stored(items(docs, extract, num, den, counts(docs, extract)), "items")
-    nodes = found.where("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.count("*").alias("w"), F.min(F.struct("p1", "p2", "p3")).alias("p")).select("k", "n", "w", "p.*")
-    pairs = stored(candidates(postings(found), num, den), "pairs")
     ends = pairs.select(F.col("a").alias("k"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("k"), F.col("a").alias("o")))
     labels = stored(ends.groupBy("k").agg(F.least(F.min("o"), F.col("k")).alias("label")).join(nodes, "k"), "labels")
     size = labels.agg(F.count("*").alias("n"), F.sum("n").alias("tokens")).first()
@@ -318,7 +333,22 @@ def linked(docs: DataFrame, extract: Extract, num: int, den: int) -> tuple[DataF
     members = celled.select(F.explode(F.array("a", "b")).alias("k"), "c1", "c2").distinct()
     members = members.join(labels.select("k", "w", "p1", "p2", "p3"), "k")
     members = members.withColumnsRenamed({"c1": "d1", "c2": "d2"})
-    shipped = members.join(sets_of(docs, extract, bloom(labels, size["n"])), "k")
+    return celled, members, labels
+
+
+def linked(docs: DataFrame, extract: Extract, num: int, den: int, signed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of sets whose Jaccard similarity is at least num / den.
+
+    docs has p1 long, p2 long and text, none of them null. Gives (items, nodes, links): items (p1, p2, p3, n, k),
+    a row per set; nodes (k, n, w, p1, p2, p3), a row per different set with its number of items and smallest
+    position; links (k, w, p1, p2, p3, root), rows of nodes with a link: w items linked through other sets, the
+    smallest position among them, and an edge k-root that keeps components together.
+    """
+    found = stored(items(docs, extract, num, den, counts(docs, extract)), "items")
+    nodes = found.where("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.count("*").alias("w"), F.min(F.struct("p1", "p2", "p3")).alias("p")).select("k", "n", "w", "p.*")
+    pairs = stored(candidates(postings(found, signed), num, den), "pairs")
+    celled, members, labels = cells(pairs, nodes)
+    shipped = members.join(sets_of(docs, extract, bloom(labels, labels.count())), "k")
     out = celled.groupBy("c1", "c2").cogroup(shipped.groupBy("d1", "d2")).applyInArrow(verified(num, den), "k long, w long, p1 long, p2 long, p3 long, root long")
     links = stored(out, "links")
-    return found.drop("prefix"), nodes, links
+    return found.drop("prefix", "sig"), nodes, links
