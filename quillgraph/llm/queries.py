@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat, line_dedup, ngram_jaccard
+from quillgraph.llm import bpe, chat, lattice, licenses, line_dedup, ngram_jaccard, quality, repair
 from quillgraph.llm.sql import ORACLES
 
 
@@ -15,6 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, shards = repair.store_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return repair.read_shards(spark, folder, shards)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = r"\### Assistant: </turn> ok"
     extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(F.lit("user"), F.lit("assistant"))).alias("role"), F.lit(told).alias("text")).select("conv_id", F.when(F.col("role") == "user", 0).otherwise(1).cast("long").alias("turn"), "role", "text")
@@ -35,13 +52,32 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path, pattern())
+    return bpe.decode(ids, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_lattice_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op3_ngram_jaccard, op5_line_dedup)}
+    return {f.__name__: f for f in (op1_repair_tokens, op2_chat_format, op3_ngram_jaccard, op4_license_scan, op5_line_dedup, op6_quality_qda, op8_byte_bpe, op9_lattice_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
