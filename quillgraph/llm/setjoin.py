@@ -5,6 +5,7 @@
 3. Prefix tokens are shuffled once; runs of equal tokens give candidate pairs that pass the length filter, the
    index-prefix filter, the positional filter and, for small sets, a bound by parities of hash classes. A pair is given at the first token of each stretch of common
    tokens only (both predecessors are compared), so near copies don't repeat it for every common token.
+   Pairs of large sets then have to pass an overlap bound from both whole prefixes.
 4. Candidates get a label by their smallest neighbour; labels are packed into cells of about CELL tokens, larger
    ones are split into pairs of blocks. Only sets of candidates (a Bloom filter of bounded size) travel to cells.
 5. In a cell a pair passes the suffix filter (overlap bound from hash-range counts) and is verified once.
@@ -255,6 +256,28 @@ def sets_of(docs: DataFrame, extract: Extract, wanted: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(take, "k long, tokens binary")
 
 
+def bounded(num: int, den: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of one cell: the pairs that may still reach the threshold, from both sets' whole prefixes.
+
+    Of two sets let x be the one whose prefix ends first in the common order. A common token is in both prefixes or
+    comes after x's, so the overlap is at most the prefixes' overlap plus what x has after its prefix.
+    """
+
+    def cell(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        keys, first = np.unique(sets.column("k").to_numpy(), return_index=True)
+        raw, off = utf8(sets.column("tokens").combine_chunks().take(pa.array(first)))
+        tokens = np.unique(np.frombuffer(raw.tobytes(), "<u8"), return_inverse=True)[1]
+        off = off // 8
+        c = np.diff(off)
+        n = sets.column("n").to_numpy()[first]
+        ia, ib = (np.searchsorted(keys, pairs.column(x).to_numpy()) for x in ("a", "b"))
+        ia, ib, both = overlaps(ia, ib, tokens, off, c)
+        ok = (both + np.maximum(n[ia] - c[ia], n[ib] - c[ib])) * (num + den) >= num * (n[ia] + n[ib])
+        return pa.table({"a": keys[ia[ok]], "b": keys[ib[ok]]})
+
+    return cell
+
+
 def overlaps(ia: np.ndarray, ib: np.ndarray, tokens: np.ndarray, off: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs in order of ia, and how many tokens (small numbers) both have."""
     order = np.argsort(ia, kind="stable")
@@ -347,6 +370,11 @@ def linked(docs: DataFrame, extract: Extract, num: int, den: int, signed: bool =
     found = stored(items(docs, extract, num, den, counts(docs, extract)), "items")
     nodes = found.where("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.count("*").alias("w"), F.min(F.struct("p1", "p2", "p3")).alias("p")).select("k", "n", "w", "p.*")
     pairs = stored(candidates(postings(found, signed), num, den), "pairs")
+    if not signed:  # large sets: only pairs whose prefixes leave a chance make whole sets travel
+        celled, members, _ = cells(pairs, nodes)
+        heads = found.where("octet_length(prefix) > 0").select("k", "n", F.col("prefix").alias("tokens"))
+        near = celled.groupBy("c1", "c2").cogroup(members.join(heads, "k").groupBy("d1", "d2")).applyInArrow(bounded(num, den), "a long, b long")
+        pairs = stored(near, "near")
     celled, members, labels = cells(pairs, nodes)
     shipped = members.join(sets_of(docs, extract, bloom(labels, labels.count())), "k")
     out = celled.groupBy("c1", "c2").cogroup(shipped.groupBy("d1", "d2")).applyInArrow(verified(num, den), "k long, w long, p1 long, p2 long, p3 long, root long")
