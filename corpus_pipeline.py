@@ -1,8 +1,67 @@
-"""A corpus cleaned in stages."""
+"""A training corpus from raw documents, in five stages; each works on the table that the one before it wrote.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last have the columns of documents. A stage
+that changes a text also sets n_chars. A document whose lines are all copies of earlier lines goes with them; rows
+that repeat a doc_id stand or fall together.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgraph.llm import bpe, line_dedup, ngram_jaccard, quality, tiling
+from quillgraph.llm.common import stored
+from quillgraph.llm.queries import pattern, table, vocabulary
+
+
+def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat earlier ones."""
+    done = line_dedup.dedup_lines(docs)
+    left = done.where("n_removed = 0 or trim(text) != ''")
+    size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", size).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    found = ngram_jaccard.similar_documents(docs)
+    return docs.join(found.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return tiling.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of byte-level BPE."""
+    done = bpe.encode(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), pattern())
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", accept_quality),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark),
+    ("byte-level BPE encoding and decoding", encode_tokens),
+]
+
+#: SQL can express neither the fitted classifier nor the tokenizer's merges
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage{i}")
+    return docs

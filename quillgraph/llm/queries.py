@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, chat, lattice, licenses, line_dedup, ngram_jaccard, quality, repair
+from quillgraph.llm import bpe, chat, lattice, licenses, line_dedup, ngram_jaccard, quality, repair, tiling, warc
 from quillgraph.llm.sql import ORACLES
 
 
@@ -66,6 +66,11 @@ def op6_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.captures(spark, index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(table(spark, sf_dir, "documents"), path, pattern())
@@ -76,8 +81,12 @@ def op9_lattice_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_tokens, op2_chat_format, op3_ngram_jaccard, op4_license_scan, op5_line_dedup, op6_quality_qda, op8_byte_bpe, op9_lattice_near_dup)}
+    return {f.__name__: f for f in (op1_repair_tokens, op2_chat_format, op3_ngram_jaccard, op4_license_scan, op5_line_dedup, op6_quality_qda, op7_warc_merge, op8_byte_bpe, op9_lattice_near_dup, op10_string_tiling)}
 
 
 def oracle_sql() -> dict[str, str]:
