@@ -21,7 +21,6 @@ import json
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import shared_dir
+from quillgraph.llm import bytewords as W
+from quillgraph.llm.common import pieces, shared_dir, utf8
 
 BLOCK, LEAST, ROUNDS = 1 << 18, 12, 4
 MAGIC = b"QGRP0001"
 NO_ID = -(1 << 63)
-#: words that each worker remembers
-MEMORY = 600_000
+#: slots and ids of each worker's table of words
+SLOTS, MOST = 1 << 20, 1 << 23
 
 
 def pack(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, least: int = LEAST, base: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,13 +124,20 @@ class Block:
         self.head, self.doc_ids, self.first_token, self.first = h, take("<i8", h["docs"]), take("<i8", h["docs"]), take("<i8", h["docs"])
         self.rules, self.size, self.sym = take("<u4", 2 * h["rules"]).reshape(-1, 2), take("<u4", h["rules"]), take(h["wide"], h["symbols"])
         self.flat, self.start, _ = expansions(self.rules.astype(np.int32), h["top"])
-        self.all_size = np.concatenate([np.ones(h["top"], np.int64), self.size.astype(np.int64)])
-        self.all_start = np.concatenate([np.arange(h["top"]), h["top"] + self.start])
+        self.all_size = np.concatenate([np.ones(h["top"], np.int32), self.size.astype(np.int32)])
+        self.all_start = np.concatenate([np.arange(h["top"], dtype=np.int32), (h["top"] + self.start).astype(np.int32)])
         self.all_flat = np.concatenate([np.arange(h["top"], dtype=np.int32), self.flat])
 
     def ends(self, i: int) -> int:
         return int(self.first[i + 1]) if i + 1 < len(self.first) else len(self.sym)
 
+    def all_tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the block, and each document's number of ids."""
+        n = self.all_size[self.sym]
+        ends = np.cumsum(n)
+        ids = self.all_flat[np.repeat(self.all_start[self.sym] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(np.append(self.first_token, len(ids)))
+
     def tokens(self, i: int, a: int = 0, b: int | None = None) -> np.ndarray:
         sym = self.sym[self.first[i] : self.ends(i)].astype(np.int64)
         n = self.all_size[sym]
@@ -147,62 +154,120 @@ class Block:
         return out[a:b]
 
 
-_WORDS: dict[str, tuple] = {}
 #: letters that stand for bytes over 127 in vocabularies of byte-level BPE
 BYTE_LETTERS = {b: c for b, c in zip([*range(0x80, 0xA1), 0xAD], range(0x122, 0x144))}
+LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+
+SIGN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
 
+class WordTable:
+    """The ids of words met so far, by the words' 64-bit hashes: a direct-mapped table and one array of ids.
 
-def encode_words(path: str, texts: list[str], end_id: int) -> list[np.ndarray]:
-    """Each text's ids, then end_id. The tokenizer's words never reach over white space, so each run between
-    spaces or line feeds is encoded by the library once, as long as the worker remembers it."""
-    if path not in _WORDS:
+    The tokenizer's pretokens never reach over ASCII white space, nor from a Latin letter to the signs that end a
+    word, and it lower-cases; so the library encodes each word once as long as the table holds it.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        bare = Tokenizer(t.model)
-        bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        _WORDS[path] = (t, bare, {"": b""})
-    tokenizer, bare, known = _WORDS[path]
-    if len(known) > MEMORY:
-        known.clear()
-        known[""] = b""
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    got = [list(map(known.get, words)) for words in split]
-    missing = {w for words, g in zip(split, got) if None in g for w, x in zip(words, g) if x is None}
-    # a plain word in other letter case, or with one stop or comma behind it, has the ids of its parts
-    plain = {w: p for w in missing if (p := plain_parts(w))}
-    new = list({p[0] for p in plain.values() if p[0] not in known})
-    for a in range(0, len(new), 20_000):  # such words need the library's merges only, not its normaliser
-        part = new[a : a + 20_000]
-        got_new = bare.encode(" ".join(part).encode().decode("latin-1").translate(BYTE_LETTERS), add_special_tokens=False)
-        ids, word = np.array(got_new.ids, "<u4"), np.array(got_new.word_ids)
-        cuts = np.searchsorted(word, np.arange(len(part) + 1)) * 4
-        raw = ids.tobytes()
-        known.update((w, raw[x:y]) for w, x, y in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()))
-    new = list({p for w in missing for p in plain.get(w, (w,)) if p not in known})
-    for a in range(0, len(new), 20_000):
-        part = new[a : a + 20_000]
-        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-    known.update((w, b"".join(map(known.__getitem__, p))) for w, p in plain.items())
-    tail = struct.pack("<I", end_id)
-    out = []
-    for words, g in zip(split, got):
-        if None in g:
-            g = map(known.__getitem__, words)
-        out.append(np.frombuffer(b"".join([*g, tail]), "<u4"))
+        self.full = Tokenizer.from_file(path)
+        self.full.encode_special_tokens = True
+        self.bare = Tokenizer(self.full.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.reset()
+
+    def reset(self) -> None:
+        self.keys, self.start, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.flat, self.used = np.zeros(1 << 20, np.uint16), 0
+
+    def encode(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, each text's followed by end_id, and their numbers."""
+        starts, ends, woff = W.find_words(raw, off)
+        cut = tails(raw, starts, ends)
+        tail = (cut > 0).astype(np.int64)
+        each = np.repeat(np.arange(len(starts)), 1 + tail)
+        shift = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(1 + tail, out=shift[1:])
+        second = np.ones(len(each), bool)
+        second[shift[:-1]] = False
+        begin, stop = np.where(second, ends[each] - cut[each], starts[each]), np.where(second, ends[each], ends[each] - cut[each])
+        h = W.hash_words(raw, begin, stop)
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        place, size = self.start[slot], self.size[slot]
+        miss = np.flatnonzero(self.keys[slot] != h)
+        if len(miss):
+            new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            at = miss[first]
+            text = raw.tobytes()
+            fresh, where, n = self.ids_of([text[x:y].decode() for x, y in zip(begin[at].tolist(), stop[at].tolist())])
+            if self.used + len(fresh) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(fresh)), np.uint16)])
+            self.flat[self.used : self.used + len(fresh)] = fresh
+            where += self.used
+            self.used += len(fresh)
+            place[miss], size[miss] = where[back], n[back]
+            s = (new & np.uint64(SLOTS - 1)).astype(np.int64)
+            self.keys[s], self.start[s], self.size[s] = new, where, n
+        total = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=total[1:])
+        bounds = total[shift[woff]]
+        counts = np.diff(bounds) + 1
+        ids = self.flat[np.repeat(place - total[:-1], size) + np.arange(total[-1])]
+        out = np.insert(ids, bounds[1:], end_id)
+        if self.used > MOST:
+            self.reset()
+        return out, counts
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words in some order, and each word's place among them and number of ids."""
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, w in enumerate(words):
+            kinds[2 if not w.isalpha() else 0 if w.isascii() else 1 if max(w) < "\u0250" and "\u0130" not in w else 2].append(i)
+        flat, where, size, at = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+        for kind, own in enumerate(kinds):
+            for a in range(0, len(own), 20_000):
+                part = own[a : a + 20_000]
+                if kind < 2:  # words of Latin letters need the library's merges only, not its normaliser
+                    text = " ".join([words[i] for i in part]).lower()
+                    if kind:
+                        text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+                    found = self.bare.encode(text, add_special_tokens=False)
+                    ids, word = np.array(found.ids, np.uint16), np.array(found.word_ids)
+                    n = np.bincount(word, minlength=len(part))
+                else:
+                    got = [e.ids for e in self.full.encode_batch_fast([words[i] for i in part], add_special_tokens=False)]
+                    n = np.array([len(x) for x in got])
+                    ids = np.array([y for x in got for y in x], np.uint16)
+                size[part], where[part] = n, at + np.cumsum(n) - n
+                at += len(ids)
+                flat.append(ids)
+        return np.concatenate(flat), where, size
+
+
+def tails(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 8) -> np.ndarray:
+    """Of each word, the length of the ASCII signs that end it, if a Latin letter stands before them, else 0."""
+    out = np.zeros(len(starts), np.int64)
+    at = np.flatnonzero((ends - starts > 1) & SIGN[raw[ends - 1]])
+    for k in range(1, most + 1):
+        at = at[ends[at] - k > starts[at]]
+        before = raw[ends[at] - k - 1]
+        wide = (ends[at] - k - 2 >= starts[at]) & (before >= 0x80)
+        lead = raw[np.maximum(ends[at] - k - 2, 0)]
+        letter = LETTER[before] | (wide & (lead == 0xC3) & (before != 0x97) & (before != 0xB7))
+        out[at[letter]] = k
+        at = at[SIGN[before]]
     return out
 
 
-def plain_parts(word: str) -> tuple[str, ...] | None:
-    """A word of Latin letters in lower case, and the stop or comma after it, if that is all there is to it."""
-    end = word[-1]
-    base = word[:-1] if end == "," or end == "." else word
-    if not base.isalpha() or max(base) >= "\u0250" or "\u0130" in base:
-        return None
-    low = base.lower()
-    return (low, end) if base is not word else (low,)
+_TABLES: dict[str, WordTable] = {}
+
+
+def word_table(path: str) -> WordTable:
+    if path not in _TABLES:
+        _TABLES[path] = WordTable(path)
+    return _TABLES[path]
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> list[dict]:
@@ -217,6 +282,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         name, temp = f"{root}/{shard:08d}.qgrp", f"{root}/_{shard:08d}-{TaskContext.get().taskAttemptId()}"
         out, places, docs_n, tokens_n = None, [], 0, 0
         ids, parts, held = [], [], 0
+        table = word_table(tokenizer)
 
         def flush():
             nonlocal ids, parts, held, docs_n, tokens_n
@@ -233,12 +299,15 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(temp)
                 out.write(MAGIC)
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a in range(0, len(keys), 256):
-                for key, one in zip(keys[a : a + 256], encode_words(tokenizer, [t or "" for t in texts.slice(a, 256).to_pylist()], end_id)):
+            keys, (raw, off) = batch.column(0).to_pylist(), utf8(batch.column(1))
+            for a, b in pieces(off):
+                got, n = table.encode(raw[off[a] : off[b]], off[a : b + 1] - off[a], end_id)
+                at = 0
+                for key, c in zip(keys[a:b], n.tolist()):
                     ids.append(NO_ID if key is None else key)
-                    parts.append(one)
-                    held += len(one)
+                    parts.append(got[at : at + c])
+                    at += c
+                    held += c
                     if held >= BLOCK:
                         flush()
         if out is None:
@@ -279,8 +348,8 @@ def read_shards(spark: SparkSession, folder: str, shards: list[dict], digest: bo
             for row in batch.to_pylist():
                 at = row["base"]
                 for block in blocks(folder, row["path"]):
-                    ids = [block.tokens(i).astype("<u4") for i in range(len(block.doc_ids))]
-                    n = np.array([len(x) for x in ids])
+                    flat, n = block.all_tokens()
+                    ids = np.split(flat.astype("<u4"), np.cumsum(n)[:-1])
                     start = at + np.cumsum(n) - n
                     at += int(n.sum())
                     last = pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()) if digest else pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
