@@ -2,9 +2,10 @@
 
 A table projects unit vectors to blocks of eight orthonormal directions and decodes each block to its nearest E8
 point; all blocks' points form the cell. Besides its own cell a vector looks into cells in which some blocks take
-their second-nearest point. Vectors in one bucket, one of them at home there, are a candidate pair if their 64 sign
-bits differ in few places; each candidate's cosine is computed once, in double precision. The number of blocks grows
-with the logarithm of the number of vectors, so that buckets don't grow with the table.
+their second-nearest point. In a bucket the smallest vector leads those whose 64 sign bits differ from its own in few
+places, then the next one that is left, so that a bucket gives no more rows than it holds. Vectors that leaders
+connect form a group; within a group every pair's cosine is computed once, in double precision, by blocks. The number
+of lattice blocks grows with the logarithm of the number of vectors, so that buckets don't grow with the table.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite numbers have no
 links and stay alone; equal vectors are one node, counted by their number; a null id sorts last and is null in the
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 from quillgraph.llm.bytewords import mix
 from quillgraph.llm.common import stored
 from quillgraph.llm.components import components, local_roots
-from quillgraph.llm.setjoin import cells, unique_pairs
+from quillgraph.llm.setjoin import unique_pairs
 
 LAST = (1 << 63) - 1
+#: vectors of a group that are compared at once with another such block
+BLOCK = 4096
 
 
 def nearest_e8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +58,7 @@ def nearest_e8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return stack[by[0], rows].astype(np.int64), stack[by[1], rows].astype(np.int64)
 
 
-def signatures(v: np.ndarray, blocks: int, tables: int, scale: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(v: np.ndarray, blocks: int, tables: int, scale: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Of unit vectors: bucket keys (rows, tables, 2 ** blocks; the first of each table is home) and 64 sign bits."""
     d = v.shape[1]
     r = np.random.default_rng(seed)
@@ -74,10 +77,10 @@ def signatures(v: np.ndarray, blocks: int, tables: int, scale: float, seed: int
                 total = mix(total ^ keys[b][m >> b & 1])
             out[:, t, m] = total
     signs = (v @ r.standard_normal((d, 64))) > 0
-    return out, (signs.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64), signs
+    return out, (signs.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, blocks: int | None = None, tables: int = 8, scale: float = 0.85, differ: int = 22) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, blocks: int | None = None, tables: int = 8, scale: float = 0.85, differ: int = 20) -> DataFrame:
     """A row per vector: vec_id, n_links (others with a found cosine of at least the bound), component_id, kept."""
     vector = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     valid = F.coalesce((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -96,50 +99,54 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
-                keys, sim, _ = signatures(unit(part.column(1), d), b, tables, scale)
+                keys, sim = signatures(unit(part.column(1), d), b, tables, scale)
                 k = part.column(0).to_numpy(zero_copy_only=False)
                 each = keys.shape[1] * keys.shape[2]
-                home = np.tile(np.arange(keys.shape[2]) == 0, len(k) * keys.shape[1])
-                flat = keys.reshape(-1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(k, each)), pa.array(np.repeat(sim.view(np.int64), each)), pa.array(home)], ["bucket", "k", "sim", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(k, each)), pa.array(np.repeat(sim.view(np.int64), each))], ["bucket", "k", "sim"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
-        def pairs(t, k, sim, home) -> Iterator[pa.RecordBatch]:
-            i, step, outs, held = np.arange(max(0, len(t) - 1)), 1, [], 0
-            while len(i):
-                i = i[i + step < len(t)]
-                i = i[t[i] == t[i + step]]
-                j = i + step
-                ok = (home[i] | home[j]) & (k[i] != k[j])
-                ok[ok] = np.bitwise_count(sim[i[ok]] ^ sim[j[ok]]) <= differ
-                outs.append((np.minimum(k[i[ok]], k[j[ok]]), np.maximum(k[i[ok]], k[j[ok]])))
-                held += int(ok.sum())
-                step += 1
-                if held and (held > 500_000 or not len(i)):
-                    u = unique_pairs(*(np.concatenate(x) for x in zip(*outs)))
-                    yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"])
-                    outs, held = [], 0
+        def leaders(t, k, sim) -> Iterator[pa.RecordBatch]:
+            """Rows are sorted by bucket and k. A bucket's first row leads those with few other signs; then the next row that is left."""
+            left = np.arange(len(t))
+            while len(left):
+                first = np.ones(len(left), bool)
+                first[1:] = t[left[1:]] != t[left[:-1]]
+                head = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
+                near = np.bitwise_count(sim[left] ^ sim[head]) <= differ
+                hit = near & (k[left] != k[head])
+                if hit.any():
+                    u = unique_pairs(k[head[hit]], k[left[hit]])
+                    yield pa.RecordBatch.from_arrays([pa.array(u[:, 1]), pa.array(u[:, 0])], ["u", "v"])
+                left = left[~near]
 
         for batch in batches:
-            x = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+            x = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
             if rest is not None:
                 x = [np.concatenate(y) for y in zip(rest, x)]
             if not len(x[0]):
                 continue
             cut = int(np.searchsorted(x[0], x[0][-1]))
-            yield from pairs(x[0][:cut], x[1][:cut], x[2][:cut].view(np.uint64), x[3][:cut])
+            yield from leaders(x[0][:cut], x[1][:cut], x[2][:cut].view(np.uint64))
             rest = [y[cut:] for y in x]
         if rest is not None:
-            yield from pairs(rest[0], rest[1], rest[2].view(np.uint64), rest[3])
-
-    spread = nodes.select("k", "v").mapInArrow(bucket, "bucket long, k long, sim long, home boolean")
-    pairs = stored(spread.repartition("bucket").sortWithinPartitions("bucket", "k").mapInArrow(meet, "a long, b long").distinct(), "pairs")
-    own = nodes.select("k", F.lit(d).cast("long").alias("n"), "w", "p1", F.lit(0).cast("long").alias("p2"), F.lit(0).cast("long").alias("p3"))
-    celled, members, _ = cells(pairs, own)
-    shipped = members.join(nodes.select("k", "v"), "k")
-    links = stored(celled.groupBy("c1", "c2").cogroup(shipped.groupBy("d1", "d2")).applyInArrow(verified(cosine, d), "k long, w long, root long"), "links")
+            yield from leaders(rest[0], rest[1], rest[2].view(np.uint64))
+
+    spread = nodes.select("k", "v").mapInArrow(bucket, "bucket long, k long, sim long")
+    found = spread.repartition("bucket").sortWithinPartitions("bucket", "k").mapInArrow(lead, "u long, v long").distinct()
+    groups = stored(components(found), "groups")
+    blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    few = max(1, groups.count() // BLOCK)
+    member = groups.select(F.col("node").alias("k"), "root").join(blocks, "root", "left").withColumn("b", F.pmod(F.xxhash64("k"), F.coalesce("blocks", F.lit(1))))
+    # a group of several blocks is compared by pairs of blocks, small groups share cells
+    pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j")))
+    )
+    cell = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("root"), F.lit(few))).otherwise(F.col("root"))
+    placed = member.select("k", "root", "b", cell.alias("c"), F.col("blocks").isNotNull().alias("large"), F.explode(pairs).alias("p")).select("k", "root", "b", "c", "large", "p.i", "p.j")
+    shipped = placed.join(nodes.select("k", "w", "v"), "k")
+    links = stored(shipped.groupBy("c", "large", "i", "j").applyInArrow(verified(cosine, d), "k long, w long, root long"), "links")
     roots = components(links.select(F.col("k").alias("u"), F.col("root").alias("v")))
     lowest = roots.join(nodes.select(F.col("k").alias("node"), "p1"), "node").groupBy("root").agg(F.min("p1").alias("component"))
     known = (
@@ -157,16 +164,28 @@ def unit(column: pa.Array, d: int) -> np.ndarray:
 
 
 def verified(cosine: float, d: int):
-    def cell(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        keys, first = np.unique(sets.column("k").to_numpy(), return_index=True)
-        v = unit(sets.column("v").combine_chunks().take(pa.array(first)), d)
-        w = sets.column("w").to_numpy()[first]
-        ia, ib = (np.searchsorted(keys, pairs.column(c).to_numpy()) for c in ("a", "b"))
-        ok = np.concatenate([np.zeros(0, bool), *((v[ia[s : s + 50_000]] * v[ib[s : s + 50_000]]).sum(1) >= cosine for s in range(0, len(ia), 50_000))])
-        a, b = ia[ok], ib[ok]
-        x, y = np.concatenate([a, b]), np.concatenate([b, a])
-        at = np.unique(x)
-        total = np.bincount(x, weights=w[y], minlength=len(keys)).astype(np.int64)
-        return pa.table({"k": keys[at], "w": total[at], "root": keys[local_roots(a, b, len(keys))[at]]})
+    def cell(rows: pa.Table) -> pa.Table:
+        k, root, b, w, i, j = (rows.column(c).to_numpy() for c in ("k", "root", "b", "w", "i", "j"))
+        order = np.lexsort((k, b, root))
+        k, root, b, w = k[order], root[order], b[order], w[order]
+        v = unit(rows.column("v").combine_chunks().take(pa.array(order)), d)
+        across = len(i) > 0 and i[0] != j[0]
+        total, stars = np.zeros(len(k), np.int64), []
+        cuts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]])) if len(k) else np.zeros(0, int)
+        for s, e in zip(cuts, [*cuts[1:], len(k)]):
+            mid = s + int(np.searchsorted(b[s:e], j[0])) if across else e
+            for x in range(s, mid, 512):
+                y = mid if across else x
+                p, q = np.nonzero(v[x : min(x + 512, mid)] @ v[y:e].T >= cosine)
+                p, q = p + x - s, q + y - s
+                keep = p < q
+                p, q = p[keep], q[keep]
+                total[s:e] += np.bincount(p, weights=w[s + q], minlength=e - s).astype(np.int64) + np.bincount(q, weights=w[s + p], minlength=e - s).astype(np.int64)
+                r = local_roots(p, q, e - s)
+                to = np.flatnonzero(r != np.arange(e - s))
+                stars.append((s + to, s + r[to]))
+        p, q = (np.concatenate(z) for z in zip(*stars)) if stars else (np.zeros(0, int), np.zeros(0, int))
+        at = np.flatnonzero(total)
+        return pa.table({"k": k[at], "w": total[at], "root": k[local_roots(p, q, len(k))[at]]})
 
     return cell
