@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.lineage import cut
+
 COMPLETED = "COMPLETED"
 GROUPS = ("groups", "organizations", "roles", "teams")
 
@@ -32,7 +34,7 @@ def descend(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
     step = roots.join(down, F.col("id") == F.col("dst")).select("user_id", F.col("src").alias("id")).distinct()
     known = None
     for _ in range(depth):
-        step = step.checkpoint() if step.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else step.cache()
+        step = cut(step)
         if step.isEmpty():
             break
         known = step if known is None else known.unionByName(step)

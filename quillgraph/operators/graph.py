@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.config import GENERIC, STRUCTURAL, Config
 from quillgraph.functions import text as T
 from quillgraph.operators.acl import visible_edges
+from quillgraph.operators.lineage import cut
 
 
 def knowledge_graph(edges: DataFrame, entities: DataFrame, acl: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +84,8 @@ def shortest_path(relations: DataFrame, starts: list[str], goals: list[str], mos
         return spark.createDataFrame([], schema)
     if set(starts) & set(goals):
         return spark.createDataFrame([], schema)
-    adj = adjacency(relations).cache()
+    relations = cut(relations.select("src", "dst", "label", "weight"))
+    adj = adjacency(relations)
     hub = hub_threshold(relations).first()["hub"]
     big = degrees(relations).where(F.col("degree") > hub).select("node")
     known = spark.createDataFrame([(s, None, None, 0) for s in starts], "node string, parent string, label string, level int")
@@ -92,7 +94,8 @@ def shortest_path(relations: DataFrame, starts: list[str], goals: list[str], mos
         open_ = frontier if level == 1 else frontier.join(big, "node", "left_anti")
         step = open_.select("node").join(adj, "node").join(known.select(F.col("node").alias("to")), "to", "left_anti")
         best = F.min_by(F.struct("node", "label"), F.struct((F.col("label") == GENERIC).cast("int"), -F.col("weight"), "node", "label"))
-        frontier = step.groupBy("to").agg(best.alias("b")).select(F.col("to").alias("node"), F.col("b.node").alias("parent"), F.col("b.label").alias("label"), F.lit(level).alias("level")).cache()
+        frontier = step.groupBy("to").agg(best.alias("b")).select(F.col("to").alias("node"), F.col("b.node").alias("parent"), F.col("b.label").alias("label"), F.lit(level).alias("level"))
+        frontier = cut(frontier)
         if frontier.isEmpty():
             return spark.createDataFrame([], schema)
         known = known.unionByName(frontier)
@@ -122,15 +125,15 @@ def pagerank(relations: DataFrame, seeds: list[str], alpha: float = 0.85, rounds
     spark = relations.sparkSession
     adj = adjacency(relations).groupBy("node", "to").agg(F.sum("weight").alias("weight"))
     out = adj.groupBy("node").agg(F.sum("weight").alias("total"))
-    arcs = adj.join(out, "node").select("node", "to", (F.col("weight") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))).alias("share")).cache()
+    arcs = adj.join(out, "node").select("node", "to", (F.col("weight") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))).alias("share"))
+    arcs = cut(arcs)
     restart = spark.createDataFrame([(s, 1.0 / len(set(seeds))) for s in sorted(set(seeds))], "node string, mass double")
     rank = restart.select("node", F.col("mass").alias("r"))
-    durable = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     for i in range(rounds):
         moved = rank.join(arcs, "node").select(F.col("to").alias("node"), (alpha * F.col("r") * F.col("share")).alias("r"))
         rank = moved.unionByName(restart.select("node", ((1 - alpha) * F.col("mass")).alias("r"))).groupBy("node").agg(F.sum("r").alias("r"))
         if (i + 1) % cut_every == 0 and i + 1 < rounds:
-            rank = rank.checkpoint() if durable else rank.cache()
+            rank = cut(rank)
     return rank.where(~F.col("node").isin(*seeds) & (F.col("r") > 0)).select("node", F.col("r").alias("score"))
 
 
@@ -210,7 +213,8 @@ def walk_records(edges: DataFrame, acl: DataFrame, seeds: DataFrame, cfg: Config
     df = readable.groupBy("user_id", "e").agg(F.count("*").alias("df"))
     start = seeds.select("query_id", "user_id", F.col("entity").alias("e")).distinct().join(df, ["user_id", "e"])
     by = Window.partitionBy("query_id").orderBy("df", "e")
-    start = start.withColumn("n", F.row_number().over(by)).where(F.col("n") <= cfg.ppr_seeds).drop("n").cache()
+    start = start.withColumn("n", F.row_number().over(by)).where(F.col("n") <= cfg.ppr_seeds).drop("n")
+    start = cut(start)
     live = edges.where(~F.col("label").isin(*STRUCTURAL, GENERIC) & F.col("expired_at").isNull())
     seen = visible_edges(live, acl).select("user_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight")
     pairs = seen.groupBy("user_id", "a", "b").agg(F.max("weight").alias("weight"))
@@ -260,15 +264,14 @@ def walk_records(edges: DataFrame, acl: DataFrame, seeds: DataFrame, cfg: Config
 
 def components(relations: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): the smallest id that a node reaches, by passing on smallest ids and jumping."""
-    adj = adjacency(relations).select("node", "to").where("node != to").distinct().cache()
+    adj = cut(adjacency(relations).select("node", "to").where("node != to").distinct())
     own = adj.select("node").distinct().withColumn("component", F.col("node"))
-    durable = relations.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     for _ in range(rounds):
         low = adj.join(own.select(F.col("node").alias("to"), "component"), "to").groupBy("node").agg(F.min("component").alias("m"))
         new = own.join(low, "node").select("node", F.least("component", "m").alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = new.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
-        new = new.checkpoint() if durable else new.cache()
+        new = cut(new)
         if not new.join(own.withColumnRenamed("component", "old"), "node").where("component != old").limit(1).count():
             return new
         own = new

@@ -80,7 +80,7 @@ def edge_events(spark, sf) -> DataFrame:
     e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k")
     row = e.select("event_id", "event_type", ms("ts").alias("ts"), F.concat(F.lit("u"), "user_id").alias("src"), F.concat(F.lit("k"), k).alias("dst"), "value")
-    asserts = row.where("event_type <> 'error'").select(F.col("event_id").alias("seq"), "ts", F.lit("assert").alias("op"), "src", "dst", F.when(F.col("event_type") == "signup", "works_at").otherwise(F.col("event_type")).alias("label"), F.lit(1.0).alias("weight"), F.col("ts").alias("valid_at"), F.round(F.col("value") / 1000, 4).alias("confidence"), F.concat(F.lit("rec"), F.floor(F.col("event_id") / 4)).alias("record_id"))
+    asserts = row.where("event_type <> 'error'").select(F.col("event_id").alias("seq"), "ts", F.lit("assert").alias("op"), "src", "dst", F.when(F.col("event_type") == "signup", "works_at").otherwise(F.col("event_type")).alias("label"), F.lit(1.0).alias("weight"), F.col("ts").alias("valid_at"), F.col("value").alias("confidence"), F.concat(F.lit("rec"), F.floor(F.col("event_id") / 4)).alias("record_id"))
     null = lambda t: F.lit(None).cast(t)
     ends = row.where("event_type = 'error'").select(F.col("event_id").alias("seq"), "ts", F.lit("expire").alias("op"), "src", null("string").alias("dst"), F.lit("click").alias("label"), null("double").alias("weight"), null("long").alias("valid_at"), null("double").alias("confidence"), null("string").alias("record_id"))
     return asserts.unionByName(ends)
@@ -89,7 +89,7 @@ def edge_events(spark, sf) -> DataFrame:
 EDGES = """
 e as (select event_id as seq, event_type, epoch_ms(ts) as ts, 'u' || user_id as src, 'k' || json_extract_string(props, '$.k') as dst, value, 'rec' || (event_id // 4) as rec from events),
 a as (select *, case when event_type = 'signup' then 'works_at' else event_type end as label from e where event_type <> 'error'),
-s as (select src, dst, label, count(*)::double as weight, min(ts) as created_at, arg_min(ts, seq) as valid_at, max(round(value / 1000, 4)) as confidence, list_sort(list(distinct rec)) as provenance, max(seq) as last, arg_max(ts, seq) as last_ts from a group by 1, 2, 3),
+s as (select src, dst, label, count(*)::double as weight, min(ts) as created_at, arg_min(ts, seq) as valid_at, max(value) as confidence, list_sort(list(distinct rec)) as provenance, max(seq) as last, arg_max(ts, seq) as last_ts from a group by 1, 2, 3),
 x as (select src, max(seq) as eseq, arg_max(ts, seq) as ets from e where event_type = 'error' group by 1),
 t as (select s.*, case when label = 'works_at' then lead(last_ts) over (partition by src, label order by last) end as e3, case when label = 'click' and eseq > last then ets end as e2 from s left join x using (src)),
 edges as (select src, dst, label, weight, created_at, valid_at, case when label = 'works_at' then e3 else e2 end as expired_at, provenance, confidence from t)

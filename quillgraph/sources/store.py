@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import schemas
+from quillgraph.operators.lineage import cut
 
 
 class Store:
@@ -51,7 +52,7 @@ class Store:
     def cached(self, name: str, build, *key) -> DataFrame:
         """A derived table, kept until something is written."""
         if (name, *key) not in self._cache:
-            self._cache[(name, *key)] = build().cache()
+            self._cache[(name, *key)] = cut(build())
         return self._cache[(name, *key)]
 
     def statistics(self) -> DataFrame:
