@@ -66,10 +66,9 @@ def hub_threshold(relations: DataFrame) -> DataFrame:
     Degrees are counted per value first, so that one task sees as many rows as there are different degrees.
     """
     hist = degrees(relations).groupBy("degree").agg(F.count("*").alias("c"))
-    total = hist.agg(F.sum("c").alias("n"))
-    run = hist.withColumn("upto", F.sum("c").over(Window.orderBy("degree")))
+    run = hist.withColumn("upto", F.sum("c").over(Window.orderBy("degree"))).withColumn("n", F.sum("c").over(Window.partitionBy()))
     place = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.99))
-    return run.join(F.broadcast(total)).where(F.col("upto") > place).agg(F.greatest(F.lit(50), F.coalesce(F.min("degree"), F.lit(50))).cast("long").alias("hub"))
+    return run.where(F.col("upto") > place).agg(F.greatest(F.lit(50), F.coalesce(F.min("degree"), F.lit(50))).cast("long").alias("hub"))
 
 
 def shortest_path(relations: DataFrame, starts: list[str], goals: list[str], most: int = 32) -> DataFrame:

@@ -45,7 +45,8 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int, acl: DataFrame | None = N
     kind = chunks.schema[key].dataType.simpleString()
     source = chunks.select(F.col(key), F.col(vector).cast("array<double>"))
     if acl is not None:
-        users = acl.groupBy("virtual_record_id").agg(F.collect_set("user_id").alias("users"))
+        asking = acl.join(queries.select("user_id").distinct(), "user_id", "left_semi")
+        users = asking.groupBy("virtual_record_id").agg(F.collect_set("user_id").alias("users"))  # of the stated queries' users only
         source = chunks.join(users, "virtual_record_id").select(F.col(key), F.col(vector).cast("array<double>"), "users")
     found = None
     for a in range(0, len(rows), QUERY_BLOCK):
@@ -116,9 +117,11 @@ def calibrate_prefix(chunks: DataFrame, k: int = 8, factor: int = 8, probes: int
     return min(size, v.shape[1])
 
 
-def postings(chunks: DataFrame, text: str = "content", key: str = "point_id") -> tuple[DataFrame, DataFrame]:
-    """(key, term, tf, length) and one row of corpus statistics (n, average)."""
+def postings(chunks: DataFrame, text: str = "content", key: str = "point_id", asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, term, tf, length), of the asked terms only where they are given, and one row of corpus statistics (n, average)."""
     words = chunks.select(key, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
+    if asked is not None:
+        words = words.join(asked, "term", "left_semi")
     tf = words.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
     stats = chunks.select(F.size(T.tokens(F.coalesce(F.col(text), F.lit("")))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("average"))
     return tf, stats
@@ -128,13 +131,13 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, acl: DataFrame | None =
     """(query_id, key, score, rank). queries: query_id, user_id, query. Frequencies are those of all chunks; with an
     acl only accessible chunks are ranked. Only postings of the queries' terms are shuffled."""
     terms = queries.select("query_id", "user_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    tf, stats = postings(chunks, text, key)
-    asked = terms.select("term").distinct()
-    hits = tf.join(asked, "term", "left_semi")
+    hits, stats = postings(chunks, text, key, terms.select("term").distinct())
+    total = stats.first()
+    n, average = F.lit(total["n"]), F.lit(total["average"] or 1.0)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = weight * F.col("tf") * (cfg.bm25_k1 + 1) / (F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("length") / F.col("average")))
-    rows = terms.join(hits, "term").join(df, "term").crossJoin(F.broadcast(stats)).withColumn("part", part)  # stats: one row
+    weight = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = weight * F.col("tf") * (cfg.bm25_k1 + 1) / (F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("length") / average))
+    rows = terms.join(hits, "term").join(df, "term").withColumn("part", part)
     if acl is not None:
         rows = rows.join(chunks.select(key, "virtual_record_id"), key).join(acl.select("user_id", "virtual_record_id"), ["user_id", "virtual_record_id"], "left_semi")
     scored = rows.groupBy("query_id", key).agg(F.sum("part").alias("score"))

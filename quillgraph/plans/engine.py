@@ -266,7 +266,9 @@ class Engine:
     def statistics(self, user_id: str, org_id: str) -> DataFrame:
         """(entities, typed, generic) of what the user sees."""
         ents, rels = self.scope(user_id, org_id)
-        return rels.agg(F.count_if(F.col("label") != GENERIC).alias("typed"), F.count_if(F.col("label") == GENERIC).alias("generic")).crossJoin(F.broadcast(ents.agg(F.count("*").alias("entities"))))  # one row each
+        links = rels.select(F.when(F.col("label") == GENERIC, "generic").otherwise("typed").alias("what"))
+        every = links.unionByName(ents.select(F.lit("entities").alias("what")))
+        return every.agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("entities", "typed", "generic")])
 
 
 def graph_slug(name: str) -> str:
