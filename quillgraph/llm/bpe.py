@@ -3,7 +3,8 @@
 Each pretoken's bytes are read as Latin-1, so that pyahocorasick finds every vocabulary entry in them in one pass.
 Encoding takes the longest entry at each place and goes back to shorter ones where the entry doesn't stand beside
 the one before it in merged output. That test (of two ids alone) unwinds both ids' merges; its results are memoised.
-Pretokens and runs between single spaces are memoised too, in dictionaries of bounded size.
+Texts are cut at white space, where pretokens never reach over, and the parts' ids are kept in a table of bounded size
+by the parts' 64-bit hashes, so that the pattern and the automaton see each part once as long as the table holds it.
 
 Defined cases: a null text counts as empty and gives no ids; rows that repeat are encoded each for itself; other
 columns are handed on where keep names them; an empty table gives no rows.
@@ -12,7 +13,6 @@ columns are handed on where keep names them; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import utf8
+from quillgraph.llm import bytewords as W
+from quillgraph.llm.common import pieces, small_batches, utf8
 
-#: entries of each worker's memories
-MEMORY = 300_000
-_UNSAFE = re.compile(r" \s|\s ")
+#: entries of each worker's dictionaries; slots and ids of its table of text parts
+MEMORY, SLOTS, MOST = 100_000, 1 << 20, 1 << 22
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -62,14 +62,14 @@ class Encoder:
                     break
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.forget()
 
     def beside(self, a: int, b: int) -> bool:
         """Whether a and b stay apart when the bytes of both are merged."""
         key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 3 * MEMORY:
+            if len(self.pairs) > 2 * MEMORY:
                 self.pairs.clear()
             known = self.pairs[key] = self._beside(a, b)
         return known
@@ -134,23 +134,88 @@ class Encoder:
             out.extend(ids)
         return out
 
-    def packed(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if _UNSAFE.search(text):
-            return np.array(self.ids(text), "<u4").tobytes()
-        # with single spaces only, no pretoken reaches over a space's left side
-        known, parts = self.chunks, text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-        if parts is None:
-            return np.array(self.ids(text), "<u4").tobytes()
-        out = list(map(known.get, parts))
-        for i in [i for i, x in enumerate(out) if x is None]:
-            p = parts[i]
-            out[i] = np.array(self.ids(p), "<u4").tobytes()
-            if len(p) < 60 and "\n" not in p:
-                if len(known) > 2 * MEMORY:
-                    known.clear()
-                known[p] = out[i]
-        return b"".join(out)
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, and their numbers."""
+        begin, end, row, odd = chunks(raw, off)
+        h = W.hash_words(raw, begin, end, False)
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        place, size = self.start[slot], self.count[slot]
+        miss = np.flatnonzero(self.keys[slot] != h)
+        text = raw.tobytes()
+        if len(miss):
+            new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            at = miss[first]
+            got = [self.ids(text[x:y].decode()) for x, y in zip(begin[at].tolist(), end[at].tolist())]
+            n = np.array([len(x) for x in got])
+            fresh = np.array([y for x in got for y in x], np.int32)
+            if self.used + len(fresh) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(fresh)), np.int32)])
+            self.flat[self.used : self.used + len(fresh)] = fresh
+            where = self.used + np.cumsum(n) - n
+            self.used += len(fresh)
+            place[miss], size[miss] = where[back], n[back]
+            keep = n < 64
+            s = (new & np.uint64(SLOTS - 1)).astype(np.int64)[keep]
+            self.keys[s], self.start[s], self.count[s] = new[keep], where[keep], n[keep]
+        ends = np.cumsum(size)
+        out = self.flat[np.repeat(place - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        counts = np.bincount(row, weights=size, minlength=len(off) - 1).astype(np.int64)
+        if len(odd):  # texts with other white space go through the pattern as a whole
+            parts = np.split(out, np.cumsum(counts)[:-1])
+            for i in odd.tolist():
+                parts[i] = np.array(self.ids(text[off[i] : off[i + 1]].decode()), np.int32)
+                counts[i] = len(parts[i])
+            out = np.concatenate(parts)
+        if self.used > MOST:
+            self.forget()
+        return out, counts
+
+    def forget(self) -> None:
+        self.keys, self.start, self.count = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+
+
+def chunks(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, ends and rows of parts that pretokens never reach over, and the rows that have to go as a whole.
+
+    Of a run of white space before a word the pattern takes all but the last character, then that one, with the word
+    if it is a space; a run that ends a text is one pretoken. That holds for ASCII white space; rows with any other
+    are given apart, without parts.
+    """
+    starts, ends, woff = W.find_words(raw, off)
+    n = np.diff(woff)
+    row = np.repeat(np.arange(len(n)), n)
+    before = np.empty_like(starts)
+    before[1:] = ends[:-1]
+    heads = woff[:-1][n > 0]
+    before[heads] = off[:-1][n > 0]
+    gap = starts - before
+    lead = (gap > 0) & (raw[np.maximum(starts - 1, 0)] == 0x20)
+    rest = np.flatnonzero(gap > 1)
+    sole = np.flatnonzero((gap > 0) & ~lead)
+    last = np.where(n > 0, ends[np.maximum(woff[1:] - 1, 0)] if len(ends) else 0, off[:-1])
+    tail = np.flatnonzero(off[1:] > last)
+    begin = np.concatenate([starts - lead, before[rest], starts[sole] - 1, last[tail]])
+    end = np.concatenate([ends, starts[rest] - 1, starts[sole], off[1:][tail]])
+    rows = np.concatenate([row, row[rest], row[sole], tail])
+    order = np.argsort(begin, kind="stable")
+    begin, end, rows = begin[order], end[order], rows[order]
+    odd = np.zeros(len(n), bool)
+    other = other_space(raw)
+    if len(other):
+        odd[np.searchsorted(off, other, side="right") - 1] = True
+        keep = ~odd[rows]
+        begin, end, rows = begin[keep], end[keep], rows[keep]
+    return begin, end, rows, np.flatnonzero(odd)
+
+
+def other_space(raw: np.ndarray) -> np.ndarray:
+    """Where white space outside of ASCII (or a separator among its control characters) may stand."""
+    if len(raw) < 2:
+        return np.flatnonzero((raw >= 0x1C) & (raw <= 0x1F))
+    a, b = raw[:-1], raw[1:]
+    found = ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80)) | ((a >= 0x1C) & (a <= 0x1F))
+    return np.flatnonzero(np.append(found, 0x1C <= raw[-1] <= 0x1F))
 
 
 def merge(piece: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
@@ -176,22 +241,19 @@ def encoder(path: str, pattern: str) -> Encoder:
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, and ids array<int>. path: a file of ranks, the same for all executors."""
 
+    names = [*(f"k{i}" for i in range(len(keep))), "ids"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for batch in batches:
-            packed = [e.packed(t or "") for t in batch.column(0).to_pylist()]
-            a = 0
-            while a < len(packed):  # rows by some 16 million ids
-                b, n = a, 0
-                while b < len(packed) and (b == a or n + len(packed[b]) < 1 << 26):
-                    n += len(packed[b])
-                    b += 1
-                off = np.zeros(b - a + 1, np.int64)
-                np.cumsum([len(x) // 4 for x in packed[a:b]], out=off[1:])
-                ids = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.frombuffer(b"".join(packed[a:b]), "<i4")))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), ids], [*(f"k{i}" for i in range(len(keep))), "ids"])
-                a = b
-
+            raw, off = utf8(batch.column(0))
+            for a, b in pieces(off):
+                ids, n = e.encode(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+                at = np.zeros(b - a + 1, np.int64)
+                np.cumsum(n, out=at[1:])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], names)
+
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(text_col), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     kinds = "".join(f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
     return source.mapInArrow(run, kinds + "ids array<int>").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids")

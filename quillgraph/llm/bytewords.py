@@ -48,12 +48,12 @@ def find_words(raw: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACE)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
-def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each lower-cased word."""
+def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, lower-cased if fold is set."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     buf = np.zeros(len(raw) + 8, np.uint8)
-    buf[: len(raw)] = LOWER[raw]
+    buf[: len(raw)] = LOWER[raw] if fold else raw
     lanes = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=buf, strides=(1,))
     n = ends - starts
     h = mix((lanes[starts] & _MASKS[np.minimum(n, 8)]) ^ (n.astype(np.uint64) * _A))
