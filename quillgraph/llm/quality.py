@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bytewords as W
-from quillgraph.llm.common import pieces, stored, utf8
+from quillgraph.llm.common import pieces, small_batches, stored, utf8
 
 NAMES = ("bytes", "words", "word_length", "word_spread", "upper", "digits", "stops", "shouts", "marks", "bars", "wide", "feeds", "distinct", "repeated_lines", "doubled", "letters", "echo")
 K = len(NAMES)
@@ -71,21 +71,21 @@ def statistics(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     )
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, x array<double> (the K statistics), and the columns of keep under k0, k1, ..."""
-    source = docs.select(F.col(text_col), F.col(id_col).cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+def batch_statistics(column: pa.Array) -> np.ndarray:
+    raw, off = utf8(column)
+    x = [statistics(raw[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in pieces(off)]
+    return np.concatenate(x) if x else np.zeros((0, K))
 
-    names = [*source.columns[1:], "x"]
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, x array<double> (the K statistics)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = utf8(batch.column(0))
-            x = [statistics(raw[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in pieces(off)]
-            flat = np.concatenate(x).ravel() if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * K, pa.int32()), pa.array(flat))], names)
+            x = batch_statistics(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * K, pa.int32()), pa.array(x.ravel()))], ["doc_id", "x"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    return source.mapInArrow(run, kinds + ", x array<double>")
+    return docs.select(F.col(text_col), F.col(id_col).cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -104,6 +104,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / TEMPER + self.prior, -30, 30)))
 
 
+ACCEPT = 0.7
 #: the statistics depend on one another, so log-density differences are divided by this
 TEMPER = 4.0
 
@@ -149,29 +150,36 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted and the columns of keep: fits on the labelled rows that aren't held out."""
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """A model of the labelled rows that aren't held out, and the stored statistics of all documents."""
+    small_batches(docs.sparkSession)
     x = stored(features(docs), "features")
     known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
-    model = fit(x.where(~fold(F.col("doc_id")) & F.col("doc_id").isNotNull()).join(known, "doc_id"))
-    return apply(features(docs, keep=keep) if keep else x, model)
+    return fit(x.where(~fold(F.col("doc_id")) & F.col("doc_id").isNotNull()).join(known, "doc_id")), x
 
 
-def apply(source: DataFrame, model: Model) -> DataFrame:
-    """The columns of source but x, with held_out, score and predicted."""
-    own = [c for c in source.columns if c != "x"]
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    model, x = fitted(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(len(own)).flatten().to_numpy(zero_copy_only=False).reshape(-1, K)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(np.round(model.score(x), 6))], [*own, "score"])
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, K)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.score(rows), 6))], ["doc_id", "score"])
+
+    done = x.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    return done.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.select(*own).schema.fields)
-    done = source.select(*own, "x").mapInArrow(run, kinds + ", score double")
-    return done.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), *[c for c in own if c != "doc_id"])
+def kept_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that the classifier accepts, with their columns. Statistics and scores come in one pass."""
+    model, _ = fitted(docs, labels)
+    names = docs.columns
+    at = names.index(text_col)
+    kinds = ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.round(model.score(batch_statistics(batch.column(at))), 6) >= ACCEPT))
 
-def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with their columns."""
-    done = scored(docs, labels, tuple(docs.columns))
-    return done.where("predicted = 1").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, kinds).toDF(*names)
