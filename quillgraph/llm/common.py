@@ -40,6 +40,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in each Arrow batch: whole texts are long, and both sides of a Python worker hold batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now > rows or now <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def release() -> None:
     """Lets Spark remove the shuffle files of plans that nothing refers to any longer."""
     gc.collect()
@@ -59,7 +67,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]] if len(off) else raw, off - off[0]
 
 
-def pieces(off: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(off: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about size bytes each; a longer row stands alone."""
     a, n = 0, len(off) - 1
     while a < n:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.bytewords import mix, positions, set_keys
-from quillgraph.llm.common import in_slices, pieces, stored, summed, utf8
+from quillgraph.llm.common import in_slices, pieces, small_batches, stored, summed, utf8
 from quillgraph.llm.components import local_roots
 
 BUCKETS, SLICES = 1 << 18, 64
@@ -367,6 +367,7 @@ def linked(docs: DataFrame, extract: Extract, num: int, den: int, signed: bool =
     position; links (k, w, p1, p2, p3, root), rows of nodes with a link: w items linked through other sets, the
     smallest position among them, and an edge k-root that keeps components together.
     """
+    small_batches(docs.sparkSession, 2000)
     found = stored(items(docs, extract, num, den, counts(docs, extract)), "items")
     nodes = found.where("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.count("*").alias("w"), F.min(F.struct("p1", "p2", "p3")).alias("p")).select("k", "n", "w", "p.*")
     pairs = stored(candidates(postings(found, signed), num, den), "pairs")
