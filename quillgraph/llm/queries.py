@@ -68,7 +68,7 @@ def op6_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.captures(spark, index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
+    return warc.captures(spark, index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,4 +43,29 @@ select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, f::b
 from rows left join b using (rid) left join m using (rid)"""
 
 
-ORACLES = {"op2_chat_format": OP2, "op4_license_scan": op4()}
+OP3 = r"""
+with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as t from documents),
+s as materialized (select doc_id, case when len(t) = 0 then []::varchar[] when len(t) < 5 then [array_to_string(t, ' ')] else list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i : i + 4], ' '))) end as g from w),
+x as materialized (select doc_id, hash(unnest(g)) as h from s),
+p as (select a.doc_id as i, b.doc_id as j, count(*) as c from x a join x b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as materialized (select i, j from p join s a on a.doc_id = i join s b on b.doc_id = j where 100 * c >= 80 * (len(a.g) + len(b.g) - c)),
+e as materialized (select i, j from l union all select j, i from l),
+r as (select doc_id as node, doc_id as root from w union select e.j, r.root from r join e on r.node = e.i)
+select s.doc_id, len(g)::bigint as n_shingles, (select count(*) from e where i = s.doc_id)::bigint as n_similar, (select min(root) from r where node = s.doc_id)::bigint as component_id from s
+"""
+
+OP7 = """
+with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as x from pages), t as (select *, max(page_id) over (partition by x) as top from p)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(x, 1 + (i // 4) * 5, 5))::bigint) >> (15 - 5 * (i % 4))) & 31)::int, 1)), '') as payload_digest,
+  case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id < top then top end as refers_to from t
+"""
+
+OP9 = """
+with recursive v as materialized (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+l as materialized (select a.vec_id as i, b.vec_id as j from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+r as (select vec_id as node, vec_id as root from v union select l.j, r.root from r join l on r.node = l.i)
+select vec_id, (select count(*) from l where i = vec_id)::bigint as n_links, (select min(root) from r where node = vec_id)::bigint as component_id, vec_id = (select min(root) from r where node = vec_id) as kept from v
+"""
+
+ORACLES = {"op2_chat_format": OP2, "op3_ngram_jaccard": OP3, "op4_license_scan": op4(), "op7_warc_merge": OP7, "op9_lattice_near_dup": OP9}
