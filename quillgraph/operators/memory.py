@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,42 +71,60 @@ def consolidate(facts: DataFrame, visible: DataFrame | None = None) -> DataFrame
         out = opposite.get(base, []) + ([base] if base != p else [f"not_{base}", f"no_longer_{base}"])
         return [x for x in out if x != p]
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        rows: list[dict] = []
+    names = [c.split()[0] for c in schemas.MEMORIES.split(", ")]
+
+    def step(rows: list[dict], x: dict) -> None:
+        """One assertion, upon the memories of its fold so far."""
+        sees = None if x["sees"] is None else {*x["sees"], x["virtual_record_id"]}
 
-        def current(key: str, sees) -> dict | None:
+        def current(key: str) -> dict | None:
             mine = [r for r in rows if r["subject_key"] == key and r["is_latest"] and not r["is_forgotten"] and (sees is None or r["virtual_record_id"] in sees)]
             return max(mine, key=lambda r: (r["version"], r["created_at"]), default=None)
 
-        for x in frame.sort_values("seq").to_dict("records"):
-            sees = None if x["sees"] is None else {*x["sees"], x["virtual_record_id"]}
-            sure = 1.0 if pd.isna(x["confidence"]) else x["confidence"]
-            if not x["functional"]:
-                for p in against(x["predicate"]):
-                    old = current(f"{x['subject_id']}|{p}|{x['object_id']}", sees)
-                    if old:
-                        old |= {"is_forgotten": True, "forget_reason": f'contradicted by "{x["memory"]}"', "updated_at": x["ts"]}
-            now = current(x["subject_key"], sees)
-            if now and now["memory"] == x["memory"]:
-                now["updated_at"] = x["ts"]
-                continue
-            if now and x["functional"]:
-                if sure + 1e-9 < now["confidence"]:
-                    continue
-                now["is_latest"] = False
-            new = now if now and x["functional"] else None
-            own = f"mem:{x['seq']}"
-            rows.append({
-                "id": own, "org_id": x["org_id"], "virtual_record_id": x["virtual_record_id"], "subject_key": x["subject_key"], "memory": x["memory"], "is_static": x["is_static"], "is_forgotten": False,
-                "forget_after": None, "forget_reason": None, "version": new["version"] + 1 if new else 1, "parent_id": new["id"] if new else None, "root_id": new["root_id"] if new else own, "is_latest": True,
-                "relation": "updates" if new else None, "source_record_id": x["record_id"], "created_at": x["ts"], "updated_at": x["ts"], "use_count": 0, "last_used_at": None, "kind": "semantic", "occurred_at": None, "actor_ids": [], "confidence": sure,
-            })
-        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in schemas.MEMORIES.split(", ")])
+        sure = 1.0 if pd.isna(x["confidence"]) else x["confidence"]
+        if not x["functional"]:
+            for p in against(x["predicate"]):
+                old = current(f"{x['subject_id']}|{p}|{x['object_id']}")
+                if old:
+                    old |= {"is_forgotten": True, "forget_reason": f'contradicted by "{x["memory"]}"', "updated_at": x["ts"]}
+        now = current(x["subject_key"])
+        if now and now["memory"] == x["memory"]:
+            now["updated_at"] = x["ts"]
+            return
+        if now and x["functional"]:
+            if sure + 1e-9 < now["confidence"]:
+                return
+            now["is_latest"] = False
+        new = now if now and x["functional"] else None
+        own = f"mem:{x['seq']}"
+        rows.append({
+            "id": own, "org_id": x["org_id"], "virtual_record_id": x["virtual_record_id"], "subject_key": x["subject_key"], "memory": x["memory"], "is_static": x["is_static"], "is_forgotten": False,
+            "forget_after": None, "forget_reason": None, "version": new["version"] + 1 if new else 1, "parent_id": new["id"] if new else None, "root_id": new["root_id"] if new else own, "is_latest": True,
+            "relation": "updates" if new else None, "source_record_id": x["record_id"], "created_at": x["ts"], "updated_at": x["ts"], "use_count": 0, "last_used_at": None, "kind": "semantic", "occurred_at": None, "actor_ids": [], "confidence": sure,
+        })
+
+    def out(rows: list[dict]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=names)
         for c in ("forget_after", "last_used_at", "occurred_at"):
             frame[c] = frame[c].astype("Int64")
         return frame
 
-    return f.groupBy("fold").applyInPandas(fold, schemas.MEMORIES)
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted, so only the fold at hand is held."""
+        done, rows, key = [], [], None
+        for frame in frames:
+            for x in frame.to_dict("records"):
+                if x["fold"] != key:
+                    done.extend(rows)
+                    rows, key = [], x["fold"]
+                    if len(done) > 5000:
+                        yield out(done)
+                        done = []
+                step(rows, x)
+        if done or rows:
+            yield out(done + rows)
+
+    return f.repartition("fold").sortWithinPartitions("fold", "seq").mapInPandas(fold, schemas.MEMORIES)
 
 
 def consolidate_windows(facts: DataFrame) -> DataFrame:

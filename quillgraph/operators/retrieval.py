@@ -260,6 +260,35 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, records: DataFrame, edg
     return shown.select("query_id", "rank", "point_id", "record_id", "rrf", "legs", "passage"), trace
 
 
+def matching(must: dict[str, list] | None = None, should: dict[str, list] | None = None) -> Column:
+    """All of must and, if there is any, one of should: fields with their accepted values."""
+    every = [F.col(f).isin(*v) for f, v in (must or {}).items()]
+    some = [F.col(f).isin(*v) for f, v in (should or {}).items()]
+    out = F.lit(True)
+    for c in every:
+        out = out & c
+    if some:
+        one = some[0]
+        for c in some[1:]:
+            one = one | c
+        out = out & one
+    return F.coalesce(out, F.lit(False))
+
+
+def first_of_queries(hits: DataFrame, limit: int = 20, key: str = "point_id") -> DataFrame:
+    """Hits of several wordings of one question (query_idx, rank, score) as one list: each point where it first came."""
+    first = hits.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("query_idx", "rank"))).where("n = 1").drop("n")
+    return first.orderBy(F.desc("score"), key).limit(limit)
+
+
+def status(acl: DataFrame, users: DataFrame, hits: DataFrame) -> DataFrame:
+    """(user_id, status): 404 for users who may see nothing or found nothing, else 200. users: user_id."""
+    sees = acl.select("user_id").distinct().withColumn("sees", F.lit(True))
+    found = hits.select("user_id").distinct().withColumn("found", F.lit(True))
+    j = users.join(sees, "user_id", "left").join(found, "user_id", "left")
+    return j.select("user_id", F.when(F.col("sees") & F.col("found"), 200).otherwise(404).alias("status"))
+
+
 def enrich(hits: DataFrame, acl: DataFrame, records: DataFrame) -> DataFrame:
     """hits (query_id, user_id, virtual_record_id, point_id, content, score) with their records' fields.
 

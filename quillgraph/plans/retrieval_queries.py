@@ -13,6 +13,7 @@ from quillgraph.functions import text as T
 from quillgraph.functions import vectors
 from quillgraph.operators import acl as access
 from quillgraph.operators import evaluate, ingest, kgqa, memory, resolve, retrieval
+from quillgraph.operators.lineage import cut
 from quillgraph.plans.registry import ms, query, table
 
 
@@ -144,14 +145,14 @@ def corpus(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Documents as chunks and records with an owner (source) and a language group; access by owner and group."""
     d = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("record_id"), F.concat(F.lit("d"), "doc_id").alias("virtual_record_id"), F.lit("org").alias("org_id"), F.concat(F.lit("doc "), "doc_id").alias("record_name"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("owner_id"), F.array(F.concat(F.lit("lang:"), "lang")).alias("permitted_principals"), F.col("doc_id").alias("seq"), F.lit(1_700_000_000_000).alias("created_at"))
     docs, _ = ingest.accepted(d)
-    chunks = ingest.chunks(docs)
+    chunks = cut(ingest.chunks(docs))  # every leg reads them, so texts are cut and embedded once
     grants, _ = ingest.grants(docs)
     users = docs.select(F.col("owner_id").alias("user_id")).where("user_id is not null").distinct().withColumn("org_id", F.lit("org"))
     member = users.select(F.col("user_id").alias("src"), F.lit("lang:en").alias("dst"), F.lit("belongsTo").alias("label"))
     null = F.lit(None).cast("string")
     principals = users.select(F.col("user_id").alias("id"), F.lit("users").alias("coll"), "user_id", "org_id", null.alias("file_key"), null.alias("role"))
     records = docs.select("record_id", "virtual_record_id", "org_id", "record_name", "mime_type", "connector_id", "origin", F.lit("COMPLETED").alias("indexing_status"), "owner_id", F.lit(1.0).alias("importance"), F.col("created_at").alias("last_accessed_at"), F.lit(0).cast("long").alias("access_count"))
-    return chunks, records, access.accessible(users, principals, grants.unionByName(member), records), users
+    return chunks, records, cut(access.accessible(users, principals, grants.unionByName(member), records)), users
 
 
 @query()
@@ -216,3 +217,27 @@ def memory_recall(spark, sf):
     q = spark.range(10).select(F.concat(F.lit("q"), "id").alias("query_id"), F.lit("u").alias("user_id"), F.concat(F.lit("status of customer "), F.col("id") * 7).alias("query")).withColumn("vector", vectors.hash_embedding("query"))
     acl = m.select(F.lit("u").alias("user_id"), "virtual_record_id").distinct()
     return memory.recall(m, q, acl, 1_000_000_000_000).select("query_id", "id", "memory", F.round("similarity", 5).alias("similarity"), "rank")
+
+
+@query()
+def conversation_benchmark(spark, sf):
+    """Conversations as cases, each turn an item, its own words the question: does the turn come back?"""
+    from quillgraph.plans import benchmark
+
+    c = table(spark, sf, "conversations")
+    item = F.concat(F.lit("t"), "turn")
+    history = c.select(F.col("conv_id").cast("string").alias("case_id"), item.alias("item_id"), "text", F.col("role").alias("speaker"), F.lit(None).cast("string").alias("timestamp"))
+    asked = c.where("role = 'user'").select(F.col("conv_id").cast("string").alias("case_id"), F.concat_ws("/", "conv_id", item).alias("question_id"), F.array_join(T.salient_terms(F.col("text")), " ").alias("question"), F.lit("").alias("answer"), F.lit("single-hop").alias("category"), F.array(item).alias("evidence_ids"), F.lit(False).alias("abstain"))
+    card, _, _ = benchmark.run(history, asked)
+    return card.select("category", "n", *[F.round(x, 4).alias(x) for x in ("recall", "precision", "rr", "ndcg")])
+
+
+@query(f"with {LEGS}, u as (select case when query_id = 'click' then 0 else 1 end as query_idx, point_id, rank, total as score from b where query_id in ('click', 'view')), o as (select * from u qualify row_number() over (partition by point_id order by query_idx, rank) = 1) select point_id, score from o order by score desc, point_id limit 20")
+def several_wordings(spark, sf):
+    hits = event_legs(spark, sf)["total"].where("query_id in ('click', 'view')")
+    return retrieval.first_of_queries(hits.select(F.when(F.col("query_id") == "click", 0).otherwise(1).alias("query_idx"), "point_id", "rank", F.col("total").alias("score"))).select("point_id", "score")
+
+
+@query("select o_orderkey from orders where o_orderstatus in ('O', 'P') and (o_orderpriority in ('5-LOW') or o_custkey in (1, 2, 3, 4, 5))")
+def must_and_should(spark, sf):
+    return table(spark, sf, "orders").where(retrieval.matching({"o_orderstatus": ["O", "P"]}, {"o_orderpriority": ["5-LOW"], "o_custkey": [1, 2, 3, 4, 5]})).select("o_orderkey")

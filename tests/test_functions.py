@@ -23,7 +23,7 @@ def one(spark, expression):
         ("Acme", "ORG", "Acme, Inc.", "ORG", (True, "equal")),
         ("Dr. Sarah Chen", "PERSON", "Sarah Chen", "PERSON", (True, "equal")),
         ("IBM", "ORG", "International Business Machines", "ORG", (True, "acronym")),
-        ("Anthropic", None, "Anthorpic", None, (True, "typo")),
+        ("Brightwater", None, "Brigthwater", None, (True, "typo")),
         ("cat", None, "car", None, (False, "none")),
         ("Sarah", "PERSON", "Sarah Chen", "PERSON", (True, "containment")),
         ("Sarah", "CONCEPT", "Sarah Chen", "CONCEPT", (False, "none")),

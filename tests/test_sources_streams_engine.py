@@ -178,3 +178,17 @@ def test_engine_replaces_forgets_and_deletes(engine, spark):
     e.reindex()
     e.sleep()
     assert e.health().count() >= 5
+
+
+def test_benchmark(spark):
+    from quillgraph.plans import benchmark
+
+    h, q = datasets.synthetic(spark)
+    card, scored, tokens = benchmark.run(h, q, k=3)
+    got = {x["category"]: x for x in card.collect()}
+    assert got["overall"]["n"] == 5 and got["overall"]["recall"] >= 0.6 and "abstention" not in got
+    assert benchmark.render([x.asDict() for x in got.values()]).count("\n") == len(got) + 1
+    assert tokens.count() == 2 and scored.count() == 5
+    a = spark.createDataFrame([("q1", "It is Brine Systems."), ("q5", "I don't know"), ("q4", "no idea")], "question_id string, predicted string")
+    right = {x["question_id"] for x in benchmark.judge(a, q).where("correct").collect()}
+    assert right == {"q1", "q5"}
