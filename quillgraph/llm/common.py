@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def put_in_place(fs: pafs.FileSystem, temp: str, name: str) -> None:
+    """Gives a whole file its name; one that an earlier attempt of the task left there is the same and makes way."""
+    if fs.get_file_info(name).type != pafs.FileType.NotFound:
+        fs.delete_file(name)
+    fs.move(temp, name)
+
+
 def release() -> None:
     """Lets Spark remove the shuffle files of plans that nothing refers to any longer."""
     gc.collect()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bytewords as W
-from quillgraph.llm.common import pieces, shared_dir, utf8
+from quillgraph.llm.common import pieces, put_in_place, shared_dir, small_batches, utf8
 
 BLOCK, LEAST, ROUNDS = 1 << 18, 12, 4
 MAGIC = b"QGRP0001"
@@ -316,9 +316,10 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         foot = json.dumps({"blocks": places, "docs": docs_n, "tokens": tokens_n}).encode()
         out.write(foot + struct.pack("<I", len(foot)))
         out.close()
-        fs.move(temp, name)
+        put_in_place(fs, temp, name)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [name], "docs": [docs_n], "tokens": [tokens_n]})
 
+    small_batches(docs.sparkSession, 2000)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     ranged = rows.repartitionByRange(F.col("i").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("i").asc_nulls_first(), F.xxhash64("t"))
     found = ranged.mapInArrow(write, "shard long, path string, docs long, tokens long").collect()

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import release, shared_dir
+from quillgraph.llm.common import put_in_place, release, shared_dir
 
 SALTS, BATCH, FAN = 16, 2048, 64
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
@@ -157,7 +157,7 @@ class RunWriter:
         foot = json.dumps(self.foot).encode()
         self.out.write(foot + struct.pack("<I", len(foot)))
         self.out.close()
-        self.fs.move(self.temp, self.path)
+        put_in_place(self.fs, self.temp, self.path)
         step = max(1, len(self.foot) // 8)
         return {"path": self.path, "count": self.count, "sample": [json.dumps(f[2:]) for f in self.foot[::step]]}
 
@@ -207,7 +207,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
         if f is None:
             return
         f.close()
-        fs.move(temp, name)
+        put_in_place(fs, temp, name)
         run = RunWriter(fs, f"{root}/{part:08d}.run")
         for row in sorted(index):
             run.add(row)
