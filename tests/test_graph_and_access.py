@@ -163,3 +163,37 @@ def test_merges_and_provenance(spark):
     nodes = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "b")], "id string, seq int, v string")
     assert {x["id"]: x["v"] for x in facts.latest_nodes(nodes).collect()} == {"a": "new", "b": "b"}
     assert pytest.approx(3.0) == facts.strip_record(e, "a").agg(F.sum("weight")).first()[0] - 1
+
+
+def test_connectors_and_record_groups(spark):
+    users, principals, edges, records = access_fixture(spark)
+    tagged = records.withColumn("connector_id", F.when(F.col("record_id").isin("ledger", "child"), "drive").otherwise("mail"))
+    got = {x["record_id"] for x in acl.accessible(users, principals, edges, tagged, apps=["drive"]).where("user_id = 'bob'").collect()}
+    assert got == {"ledger", "child", "page", "open"}
+    got = {x["record_id"] for x in acl.accessible(users, principals, edges, tagged, groups=["other"]).where("user_id = 'bob'").collect()}
+    assert got == {"ledger", "open"}
+    facets = spark.createDataFrame([("ledger", "topic", "money"), ("child", "topic", "money"), ("child", "lang", "en")], "record_id string, facet string, value string")
+    assert [x["record_id"] for x in acl.filter_facets(records, facets, {"topic": ["money"], "lang": ["en", "de"]}).collect()] == ["child"]
+
+
+def test_what_a_user_cannot_see_changes_nothing(spark):
+    from quillgraph.operators import retrieval
+
+    r = np.random.default_rng(3)
+    rows = [(f"p{i}", f"v{i}", [float(x) for x in r.standard_normal(8)]) for i in range(40)]
+    hidden = {f"v{i}" for i in range(0, 40, 3)}
+    access = spark.createDataFrame([("u", v, v) for _, v, _ in rows if v not in hidden], "user_id string, virtual_record_id string, record_id string")
+    ask = spark.createDataFrame([("q", "u", rows[0][2])], "query_id string, user_id string, vector array<double>")
+    kind = "point_id string, virtual_record_id string, embedding array<float>"
+    one = retrieval.knn(spark.createDataFrame(rows, kind), ask, 7, access).orderBy("rank").collect()
+    other = [(p, v, [-x for x in e] if v in hidden else e) for p, v, e in rows]
+    assert retrieval.knn(spark.createDataFrame(other, kind), ask, 7, access).orderBy("rank").collect() == one
+
+
+def test_principal_components(spark):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((60, 5)) * [5, 3, 1, 0.1, 0.1]
+    rows = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id int, embedding array<float>")
+    got = np.array([p["components"] for p in graph.pca(rows, 2).orderBy("id").collect()])
+    axes = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :2]
+    assert np.allclose(np.abs(got), np.abs(x @ axes), atol=1e-3)
