@@ -29,7 +29,12 @@ def test_query_equals_sql(spark, name):
         con.execute(f"create view {t} as select * from read_parquet({glob.glob(f'{SF}/{t}.parquet*')!r})")
     got, want = Q.queries()[name](spark, SF).toPandas(), con.execute(Q.oracle_sql()[name]).df()
     common = sorted(want.columns)
-    plain = lambda f: sorted(tuple("" if v is None or v != v or str(v) == "<NA>" else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in f[common].astype(object).itertuples(index=False, name=None))
+    text = lambda v: "" if v is None else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
+    def plain(frame):
+        frame = frame[common].astype(object)
+        return sorted(tuple(map(text, r)) for r in frame.where(frame.notna(), None).itertuples(index=False, name=None))
+
     assert plain(got) == plain(want)
 
 
