@@ -123,6 +123,47 @@ def match(a: str, a_kind: str | None, b: str, b_kind: str | None) -> tuple[bool,
     return none
 
 
+def name_class(name: str, kind: str | None) -> dict:
+    """What the rules see of a name: names with equal class ids match the same names.
+
+    looks and index are the blocking keys; the normal forms are among them, so that equal forms always meet. A pair
+    that any rule but containment accepts shares a key of near in one and of far in the other. few holds the words
+    whose presence in another person's words would be containment, many the words that may hold them.
+    """
+    b = bucket(kind)
+    forms = {s: normal(name, s) for s in ((b,) if b != "generic" else ("generic", "person", "org"))}
+    if not forms[b]:
+        return {"node": None, "looks": [], "index": [], "near": [], "far": [], "few": [], "many": []}
+    whole = list(dict.fromkeys("=" + " ".join(w) for w in forms.values()))
+    looks, index = lookup_keys(name, b) + whole, index_keys(name, b) + whole
+    near, far, few, many = set(whole), set(whole), [], []
+    for s, words in forms.items():
+        text = " ".join(words)
+        if len(text) >= 6:  # within one edit of each other: equal after at most one deletion in each
+            cuts = {text, *(text[:i] + text[i + 1 :] for i in range(len(text)))}
+            near.update(f"{k}~{x}" for k in looks for x in cuts)
+            far.update(f"{k}~{x}" for k in index for x in cuts)
+        short, long = words if len(words) == 1 else [], initials(words)
+        near.update([*("<" + x for x in short), *(">" + x for x in long)])
+        far.update([*("<" + x for x in long), *(">" + x for x in short)])
+        if s == "person":
+            formal = [FORMAL.get(w, w) for w in words]
+            near.add("+" + " ".join(formal))
+            far.add("+" + " ".join(formal))
+            many = sorted(set(formal))
+            if len(formal) >= 2 or (len(formal[0]) >= 4 and formal[0] not in SMALL | LEGAL):
+                few = many
+    node = "|".join([b, *(" ".join(w) for w in forms.values())])
+    return {"node": node, "looks": looks, "index": index, "near": sorted(near), "far": sorted(far), "few": few, "many": many}
+
+
+@arrow_udf("node string, looks array<string>, index array<string>, near array<string>, far array<string>, few array<string>, many array<string>")
+def name_classes(names: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+    text = lambda x: None if x is None or x != x else x
+    rows = [name_class(text(n) or "", text(k)) for n, k in zip(names, kinds)]
+    return pd.DataFrame(rows, columns=["node", "looks", "index", "near", "far", "few", "many"])
+
+
 @arrow_udf("match boolean, score double, reason string")
 def name_match(a: pd.Series, a_kind: pd.Series, b: pd.Series, b_kind: pd.Series) -> pd.DataFrame:
     text = lambda x: None if x is None or x != x else x

@@ -7,33 +7,80 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import names
 from quillgraph.operators.graph import components
+from quillgraph.operators.lineage import cut
 
 
-def candidates(surfaces: DataFrame, known: DataFrame, key_cap: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """Pairs (id, other) that share a blocking key, and the keys that more than key_cap entities share.
+def classes(surfaces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of all surfaces, and a row per node, the class of names that no rule tells apart, with its keys.
 
-    Such keys are too common to tell entities apart; their entities meet by rarer keys, and equal normal forms always
-    meet by a key of their own, so no rule but containment and typos under a common key alone is affected.
+    A form without any word has no node; it matches nothing.
     """
-    index = known.select(F.col("id").alias("other"), F.explode(names.index_tokens("label", "type")).alias("key"))
-    busy = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > key_cap)
-    looks = surfaces.select("id", F.explode(names.lookup_tokens("label", "type")).alias("key"))
-    rare = index.join(busy.select("key"), "key", "left_anti")
-    return looks.join(rare, "key").where("id != other").select("id", "other").distinct(), busy
+    labels = surfaces.groupBy("label", "type").agg(F.count("*").alias("n")).select("label", "type", names.name_classes("label", "type").alias("c"))
+    labels = cut(labels.where("c.node is not null").select("label", "type", "c.*"))
+    of = labels.select(F.col("label").alias("l"), F.col("type").alias("t"), "node")
+    own = surfaces.join(of, F.col("label").eqNullSafe(F.col("l")) & F.col("type").eqNullSafe(F.col("t"))).select("id", "node").distinct()
+    first = F.min_by(F.struct("label", "type", "looks", "index", "near", "far", "few", "many"), F.struct("label", "type"))
+    return cut(own), cut(labels.groupBy("node").agg(first.alias("x")).select("node", "x.*"))
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer) nodes where the rarest word of one is among the other's: all that can hold all its words."""
+    words = outer.select(F.col("node").alias("outer"), F.explode("many").alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("n"))
+    few = inner.select(F.col("node").alias("inner"), F.explode("few").alias("word")).join(often, "word", "left")
+    rare = few.groupBy("inner").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    return rare.join(words, "word").select("inner", "outer")
+
+
+def links(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(a, b, score, reason) of different nodes that share a blocking key and match.
+
+    Each rule finds its pairs by keys of its own, so a blocking key that many nodes share costs no more than the
+    pairs that come out. What the keys give too much is judged and dropped.
+    """
+    near = a.select(F.col("node").alias("a"), F.explode("near").alias("k")).select("a", F.xxhash64("k").alias("k"))
+    far = b.select(F.col("node").alias("b"), F.explode("far").alias("k")).select("b", F.xxhash64("k").alias("k"))
+    pairs = near.join(far, "k").select("a", "b")
+    pairs = pairs.unionByName(contained(a, b).toDF("a", "b")).unionByName(contained(b, a).toDF("b", "a")).where("a != b").distinct()
+    x = a.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("type").alias("ta"), "looks")
+    y = b.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("type").alias("tb"), "index")
+    blocked = pairs.join(x, "a").join(y, "b").where(F.arrays_overlap("looks", "index"))
+    judged = blocked.select("a", "b", names.name_match("la", "ta", "lb", "tb").alias("m"))
+    return judged.where((F.col("m.match")) & (F.col("m.score") >= least)).select("a", "b", "m.score", "m.reason")
+
+
+def with_self(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """links, and each node to itself."""
+    return found.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("score"), F.lit("equal").alias("reason")))
 
 
 def matches(surfaces: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
     """(id, other, score, reason) of accepted pairs. surfaces and known: id, label, type."""
-    pairs, _ = candidates(surfaces, known)
-    a = surfaces.select("id", F.col("label").alias("a"), F.col("type").alias("ta"))
-    b = known.select(F.col("id").alias("other"), F.col("label").alias("b"), F.col("type").alias("tb"))
-    judged = pairs.join(a, "id").join(b, "other").select("id", "other", names.name_match("a", "ta", "b", "tb").alias("m"))
-    return judged.where((F.col("m.match")) & (F.col("m.score") >= least)).select("id", "other", "m.score", "m.reason")
+    (own, a), (theirs, b) = classes(surfaces), classes(known)
+    found = with_self(links(a, b, least), a)
+    pairs = own.withColumnRenamed("node", "a").join(found, "a").join(theirs.select(F.col("id").alias("other"), F.col("node").alias("b")), "b")
+    return pairs.where("id != other").select("id", "other", "score", "reason").distinct()
 
 
 def best_match(surfaces: DataFrame, known: DataFrame) -> DataFrame:
     """(id, canonical) of new surfaces that match something known; the surest match, then the smallest id."""
-    return matches(surfaces, known).groupBy("id").agg(F.min_by("other", F.struct(-F.col("score"), F.col("other"))).alias("canonical"))
+    (own, a), (theirs, b) = classes(surfaces), classes(known)
+    # of each known class two ids are enough: the smallest that isn't the surface's own
+    low = theirs.groupBy("node").agg(F.min("id").alias("low"))
+    next_ = theirs.join(low, "node").where("id != low").groupBy("node").agg(F.min("id").alias("id"))
+    two = low.select(F.col("node").alias("b"), F.col("low").alias("other")).unionByName(next_.select(F.col("node").alias("b"), F.col("id").alias("other")))
+    pairs = own.withColumnRenamed("node", "a").join(with_self(links(a, b, 0.85), a), "a").join(two, "b").where("id != other")
+    return pairs.groupBy("id").agg(F.min_by("other", F.struct(-F.col("score"), F.col("other"))).alias("canonical"))
+
+
+def groups(surfaces: DataFrame) -> DataFrame:
+    """(id, component) of all surfaces that have a word."""
+    own, nodes = classes(surfaces)
+    found = links(nodes, nodes, 0.85).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    # an id that comes with several names holds them together
+    several = own.groupBy("id").agg(F.min("node").alias("src")).join(own, "id").where("src != node").select("src", F.col("node").alias("dst"))
+    group = components(found.unionByName(several).select("src", "dst", F.lit("same").alias("label"), F.lit(1.0).alias("weight")))
+    return own.join(group, "node", "left").select("id", F.coalesce("component", "node").alias("component")).distinct()
 
 
 def canonicalise(surfaces: DataFrame) -> DataFrame:
@@ -42,8 +89,7 @@ def canonicalise(surfaces: DataFrame) -> DataFrame:
     All forms are judged in one pass; where sameness isn't transitive a group may join forms that a sequential pass
     would keep apart.
     """
-    found = matches(surfaces, surfaces).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.lit("same").alias("label"), F.lit(1.0).alias("weight"))
-    group = components(found).select(F.col("node").alias("id"), "component")
+    group = groups(surfaces)
     first = surfaces.join(group, "id").groupBy("component").agg(F.min_by("id", F.struct("seq", "id")).alias("canonical"))
     own = group.join(first, "component").select("id", "canonical")
     return surfaces.join(own, "id", "left").withColumn("canonical", F.coalesce("canonical", "id"))
@@ -56,7 +102,7 @@ def upgrade_labels(surfaces: DataFrame) -> DataFrame:
 
 def dedupe(entities: DataFrame, degrees: DataFrame) -> DataFrame:
     """(loser, winner) of entities that match: of each group the one with the highest degree, then the smallest id."""
-    found = matches(entities, entities).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.lit("same").alias("label"), F.lit(1.0).alias("weight"))
-    group = components(found).join(degrees.select("node", "degree"), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    group = groups(entities).withColumnRenamed("id", "node")
+    group = group.join(degrees.select("node", "degree"), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     best = group.groupBy("component").agg(F.min_by("node", F.struct(-F.col("degree"), F.col("node"))).alias("winner"))
     return group.join(best, "component").where("node != winner").select(F.col("node").alias("loser"), "winner")
