@@ -71,11 +71,11 @@ def hub_threshold(relations: DataFrame) -> DataFrame:
     return run.where(F.col("upto") > place).agg(F.greatest(F.lit(50), F.coalesce(F.min("degree"), F.lit(50))).cast("long").alias("hub"))
 
 
-def shortest_path(relations: DataFrame, starts: list[str], goals: list[str], most: int = 32) -> DataFrame:
+def shortest_path(relations: DataFrame, starts: list[str], goals: list[str]) -> DataFrame:
     """(step, src, label, dst) of a shortest undirected chain; hubs are reached but never passed through.
 
-    A level at a time; each round's frontier joins the adjacency and drops what is known. Of equal parents the first
-    by (typed first, weight, id) counts.
+    A level at a time, until a goal is met or nothing new is; each round's frontier joins the adjacency and drops what
+    is known. Of equal parents the first by (typed first, weight, id) counts.
     """
     spark = relations.sparkSession
     schema = "step int, src string, label string, dst string"
@@ -88,8 +88,9 @@ def shortest_path(relations: DataFrame, starts: list[str], goals: list[str], mos
     hub = hub_threshold(relations).first()["hub"]
     big = degrees(relations).where(F.col("degree") > hub).select("node")
     known = spark.createDataFrame([(s, None, None, 0) for s in starts], "node string, parent string, label string, level int")
-    frontier, hit = known, None
-    for level in range(1, most + 1):
+    frontier, hit, level = known, None, 0
+    while not hit:
+        level += 1
         open_ = frontier if level == 1 else frontier.join(big, "node", "left_anti")
         step = open_.select("node").join(adj, "node").join(known.select(F.col("node").alias("to")), "to", "left_anti")
         best = F.min_by(F.struct("node", "label"), F.struct((F.col("label") == GENERIC).cast("int"), -F.col("weight"), "node", "label"))
@@ -98,11 +99,9 @@ def shortest_path(relations: DataFrame, starts: list[str], goals: list[str], mos
         if frontier.isEmpty():
             return spark.createDataFrame([], schema)
         known = known.unionByName(frontier)
+        if level % 16 == 0:  # a plan of few parts, however long the chain
+            known = cut(known)
         hit = frontier.where(F.col("node").isin(*goals)).orderBy("node").first()
-        if hit:
-            break
-    if not hit:
-        return spark.createDataFrame([], schema)
     chain, node = [], hit
     while node["parent"] is not None:  # as many look-ups as the path has steps
         chain.append((node["level"], node["parent"], node["label"], node["node"]))
