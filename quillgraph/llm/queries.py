@@ -28,7 +28,7 @@ def pattern() -> str:
 
 
 def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, shards = repair.store_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    folder, shards = repair.store_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), added=True)
     return repair.read_shards(spark, folder, shards)
 
 

@@ -17,8 +17,10 @@ table gives no shards and no rows.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -165,15 +167,18 @@ class WordTable:
     """The ids of words met so far, by the words' 64-bit hashes: a direct-mapped table and one array of ids.
 
     The tokenizer's pretokens never reach over ASCII white space, nor from a Latin letter to the signs that end a
-    word, and it lower-cases; so the library encodes each word once as long as the table holds it.
+    word, and it lower-cases; so the library encodes each word once as long as the table holds it. With added, the
+    vocabulary's added tokens are found in texts, as the library does by default: words that hold one stay whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        self.full.encode_special_tokens = not added
+        marks = [re.escape(x.content.encode()) for x in self.full.get_added_tokens_decoder().values()] if added else []
+        self.marks = re.compile(b"|".join(marks)) if marks else None
         self.bare = Tokenizer(self.full.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.reset()
@@ -186,6 +191,9 @@ class WordTable:
         """All texts' ids, each text's followed by end_id, and their numbers."""
         starts, ends, woff = W.find_words(raw, off)
         cut = tails(raw, starts, ends)
+        held = [m.start() for m in self.marks.finditer(raw.tobytes())] if self.marks else []
+        marked = np.unique(np.searchsorted(starts, held, side="right") - 1) if held else np.zeros(0, np.int64)
+        cut[marked] = 0
         tail = (cut > 0).astype(np.int64)
         each = np.repeat(np.arange(len(starts)), 1 + tail)
         shift = np.zeros(len(starts) + 1, np.int64)
@@ -194,6 +202,8 @@ class WordTable:
         second[shift[:-1]] = False
         begin, stop = np.where(second, ends[each] - cut[each], starts[each]), np.where(second, ends[each], ends[each] - cut[each])
         h = W.hash_words(raw, begin, stop)
+        for i in marked.tolist():  # added tokens are found in their own case only, which hash_words doesn't see
+            h[shift[i]] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
         slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
         place, size = self.start[slot], self.size[slot]
         miss = np.flatnonzero(self.keys[slot] != h)
@@ -261,19 +271,20 @@ def tails(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 8)
     return out
 
 
-_TABLES: dict[str, WordTable] = {}
+_TABLES: dict[tuple[str, bool], WordTable] = {}
 
 
-def word_table(path: str) -> WordTable:
-    if path not in _TABLES:
-        _TABLES[path] = WordTable(path)
-    return _TABLES[path]
+def word_table(path: str, added: bool = False) -> WordTable:
+    if (path, added) not in _TABLES:
+        _TABLES[path, added] = WordTable(path, added)
+    return _TABLES[path, added]
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> list[dict]:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, added: bool = False) -> list[dict]:
     """Writes a file per range of ids into folder (a URI that all executors reach); gives shard, path, docs, tokens.
 
-    What comes back is a row per file, whose number is the number of shuffle partitions.
+    What comes back is a row per file, whose number is the number of shuffle partitions. With added, added tokens inside
+    a text get their own ids; else they are text like any other.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +293,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         name, temp = f"{root}/{shard:08d}.qgrp", f"{root}/_{shard:08d}-{TaskContext.get().taskAttemptId()}"
         out, places, docs_n, tokens_n = None, [], 0, 0
         ids, parts, held = [], [], 0
-        table = word_table(tokenizer)
+        table = word_table(tokenizer, added)
 
         def flush():
             nonlocal ids, parts, held, docs_n, tokens_n
