@@ -174,9 +174,19 @@ def graded_documents(spark, sf):
 
 @query()
 def resolved_entities(spark, sf):
-    """Suppliers' and customers' names as surface forms, and variants of them, in groups."""
-    s = table(spark, sf, "nation").select(F.explode(F.array(F.col("n_name"), F.initcap(F.replace("n_name", F.lit("_"), F.lit(" "))), F.concat("n_name", F.lit(", Inc.")))).alias("label"), F.col("n_nationkey").alias("seq"))
-    s = s.select(F.concat(F.lit("e"), F.xxhash64("label")).alias("id"), "label", F.lit("ORG").alias("type"), "seq").distinct()
+    """Suppliers' and customers' names as surface forms, and variants of them, in groups.
+
+    Each name gets a word from its hash, because the tables' numbered names lie within a typo of each other.
+    """
+    told = lambda c: F.concat(c, F.lit(" "), F.substring(F.sha2(c, 256), 1, 8))
+    n = table(spark, sf, "nation")
+    o = table(spark, sf, "supplier").select(told("s_name").alias("name"), F.col("s_suppkey").alias("seq"), F.lit("ORG").alias("type"))
+    p = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(told("c_name").alias("name"), F.col("c_custkey").alias("seq"), "n_name", F.lit("PERSON").alias("type"))
+    spaced = F.replace("name", F.lit("#"), F.lit(" "))
+    org = F.array(F.col("name"), spaced, F.concat("name", F.lit(", Inc.")))
+    person = F.array(F.col("name"), F.concat(F.lit("Dr. "), spaced), F.concat(spaced, F.lit(" of "), "n_name"), F.expr("left(name, length(name) - 1)"))
+    s = o.select(F.explode(org).alias("label"), "type", "seq").unionByName(p.select(F.explode(person).alias("label"), "type", "seq")).where("label is not null")
+    s = s.select(F.concat(F.lit("e"), F.xxhash64("label", "type")).alias("id"), "label", "type", "seq").distinct()
     return resolve.canonicalise(s).groupBy("canonical").agg(F.count("*").alias("forms"))
 
 
