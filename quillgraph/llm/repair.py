@@ -1,18 +1,20 @@
 """Token ids in files of Re-Pair grammars, with random access.
 
 Documents are sorted by id over all shards. A shard's task encodes its texts with the tokenizers library, ends each
-document with an id, and packs the ids in blocks of about BLOCK ids. Of a block, frequent pairs of neighbouring
-symbols are replaced by nonterminals, again and again; no pair reaches over a document's end. A round takes all pairs
-of at least LEAST occurrences that win their bucket of a hash table (another salt in each round) and replaces their
-occurrences from left to right. What is stored: the rules, each symbol's expansion length, each document's first
-symbol and first token, and the symbols; so any token is found by document, then by sums of lengths.
+document with an id, and packs the ids in blocks of about BLOCK ids (what a reader has to hold for random access). Of a
+block, frequent pairs of neighbouring symbols are replaced by nonterminals until no pair occurs LEAST times; no pair
+reaches over a document's end. A round takes all frequent pairs that win their bucket of a hash table (another salt in
+each round; the last rounds count exactly) and replaces their occurrences from left to right. What is stored: the rules,
+each symbol's expansion length, each document's first symbol and first token, and the symbols; so any token is found by
+document, then by sums of lengths.
 
 Files are written whole under a temporary name and then renamed, so that a repeated task replaces its file by an
 equal one.
 
 Defined cases: a null text counts as empty (only the end id is stored); a null document id comes first; documents
-with equal ids are ordered by a hash of the text; repeated rows are stored each; other columns are ignored; an empty
-table gives no shards and no rows.
+with equal ids are ordered by a hash of the text; repeated rows are stored each; the id -2^63 is taken for null; other
+columns are ignored; an empty table gives no shards and no rows. A text of any length is encoded whole; one of more than
+BLOCK ids is a block of its own, so a task has to hold its ids some ten times over.
 """
 
 from __future__ import annotations
@@ -35,42 +37,57 @@ from pyspark.sql import functions as F
 from quillgraph.llm import bytewords as W
 from quillgraph.llm.common import pieces, put_in_place, shared_dir, small_batches, utf8
 
-BLOCK, LEAST, ROUNDS = 1 << 18, 12, 4
+BLOCK, LEAST = 1 << 20, 20
 MAGIC = b"QGRP0001"
 NO_ID = -(1 << 63)
 #: slots and ids of each worker's table of words
 SLOTS, MOST = 1 << 20, 1 << 23
 
 
-def pack(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, least: int = LEAST, base: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (pairs of symbols; rule i is symbol base + i) and a mask of the symbols that end documents."""
-    sym, rules, known = ids.astype(np.int32), [], 0
+def pack(ids: np.ndarray, last: np.ndarray, least: int = LEAST, base: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules (pairs of symbols; rule i is symbol base + i) and a mask of the symbols that end documents.
+
+    No pair of neighbours within a document is left that occurs least times without overlaps.
+    """
+    sym, last, rules, known, r, sure = ids.astype(np.int32), last.copy(), [], 0, 0, False
     bits = 18
-    for r in range(rounds):
-        if len(sym) < 2:
-            break
+    while len(sym) > 1:
         key = (sym[:-1].astype(np.int64) << 32) | sym[1:]
-        h = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + (r << 1))) >> np.uint64(64 - bits)).view(np.int64)
-        holder = np.zeros(1 << bits, np.int64)
-        holder[h] = key
-        at = np.flatnonzero((holder[h] == key) & ~last[:-1])
-        ha = h[at]
-        chosen = np.flatnonzero(np.bincount(ha, minlength=1 << bits) >= least)
+        if sure:  # few frequent pairs are left, if any: count exactly
+            values, slot = np.unique(key, return_inverse=True)
+            at = np.flatnonzero(~last[:-1])
+        else:
+            slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + (r << 1))) >> np.uint64(64 - bits)).view(np.int64)
+            values = np.zeros(1 << bits, np.int64)
+            values[slot] = key
+            at = np.flatnonzero((values[slot] == key) & ~last[:-1])
+        r += 1
+        # of a run of places of one pair (as in "aaaa") every second one, from its start, is taken
+        h = slot[at]
+        begin = np.ones(len(at), bool)
+        begin[1:] = (at[1:] != at[:-1] + 1) | (h[1:] != h[:-1])
+        run = np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))
+        once = (np.arange(len(at)) - run) & 1 == 0
+        chosen = np.flatnonzero(np.bincount(h[once], minlength=len(values)) >= least)
         if not len(chosen):
+            if sure:
+                break
+            sure = True
             continue
-        rule = np.full(1 << bits, -1, np.int32)
+        rule = np.full(len(values), -1, np.int32)
         rule[chosen] = np.arange(len(chosen), dtype=np.int32) + known
-        new = rule[ha]
+        at, new = at[once], rule[h[once]]
         at, new = at[new >= 0], new[new >= 0]
-        # of a run of neighbouring places every second one, from its start, is taken
+        # chosen pairs that overlap: from each stretch's start every second one is replaced, the next round sees the rest
         begin = np.concatenate([[True], at[1:] != at[:-1] + 1])
         run = np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))
         odd = (np.arange(len(at)) - run) & 1 == 0
         at, new = at[odd], new[odd]
-        rules.append(np.stack([holder[chosen] >> 32, holder[chosen] & 0xFFFFFFFF], 1).astype(np.int32))
-        known += len(chosen)
-        sym, last = sym.copy(), last.copy()
-        sym[at] = new + base
+        used = np.bincount(new - known, minlength=len(chosen)) > 0
+        number = (np.cumsum(used) - 1 + known).astype(np.int32)
+        rules.append(np.stack([values[chosen[used]] >> 32, values[chosen[used]] & 0xFFFFFFFF], 1).astype(np.int32))
+        sym[at] = number[new - known] + base
+        known += int(used.sum())
         last[at] = last[at + 1]
         stay = np.ones(len(sym), bool)
         stay[at + 1] = False
@@ -160,6 +177,20 @@ class Block:
 BYTE_LETTERS = {b: c for b, c in zip([*range(0x80, 0xA1), 0xAD], range(0x122, 0x144))}
 LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
 
+#: parts of a tokenizer file of which the table of words knows that they work word by word
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 SIGN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
@@ -167,15 +198,21 @@ class WordTable:
     """The ids of words met so far, by the words' 64-bit hashes: a direct-mapped table and one array of ids.
 
     The tokenizer's pretokens never reach over ASCII white space, nor from a Latin letter to the signs that end a
-    word, and it lower-cases; so the library encodes each word once as long as the table holds it. With added, the
-    vocabulary's added tokens are found in texts, as the library does by default: words that hold one stay whole.
+    word, and it lower-cases; so the library encodes each word once as long as the table holds it. That holds for files
+    with the normaliser and the pretokenizer in WORDWISE; texts of any other file go to the library whole. With added,
+    the vocabulary's added tokens are found in texts, as the library does by default: words that hold one stay whole.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str, added: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.wordwise = all(parts.get(k) == v for k, v in WORDWISE.items()) and not any(x[k] for x in parts.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        top = max(self.full.get_vocab().values(), default=0)
+        self.kind = np.uint16 if top < 1 << 16 else np.uint32
         self.full.encode_special_tokens = not added
         marks = [re.escape(x.content.encode()) for x in self.full.get_added_tokens_decoder().values()] if added else []
         self.marks = re.compile(b"|".join(marks)) if marks else None
@@ -185,10 +222,14 @@ class WordTable:
 
     def reset(self) -> None:
         self.keys, self.start, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-        self.flat, self.used = np.zeros(1 << 20, np.uint16), 0
+        self.flat, self.used = np.zeros(1 << 20, self.kind), 0
 
     def encode(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's followed by end_id, and their numbers."""
+        if not self.wordwise:
+            text = raw.tobytes()
+            got = [e.ids + [end_id] for e in self.full.encode_batch_fast([text[a:b].decode() for a, b in zip(off[:-1], off[1:])], add_special_tokens=False)]
+            return np.array([y for x in got for y in x], np.uint32), np.array([len(x) for x in got])
         starts, ends, woff = W.find_words(raw, off)
         cut = tails(raw, starts, ends)
         held = [m.start() for m in self.marks.finditer(raw.tobytes())] if self.marks else []
@@ -213,7 +254,7 @@ class WordTable:
             text = raw.tobytes()
             fresh, where, n = self.ids_of([text[x:y].decode() for x, y in zip(begin[at].tolist(), stop[at].tolist())])
             if self.used + len(fresh) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(fresh)), np.uint16)])
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(fresh)), self.kind)])
             self.flat[self.used : self.used + len(fresh)] = fresh
             where += self.used
             self.used += len(fresh)
@@ -244,12 +285,12 @@ class WordTable:
                     if kind:
                         text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
                     found = self.bare.encode(text, add_special_tokens=False)
-                    ids, word = np.array(found.ids, np.uint16), np.array(found.word_ids)
+                    ids, word = np.array(found.ids, self.kind), np.array(found.word_ids)
                     n = np.bincount(word, minlength=len(part))
                 else:
                     got = [e.ids for e in self.full.encode_batch_fast([words[i] for i in part], add_special_tokens=False)]
                     n = np.array([len(x) for x in got])
-                    ids = np.array([y for x in got for y in x], np.uint16)
+                    ids = np.array([y for x in got for y in x], self.kind)
                 size[part], where[part] = n, at + np.cumsum(n) - n
                 at += len(ids)
                 flat.append(ids)
@@ -274,17 +315,17 @@ def tails(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 8)
 _TABLES: dict[tuple[str, bool], WordTable] = {}
 
 
-def word_table(path: str, added: bool = False) -> WordTable:
+def word_table(path: str, added: bool = True) -> WordTable:
     if (path, added) not in _TABLES:
         _TABLES[path, added] = WordTable(path, added)
     return _TABLES[path, added]
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, added: bool = False) -> list[dict]:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, added: bool = True) -> list[dict]:
     """Writes a file per range of ids into folder (a URI that all executors reach); gives shard, path, docs, tokens.
 
-    What comes back is a row per file, whose number is the number of shuffle partitions. With added, added tokens inside
-    a text get their own ids; else they are text like any other.
+    What comes back is a row per file, whose number is the number of shuffle partitions. Added tokens inside a text get
+    their own ids; without added they are text like any other.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,7 +46,6 @@ def test_token_queries(spark):
 
     docs = documents(spark)
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     at = 0
     got = {r["doc_id"]: r for r in Q.op1_repair_tokens(spark, SF).collect()}
     for i in sorted(docs):
