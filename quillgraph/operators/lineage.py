@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the checkpoint folder (``spark.checkpoint.dir``) from then on.
+def shared_base(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, as a URI; a path without a scheme is one of Hadoop's default file system.
 
-    Only on a single machine without that setting a folder of our own is used.
+    Only on a single machine without that setting a folder of our own under /tmp is used.
     """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and found.isDefined():
+        base = found.get()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/quillgraph-shared"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the shared folder from then on."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(base or "file:///tmp/quillgraph-checkpoints")
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
