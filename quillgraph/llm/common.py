@@ -10,27 +10,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from quillgraph.operators.lineage import shared_base
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names no such folder (tests, a single machine) a folder under /tmp is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jsc = spark.sparkContext._jsc.sc()
-        found = jsc.getCheckpointDir()
-        if found.isDefined():
-            base = found.get()
-        else:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = "file:///tmp/quillgraph-shared"
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: folders that this process has written into the shared folder
+_WRITTEN: list[str] = []
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``)."""
+    path = f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +33,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Deletes what this process has written to the shared folder, once no result that reads it is needed any longer."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows in each Arrow batch: whole texts are long, and both sides of a Python worker hold batches."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.llm import line_dedup, ngram_jaccard
 
@@ -97,3 +98,60 @@ def test_components(spark, edges, want):
 
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == want
+
+
+def test_dense_runs_and_split_tokens_give_the_same(spark, monkeypatch):
+    """Families compared by members, tokens split into blocks, cells into pairs of blocks."""
+    from quillgraph.llm import setjoin
+
+    monkeypatch.setattr(setjoin, "DENSE", 0)
+    monkeypatch.setattr(setjoin, "RUN", 3)
+    test_ngram_join_equals_brute_force(spark)
+    test_line_dedup_equals_brute_force(spark)
+    monkeypatch.setattr(setjoin, "CELL", 300)
+    test_ngram_join_equals_brute_force(spark)
+    test_line_dedup_equals_brute_force(spark)
+
+
+def test_a_large_family_is_counted_without_pairs(spark, monkeypatch):
+    """1,500 near copies, all different: what leaves the runs grows with the rows, not with the pairs."""
+    from quillgraph.llm import setjoin
+
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(1500):
+        copy = list(base)
+        for _ in range(r.randint(1, 2)):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    seen = []
+    plain = setjoin.candidates
+    monkeypatch.setattr(setjoin, "candidates", lambda *a: seen.append(out := plain(*a)) or out)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["n_similar"] for x in ngram_jaccard.similar_documents(docs).collect()}
+    hashed = [{hash(x) for x in sets(t)} for t in texts]
+    for i in r.sample(range(1500), 40):
+        assert got[i] == sum(100 * len(hashed[i] & h) >= 80 * len(hashed[i] | h) for h in hashed) - 1
+    assert sum(got.values()) > 500_000 and seen[0].count() < 60 * len(texts)
+
+
+def test_one_of_each_group(spark):
+    far = " ".join(f"v{i}" for i in range(30))
+    rows = [(7, "a b c d e f g", 1), (None, "A b c d e f g", 2), (7, "a b c d e f g", 3), (9, "a b c d e f g", 4), (None, None, 5), (None, "", 6), (3, far, 7), (None, far + " w", 8), (8, None, 9), (7, "other words", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `p1` int").withColumnRenamed("p1", "a `b`.c")
+    kept = ngram_jaccard.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    left = sorted(x[2] for x in kept.collect())
+    assert left in ([1, 5, 6, 7, 9, 10], [3, 5, 6, 7, 9, 10])
+    assert ngram_jaccard.one_of_each_group(docs.limit(0)).count() == 0
+
+
+def test_clashing_names_and_largest_ids(spark):
+    top = (1 << 63) - 1
+    docs = spark.createDataFrame([(top, "a b c\na b c", 1, 2), (None, "a b c", 3, 4)], "doc_id long, text string, n_lines int, n_removed int")
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", "n_lines", "n_removed", "_n_lines", "_n_removed"]
+    assert sorted(tuple(r)[1:] for r in out.collect()) == [("", 3, 4, 1, 1), ("a b c", 1, 2, 2, 1)] or sorted(tuple(r)[1:] for r in out.collect()) == [("", 1, 2, 2, 2), ("a b c", 3, 4, 1, 0)]
+    got = sorted((r["doc_id"] or -1, r["n_similar"], r["component_id"]) for r in ngram_jaccard.similar_documents(docs.withColumn("text", F.lit("q r s t u"))).collect())
+    assert got == [(-1, 1, top), (top, 1, top)]
