@@ -144,9 +144,9 @@ def prefix_counts(found: DataFrame) -> np.ndarray:
 
 
 def postings(found: DataFrame, signed: bool) -> DataFrame:
-    """(run, token, prev, k, meta) of each prefix token: prev is the one before it (0 for the first); meta holds n, the
-    position, and 2 for a token in one run, else the side (0 or 1) that a row has in a run of two blocks, or 2 in a run
-    of one block.
+    """(token, part, prev, k, meta) of each prefix token: prev is the one before it (0 for the first); part numbers the
+    runs of a token that is split, from 1 on; meta holds n, the position, and the side (0 or 1) that a row has in a run
+    of two blocks, or 2 in any other run.
 
     signed: each also carries its set's parities; they tell small sets apart and are of no use for large ones.
     """
@@ -166,7 +166,7 @@ def postings(found: DataFrame, signed: bool) -> DataFrame:
                 prev = np.concatenate([[0], tokens[:-1]]) if len(tokens) else tokens
                 prev = np.where(pos == 0, 0, prev)
                 meta = ((n << POS) | pos) << 2 | 2
-                run = tokens
+                part = np.zeros(len(tokens), np.int32)
                 many = parts.value[(tokens.view(np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64)
                 if (many > 1).any():  # a row of block b goes to the runs of all pairs of blocks that hold b
                     at = np.repeat(np.arange(len(tokens)), np.maximum(many, 1))
@@ -176,33 +176,32 @@ def postings(found: DataFrame, signed: bool) -> DataFrame:
                     block = (mix(k.view(np.uint64)) % np.maximum(many, 1).astype(np.uint64)).astype(np.int64)
                     low, high = np.minimum(block, other), np.maximum(block, other)
                     meta = meta - 2 + np.where(low == high, 2, block == high)
-                    run = np.where(many > 1, mix(tokens.view(np.uint64) ^ mix((low * (1 << 20) + high + 1).astype(np.uint64))).view(np.int64), tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (run, tokens, prev, k, meta, *sig)], ["run", "token", "prev", "k", "meta", *own[2:]])
+                    part = np.where(many > 1, high * (high + 1) // 2 + low + 1, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens, part, prev, k, meta, *sig)], ["token", "part", "prev", "k", "meta", *own[2:]])
 
-    return found.where("octet_length(prefix) > 0").select(*own, "prefix").mapInArrow(spread, "run long, token long, prev long, k long, meta long" + ", sig long" * signed)
+    return found.where("octet_length(prefix) > 0").select(*own, "prefix").mapInArrow(spread, "token long, part int, prev long, k long, meta long" + ", sig long" * signed)
 
 
 def candidates(post: DataFrame, num: int, den: int) -> DataFrame:
     """Rows (a, b, t, g). With g null: keys a < b share the prefix token t and pass the filters. Else: key a is in the
     dense run g of token t, on side b."""
 
-    def pair(t, token, prev, k, meta, sig=None) -> tuple[np.ndarray, ...]:
-        """Rows are sorted by run and n; i meets i + 1, i + 2, ... as long as the run and the length filter allow."""
+    def pair(token, part, prev, k, meta, sig=None) -> tuple[np.ndarray, ...]:
+        """Rows are sorted by run (token and part) and n; i meets i + 1, i + 2, ... as long as the run and the length filter allow."""
         side, pos, n = meta & 3, (meta >> 2) & ((1 << POS) - 1), meta >> (POS + 2)
-        first = np.concatenate([[True], t[1:] != t[:-1]])
-        group = np.cumsum(first) - 1
+        group = np.cumsum(np.concatenate([[True], (token[1:] != token[:-1]) | (part[1:] != part[:-1])])) - 1
         room = DENSE * np.bincount(group)
         pairs = np.zeros(len(room), np.int64)
         index = pos < n - -(-2 * num * n // (num + den)) + 1
         i, d = np.flatnonzero(index[:-1]), 1
         outs = []
         while len(i):
-            i = i[i + d < len(t)]
+            i = i[i + d < len(group)]
             j = i + d
-            go = (t[i] == t[j]) & (n[i] * den >= num * n[j]) & (pairs[group[i]] <= room[group[i]])
+            go = (group[i] == group[j]) & (n[i] * den >= num * n[j]) & (pairs[group[i]] <= room[group[i]])
             i, j = i[go], j[go]
             need = -(-num * (n[i] + n[j]) // (num + den))
-            ok = (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need) & ((prev[i] != prev[j]) | (pos[i] == 0) | (pos[j] == 0)) & (k[i] != k[j]) & (token[i] == token[j]) & ((side[i] == 2) | (side[i] != side[j]))
+            ok = (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need) & ((prev[i] != prev[j]) | (pos[i] == 0) | (pos[j] == 0)) & (k[i] != k[j]) & ((side[i] == 2) | (side[i] != side[j]))
             if sig is not None:
                 ok &= np.bitwise_count(sig[i] ^ sig[j]) <= n[i] + n[j] - 2 * need
             outs.append((i[ok], j[ok]))
@@ -215,39 +214,40 @@ def candidates(post: DataFrame, num: int, den: int) -> DataFrame:
         at = np.flatnonzero(dense[group])
         a = np.concatenate([np.minimum(k[i], k[j]), k[at]])
         b = np.concatenate([np.maximum(k[i], k[j]), side[at]])
-        return a, b, np.concatenate([token[i], token[at]]), np.concatenate([t[i], t[at]]), np.arange(len(a)) < len(i)
+        return a, b, np.concatenate([token[i], token[at]]), np.concatenate([part[i], part[at]]), np.arange(len(a)) < len(i)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done(final):
             x = tuple(np.concatenate(y) for y in zip(*held))
+            same = (x[0][1:] == x[0][:-1]) & (x[1][1:] == x[1][:-1])
             keep = np.ones(len(x[0]), bool)  # equal sets from several tasks
-            keep[1:] = (x[0][1:] != x[0][:-1]) | (x[3][1:] != x[3][:-1]) | (x[4][1:] != x[4][:-1]) | (x[1][1:] != x[1][:-1])
+            keep[1:] = ~same | (x[3][1:] != x[3][:-1]) | (x[4][1:] != x[4][:-1])
             x = tuple(y[keep] for y in x)
-            t = x[0]
-            cut = len(t) if final else int(np.searchsorted(t, t[-1]))
+            same = (x[0][1:] == x[0][:-1]) & (x[1][1:] == x[1][:-1])
+            cut = len(x[0]) if final else int(np.flatnonzero(np.concatenate([[True], ~same]))[-1])
             held[:] = [tuple(y[cut:] for y in x)]
             near = np.zeros(cut, bool)
             if cut:
-                same = t[1:cut] == t[: cut - 1]
-                near[1:] |= same
-                near[:-1] |= same
+                near[1:] |= same[: cut - 1]
+                near[:-1] |= same[: cut - 1]
             at = np.flatnonzero(near)
             if not len(at):
                 return None
-            a, b, token, run, sparse = pair(*(y[at] for y in x[:5]), *(y[at].view(np.uint64) for y in x[5:]))
+            a, b, token, part, sparse = pair(*(y[at] for y in x[:5]), *(y[at].view(np.uint64) for y in x[5:]))
+            run = mix(token.view(np.uint64) ^ mix(part.astype(np.uint64))).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(token), pa.array(run, mask=sparse)], ["a", "b", "t", "g"]) if len(a) else None
 
         for batch in batches:
             if batch.num_rows:
                 held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)))
-                if held[0][0][0] != held[-1][0][-1] and (found := done(False)) is not None:
+                if any(held[0][c][0] != held[-1][c][-1] for c in (0, 1)) and (found := done(False)) is not None:
                     yield found
         if held and len(held[0][0]) and (found := done(True)) is not None:
             yield found
 
-    return post.repartition("run").sortWithinPartitions("run", "meta", "k").mapInArrow(runs, "a long, b long, t long, g long")
+    return post.repartition("token", "part").sortWithinPartitions("token", "part", "meta", "k").mapInArrow(runs, "a long, b long, t long, g long")
 
 
 def unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -474,6 +474,36 @@ def dense_links(x: np.ndarray, side: np.ndarray, block: np.ndarray | None, t: in
         yield tuple(np.concatenate(c) for c in zip(*outs))
 
 
+def dense_cells(dense: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of dense runs with their cells, as in cells()."""
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    none = F.lit(0).cast("long")
+    # runs that share members share cells, so that a set travels there once; two rounds of smallest labels
+    sized = stored(dense.distinct().join(labels.select(F.col("k").alias("a"), "n"), "a"), "dense")
+    runs = stored(sized.groupBy("g").agg(F.count("*").alias("rows")).withColumn("label", F.col("g")), "runs")
+    for _ in range(2):
+        low = with_keys(sized, runs, "rows", key="g").groupBy("a").agg(F.min("label").alias("low"))
+        runs = stored(sized.join(low, "a").groupBy("g").agg(F.count("*").alias("rows"), F.min("low").alias("label")), "runs")
+    placed = with_keys(sized, runs, "rows", key="g")
+    family = placed.select("label", "a", "n").distinct().groupBy("label").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
+    family = stored(family.select(F.col("label").alias("f"), F.ceil(F.col("tokens") / CELL).alias("blocks"), "tokens", F.col("rows").alias("members")), "families")
+    total = family.agg(F.sum("tokens")).first()[0] or 0
+    blocked = with_keys(placed.withColumnRenamed("label", "f"), family, "members", key="f").withColumn("o", block("a"))
+    span = F.transform(F.sequence(none, F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("o")).alias("i"), F.greatest(x, F.col("o")).alias("j")))
+    alone = F.col("blocks") == 1
+    return blocked.withColumn("x", F.explode(span)).select(
+        "a",
+        "b",
+        "t",
+        "g",
+        F.when(alone, F.pmod(F.xxhash64("f"), F.lit(max(1, total // CELL)))).otherwise(F.col("f")).alias("c1"),
+        F.when(alone, F.lit(-2)).otherwise(F.col("x.i") * (1 << 31) + F.col("x.j")).cast("long").alias("c2"),
+        "x.i",
+        "x.j",
+        "o",
+    )
+
+
 def cells(pairs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidates with cells (c1, c2), blocks i and j of the cell and o of the row; the members (k, d1, d2, w, p1, p2,
     p3) that each cell needs; all nodes with candidates.
@@ -503,24 +533,9 @@ def cells(pairs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, Dat
             none.alias("o"),
         )
     )
-    sized = stored(dense.distinct().join(labels.select(F.col("k").alias("a"), "n"), "a"), "dense")
-    runs = sized.groupBy("g").agg(F.sum("n").alias("tokens"))
-    total = runs.agg(F.sum("tokens")).first()[0] or 0
-    blocked = sized.join(runs.select("g", F.ceil(F.col("tokens") / CELL).alias("blocks")), "g").withColumn("o", block("a"))
-    span = F.transform(F.sequence(none, F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("o")).alias("i"), F.greatest(x, F.col("o")).alias("j")))
-    alone = F.col("blocks") == 1
-    two = blocked.withColumn("x", F.explode(span)).select(
-        "a",
-        "b",
-        "t",
-        "g",
-        F.when(alone, F.pmod(F.xxhash64("g"), F.lit(max(1, total // CELL)))).otherwise(F.col("g")).alias("c1"),
-        F.when(alone, F.lit(-2)).otherwise(F.col("x.i") * (1 << 31) + F.col("x.j")).cast("long").alias("c2"),
-        "x.i",
-        "x.j",
-        "o",
-    )
-    celled = stored(one.unionByName(two), "cells")
+    if not dense.isEmpty():
+        one = one.unionByName(dense_cells(dense, labels))
+    celled = stored(one, "cells")
     ends = F.when(F.col("g").isNull(), F.array("a", "b")).otherwise(F.array("a"))
     members = celled.select(F.explode(ends).alias("k"), "c1", "c2").distinct()
     members = members.join(labels.select("k", "w", "p1", "p2", "p3"), "k")
@@ -554,9 +569,9 @@ def linked(docs: DataFrame, extract: Extract, num: int, den: int, signed: bool =
     return found.drop("prefix", "sig"), nodes, links
 
 
-def with_keys(rows: DataFrame, known: DataFrame, weight: str, how: str = "inner") -> DataFrame:
-    """rows (with k) joined with known (a stored row per key). The keys with most rows are joined by broadcast, so that
-    no task gets more than a small part of all rows for one key."""
-    hot = F.broadcast(known.orderBy(F.desc(weight), "k").limit(HOT))
-    rest = rows.join(hot.select("k"), "k", "left_anti").join(known, "k", how)
-    return rows.join(hot, "k").select(*rest.columns).unionByName(rest)
+def with_keys(rows: DataFrame, known: DataFrame, weight: str, how: str = "inner", key: str = "k") -> DataFrame:
+    """rows joined with known (a stored row per key). The keys with most rows are joined by broadcast, so that no task
+    gets more than a small part of all rows for one key."""
+    hot = F.broadcast(known.orderBy(F.desc(weight), key).limit(HOT))
+    rest = rows.join(hot.select(key), key, "left_anti").join(known, key, how)
+    return rows.join(hot, key).select(*rest.columns).unionByName(rest)
