@@ -64,10 +64,24 @@ def query_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(tokens(c), lambda t: F.length(t) >= 3))
 
 
+def _folds() -> tuple[str, str]:
+    """Accented Latin letters with their plain ones, then the combining marks, which have none."""
+    plain = {chr(i): d[0] for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(i))) > 1 and d[0] in "abcdefghijklmnopqrstuvwxyz"}
+    return "".join(plain) + "".join(map(chr, range(0x300, 0x370))), "".join(plain.values())
+
+
+ACCENTED, PLAIN = _folds()
+
+
+def search_tokens(c: Column) -> Column:
+    """What full-text search finds: runs of letters and digits of any script, lower-cased, without accents, in order."""
+    return F.regexp_extract_all(F.translate(F.lower(c), ACCENTED, PLAIN), F.lit(r"([\p{L}\p{N}\p{Co}]+)"))
+
+
 def search_terms(c: Column) -> Column:
     """Terms of a full-text query: letters of any script, digits and a few signs, at least two of them ASCII."""
     found = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}£$€%.\-]+)"))
-    return F.array_distinct(F.filter(found, lambda t: F.length(F.regexp_replace(t, "[^a-z0-9]", "")) >= 2))
+    return F.filter(found, lambda t: F.length(F.regexp_replace(t, "[^a-z0-9]", "")) >= 2)
 
 
 def best_passage(content: Column, terms: Column) -> Column:

@@ -110,7 +110,78 @@ def hash_vector(text: str | None, known: dict[str, int]) -> np.ndarray:
     return v / size if size else v
 
 
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(97, 123)]] = True
+_PRIME = np.uint32(16777619)
+
+
+def _state(prefix: str) -> np.uint32:
+    return np.uint32(_fnv(prefix))
+
+
+def _hash_on(state: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """32-bit FNV-1a of each run of bytes, going on from a state each."""
+    h = state.copy()
+    at, i = np.flatnonzero(size > 0), 0
+    while len(at):
+        h[at] = (h[at] ^ raw[start[at] + i]) * _PRIME
+        i += 1
+        at = at[size[at] > i]
+    return h
+
+
+def hash_vectors(texts: list[str | None]) -> np.ndarray:
+    """hash_vector of many texts at once, over the bytes of all of them."""
+    n = len(texts)
+    raw = np.frombuffer(("\n".join((t or "").replace("\n", " ") for t in texts) + "\n").lower().encode(), np.uint8)
+    inside = np.concatenate([[False], _WORD[raw], [False]])
+    start = np.flatnonzero(inside[1:-1] & ~inside[:-2])
+    size = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1 - start
+    row = np.searchsorted(np.flatnonzero(raw == 10), start)
+    wide = raw.astype(np.uint32)
+    own = np.full(len(start), _state("w:"), np.uint32)
+    own = _hash_on(own, wide, start, size)
+    # words are told apart by two hashes
+    other = _hash_on(np.full(len(start), np.uint32(0x9E3779B9), np.uint32), wide * np.uint32(31) + np.uint32(7), start, size)
+    key = own.astype(np.uint64) << np.uint64(32) | other
+    order = np.lexsort((key, row))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (key[order[1:]] != key[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+    first, count = order[fresh], np.diff(np.append(np.flatnonzero(fresh), len(order)))
+    weight = 1 + np.log(np.maximum(count, 1))
+    cells, parts = [row[first] * DIM + own[first] % DIM], [np.where(own[first] >= 1 << 31, weight, -weight)]
+    # letter triples of each different word, with a sign on both ends
+    length = size[first]
+    word = np.repeat(np.arange(len(first)), length)
+    inner = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length)
+    at = start[first][word] + inner
+    edge = np.uint32(ord("#"))
+    before = np.where(inner > 0, wide[np.maximum(at - 1, 0)], edge)
+    after = np.where(inner + 1 < length[word], wide[np.minimum(at + 1, len(wide) - 1)], edge)
+    h = np.full(len(at), _state("c:"), np.uint32)
+    for x in (before, wide[at], after):
+        h = (h ^ x) * _PRIME
+    cells.append(row[first][word] * DIM + h % DIM)
+    parts.append(np.where(h >= 1 << 31, 0.5 * weight[word], -0.5 * weight[word]))
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    h = _hash_on(np.full(len(pair), _state("b:"), np.uint32), wide, start[pair], size[pair])
+    h = _hash_on((h ^ np.uint32(ord("_"))) * _PRIME, wide, start[pair + 1], size[pair + 1])
+    cells.append(row[pair] * DIM + h % DIM)
+    parts.append(np.where(h >= 1 << 31, 0.7, -0.7))
+    v = np.bincount(np.concatenate(cells).astype(np.int64), weights=np.concatenate(parts), minlength=n * DIM).reshape(n, DIM)
+    norm = np.sqrt((v * v).sum(1))
+    return v / np.where(norm > 0, norm, 1)[:, None]
+
+
 @arrow_udf("array<float>")
 def hash_embedding(texts: pd.Series) -> pd.Series:
-    known: dict[str, int] = {}
-    return texts.map(lambda t: hash_vector(t, known).astype(np.float32))
+    out, part, held = [], [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t or "")
+        if held > 1 << 20:
+            out.extend(hash_vectors(part).astype(np.float32))
+            part, held = [], 0
+    if part:
+        out.extend(hash_vectors(part).astype(np.float32))
+    return pd.Series(out, dtype=object)

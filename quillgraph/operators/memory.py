@@ -14,7 +14,7 @@ from quillgraph.config import FUNCTIONAL, GENERIC, PERMANENT, Config
 from quillgraph.functions import scores, vectors
 from quillgraph.functions import text as T
 from quillgraph.operators.facts import is_typed
-from quillgraph.operators.retrieval import QUERY_BLOCK
+from quillgraph.operators.ranking import blocks
 
 OPPOSITES = dict(x.split(":") for x in "agrees_with:disagrees_with allows:forbids approves:rejects enables:blocks includes:excludes likes:dislikes loves:hates prefers:avoids recommends:discourages supports:opposes trusts:distrusts".split())
 OPPOSITES |= {v: k for k, v in OPPOSITES.items()}
@@ -196,14 +196,13 @@ def strength(now_ms: int, cfg: Config = Config()):
 def nearest_facts(facts: DataFrame, queries: DataFrame, acl: DataFrame, limit: int) -> DataFrame:
     """Of every some facts each query's best, so that only those are shuffled; the query set goes to all tasks in blocks."""
     spark = facts.sparkSession
-    asked = [(r["query_id"], r["user_id"], r["vector"]) for r in queries.select("query_id", "user_id", "vector").toLocalIterator()]
     users = acl.join(queries.select("user_id").distinct(), "user_id", "left_semi").groupBy("virtual_record_id").agg(F.collect_set("user_id").alias("users"))
     columns = ["id", "memory", "strength", "updated_at"]
     source = facts.join(users, "virtual_record_id").select(*columns, F.col("embedding").cast("array<double>"), "users")
     kind = "query_id string, similarity double, " + ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in columns)
     found = spark.createDataFrame([], kind)
-    for a in range(0, len(asked), QUERY_BLOCK):
-        names, askers, sent = zip(*asked[a : a + QUERY_BLOCK])
+    for block in blocks(queries, "query_id", "user_id", "vector"):
+        names, askers, sent = zip(*block)
         sent = spark.sparkContext.broadcast((names, askers, [np.array([] if v is None else v, float) for v in sent]))
 
         def best(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:

@@ -6,20 +6,18 @@ before anything is ranked.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.config import Config
 from quillgraph.functions import scores, vectors
 from quillgraph.functions import text as T
+from quillgraph.operators import ranking
 from quillgraph.operators.facts import is_typed
-
-#: queries whose vectors travel to all tasks at once; more of them go in further blocks
-QUERY_BLOCK = 4096
+from quillgraph.operators.lineage import cut
 
 
 def allowed_chunks(chunks: DataFrame, acl: DataFrame) -> DataFrame:
@@ -33,6 +31,12 @@ def top_per_query(scored: DataFrame, k: int, *order: Column, by: str = "query_id
     return ranked.where(F.col("rank") <= k)
 
 
+def readers(acl: DataFrame, queries: DataFrame) -> DataFrame:
+    """(virtual_record_id, users): of the users who ask, those who may read each record."""
+    asking = acl.join(queries.select("user_id").distinct(), "user_id", "left_semi")
+    return asking.groupBy("virtual_record_id").agg(F.collect_set("user_id").alias("users"))
+
+
 def knn(chunks: DataFrame, queries: DataFrame, k: int, acl: DataFrame | None = None, vector: str = "embedding", key: str = "point_id") -> DataFrame:
     """(query_id, key, score, rank) by exact cosine. queries: query_id, user_id, vector; a stated set of them goes to
     all tasks in blocks, and each task keeps its k best per query, so that only those are shuffled.
@@ -40,49 +44,14 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int, acl: DataFrame | None = N
     With an acl (user_id, virtual_record_id) a chunk counts for the queries of users who may read it: a semi-join
     that comes before the ranking.
     """
-    rows = [(r["query_id"], r["user_id"], list(r["vector"])) for r in queries.select("query_id", "user_id", "vector").where("vector is not null").toLocalIterator()]
-    spark = chunks.sparkSession
-    kind = chunks.schema[key].dataType.simpleString()
-    source = chunks.select(F.col(key), F.col(vector).cast("array<double>"))
+    source = chunks
     if acl is not None:
-        asking = acl.join(queries.select("user_id").distinct(), "user_id", "left_semi")
-        users = asking.groupBy("virtual_record_id").agg(F.collect_set("user_id").alias("users"))  # of the stated queries' users only
-        source = chunks.join(users, "virtual_record_id").select(F.col(key), F.col(vector).cast("array<double>"), "users")
-    found = None
-    for a in range(0, len(rows), QUERY_BLOCK):
-        block = rows[a : a + QUERY_BLOCK]
-        sent = spark.sparkContext.broadcast((np.array([r[2] for r in block]), [r[0] for r in block], [r[1] for r in block]))
-
-        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            q, names, users = sent.value
-            size = np.linalg.norm(q, axis=1)
-            q = q / np.where(size > 0, size, 1)[:, None]
-            keys: list = [[] for _ in names]
-            score: list = [np.zeros(0) for _ in names]
-            for batch in batches:
-                rows_ok = [i for i, x in enumerate(batch.column(1).to_pylist()) if x is not None and len(x) == q.shape[1]]
-                if not rows_ok:
-                    continue
-                part = batch.take(pa.array(rows_ok))
-                v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rows_ok), -1)
-                n = np.linalg.norm(v, axis=1)
-                s = np.where((n > 0)[:, None], v @ q.T / np.where(n > 0, n, 1)[:, None], 0.0)
-                ids = part.column(0).to_pylist()
-                may = [set(x) for x in part.column(2).to_pylist()] if part.num_columns > 2 else None
-                for j in range(len(names)):
-                    at = np.arange(len(ids)) if may is None else np.array([i for i, u in enumerate(may) if users[j] in u], int)
-                    all_s, all_k = np.concatenate([score[j], s[at, j]]), keys[j] + [ids[i] for i in at]
-                    order = sorted(range(len(all_k)), key=lambda i: (-round(all_s[i], 9), all_k[i]))[:k]
-                    score[j], keys[j] = all_s[order], [all_k[i] for i in order]
-            out = [(n, i, float(x)) for n, ks, sc in zip(names, keys, score) for i, x in zip(ks, sc)]
-            if out:
-                a_, b_, c_ = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a_), pa.array(b_), pa.array(c_)], ["query_id", key, "score"])
-
-        part = source.mapInArrow(best, f"query_id string, {key} {kind}, score double")
-        found = part if found is None else found.unionByName(part)
+        source = chunks.join(readers(acl, queries), "virtual_record_id")
+    source = source.where(F.col(vector).isNotNull()).select(F.col(key), F.col(vector), *["users"] * (acl is not None))
+    found = ranking.nearest(source, queries.where("vector is not null"), k, key, acl is not None)
     if found is None:
-        return spark.createDataFrame([], f"query_id string, {key} {kind}, score double, rank int")
+        kind = chunks.schema[key].dataType.simpleString()
+        return chunks.sparkSession.createDataFrame([], f"query_id string, {key} {kind}, score double, rank int")
     return top_per_query(found, k, F.desc(F.round("score", 9)), F.col(key))
 
 
@@ -117,31 +86,35 @@ def calibrate_prefix(chunks: DataFrame, k: int = 8, factor: int = 8, probes: int
     return min(size, v.shape[1])
 
 
-def postings(chunks: DataFrame, text: str = "content", key: str = "point_id", asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(key, term, tf, length), of the asked terms only where they are given, and one row of corpus statistics (n, average)."""
-    words = chunks.select(key, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
-    if asked is not None:
-        words = words.join(asked, "term", "left_semi")
-    tf = words.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
-    stats = chunks.select(F.size(T.tokens(F.coalesce(F.col(text), F.lit("")))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    return tf, stats
-
-
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, acl: DataFrame | None = None, cfg: Config = Config(), text: str = "content", key: str = "point_id") -> DataFrame:
-    """(query_id, key, score, rank). queries: query_id, user_id, query. Frequencies are those of all chunks; with an
-    acl only accessible chunks are ranked. Only postings of the queries' terms are shuffled."""
-    terms = queries.select("query_id", "user_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    hits, stats = postings(chunks, text, key, terms.select("term").distinct())
-    total = stats.first()
-    n, average = F.lit(total["n"]), F.lit(total["average"] or 1.0)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = weight * F.col("tf") * (cfg.bm25_k1 + 1) / (F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("length") / average))
-    rows = terms.join(hits, "term").join(df, "term").withColumn("part", part)
-    if acl is not None:
-        rows = rows.join(chunks.select(key, "virtual_record_id"), key).join(acl.select("user_id", "virtual_record_id"), ["user_id", "virtual_record_id"], "left_semi")
-    scored = rows.groupBy("query_id", key).agg(F.sum("part").alias("score"))
-    return top_per_query(scored, k, F.desc(F.round("score", 9)), F.col(key))
+    """(query_id, key, score, rank). queries: query_id, user_id, query.
+
+    A query's terms are phrases: a term with signs inside ("v1.2") stands for its parts in a row; a term that comes
+    twice counts twice. Frequencies are those of all chunks; with an acl only accessible chunks are ranked. Texts are
+    read once per block of queries; what is kept of them is how often they hold the phrases that are asked for. Each
+    task ranks its chunks, and only its k best per query are shuffled.
+    """
+    spark = chunks.sparkSession
+    more = ("virtual_record_id",) if acl is not None else ()
+    texts = chunks.select(key, *more, T.search_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    asked = queries.select("query_id", "user_id", F.filter(F.transform(T.search_terms(F.col("query")), T.search_tokens), lambda p: F.size(p) > 0).alias("phrases"))
+    found = None
+    for block in ranking.blocks(asked, "query_id", "user_id", "phrases"):
+        names, users = [r["query_id"] for r in block], [r["user_id"] for r in block]
+        phrases = spark.sparkContext.broadcast(ranking.Phrases([(i, tuple(p)) for i, r in enumerate(block) for p in r["phrases"]]))
+        coded = cut(ranking.counted(texts, phrases, key, more))
+        total = coded.agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
+        df = np.zeros(len(phrases.value.phrases))
+        for p, n in coded.select(F.explode("phrase").alias("p")).groupBy("p").count().collect():  # no more than the block's phrases
+            df[p] = n
+        weight = np.maximum(np.log((total["n"] - df + 0.5) / (df + 0.5)), 1e-6)
+        source = coded.join(readers(acl, queries), "virtual_record_id") if acl is not None else coded
+        part = ranking.best_texts(source, names, users, phrases, weight, total["average"] or 1.0, k, key, acl is not None, cfg.bm25_k1, cfg.bm25_b)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        kind = chunks.schema[key].dataType.simpleString()
+        return spark.createDataFrame([], f"query_id string, {key} {kind}, score double, rank int")
+    return top_per_query(found, k, F.desc(F.round("score", 9)), F.col(key))
 
 
 def fuse(legs: dict[str, DataFrame], k: int = 60, key: str = "point_id") -> DataFrame:

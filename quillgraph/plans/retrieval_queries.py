@@ -5,7 +5,7 @@ Searches take every row whose id is divisible by 50 as a query, against all rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.config import Config
@@ -65,15 +65,19 @@ def document_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
     return d, b
 
 
-BM25 = """
-w as materialized (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as t from documents),
+SPLIT = r"regexp_extract_all(translate({}, 'ACCENTED', 'PLAIN'), '[\p{L}\p{N}\p{Co}]+')".replace("ACCENTED", T.ACCENTED).replace("PLAIN", T.PLAIN)
+BM25 = r"""
+w as materialized (select doc_id, TOKENS as t from documents),
 l as (select doc_id, len(t) as length from w), st as (select count(*)::double as n, avg(length) as average from l),
-q as (select distinct 'b' || item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark),
-x as materialized (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from w) where term in (select term from q) group by 1, 2),
-df as (select term, count(*) as df from x group by 1),
-sc as (select query_id, doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) as score from q join x using (term) join df using (term) join l using (doc_id), st group by 1, 2),
+qt as (select 'b' || item_id as query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}£$€%.\-]+'), lambda x: length(regexp_replace(x, '[^a-z0-9]', '', 'g')) >= 2)) as term from benchmark),
+q as materialized (select query_id, p, count(*) as times from (select query_id, PARTS as p from qt) where len(p) > 0 group by 1, 2),
+x as materialized (
+  select doc_id, [term] as p, count(*) as tf from (select doc_id, unnest(t) as term from w) where term in (select p[1] from q where len(p) = 1) group by 1, 2
+  union all select doc_id, p, tf from (select doc_id, p, len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i : i + len(p) - 1] = p)) as tf from w, (select distinct p from q where len(p) > 1) where list_has_all(t, p)) where tf > 0),
+df as (select p, count(*) as df from x group by 1),
+sc as (select query_id, doc_id, sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) as score from q join x using (p) join df using (p) join l using (doc_id), st group by 1, 2),
 bm as materialized (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from sc qualify rank <= 10)
-"""
+""".replace("TOKENS", SPLIT.replace("{}", "lower(coalesce(text, ''))", 1)).replace("PARTS", SPLIT.replace("{}", "term", 1))
 
 
 @query(f"with {BM25} select query_id, doc_id, round(score, 6) as score, rank::int as rank from bm")
@@ -157,10 +161,11 @@ def corpus(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
 @query()
 def hybrid_topk(spark, sf):
-    """The flagship: benchmark items as questions of a user, over the chunks that the user may see."""
+    """The flagship: benchmark items as questions of all users in turn, over the chunks that each user may see."""
     chunks, records, acl, users = corpus(spark, sf)
-    first = users.agg(F.min("user_id")).first()[0]
-    asked = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("query_id"), F.lit(first).alias("user_id"), F.col("text").alias("query"), vectors.hash_embedding("text").alias("vector"))
+    turn = users.select("user_id", (F.row_number().over(Window.orderBy("user_id")) - 1).alias("turn"))  # a row per source
+    items = table(spark, sf, "benchmark").withColumn("turn", F.pmod("item_id", F.lit(turn.count())))
+    asked = items.join(turn, "turn").select(F.concat(F.lit("b"), "item_id").alias("query_id"), "user_id", F.col("text").alias("query"), vectors.hash_embedding("text").alias("vector"))
     edges = spark.createDataFrame([], "src string, dst string, label string, expired_at long, provenance array<string>")
     found, _ = retrieval.hybrid_search(asked, chunks, records, edges, acl, 1_700_100_000_000)
     return found.select("query_id", "rank", "point_id", "record_id", F.round("rrf", 6).alias("rrf"), F.array_join("legs", ",").alias("legs"), "passage")

@@ -70,7 +70,8 @@ def test_text(spark):
     assert one(spark, T.label(lit("  a \t b\n\n\n\nc "))) == "a b\n\nc"
     assert one(spark, T.best_passage(lit("Cookie policy here. The launch is in May! Numbers rise."), F.array(lit("launch"), lit("may")))) == "The launch is in May!"
     assert one(spark, T.best_passage(lit("Subscribe\nMenu"), F.array(lit("x")))) == ""
-    assert one(spark, T.search_terms(lit("Größe £50 a x1 naïve"))) == ["größe", "£50", "x1", "naïve"]
+    assert one(spark, T.search_terms(lit("Größe £50 a x1 naïve x1"))) == ["größe", "£50", "x1", "naïve", "x1"]
+    assert one(spark, T.search_tokens(lit("Größe £50 a-x1 NAÏVE nai\u0308ve 漢字 Ωμ"))) == ["große", "50", "a", "x1", "naive", "naive", "漢字", "ωμ"]
     assert one(spark, T.intent(lit("What do I love most?")))[:] == ("user", "love")
     assert one(spark, T.intent(lit("tell me"))) is None
     assert one(spark, T.predicate_matches(lit("partners_with"), lit("partner")))
