@@ -1,8 +1,13 @@
 """A training corpus from raw documents, in five stages; each works on the table that the one before it wrote.
 
-Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last have the columns of documents. A stage
-that changes a text also sets n_chars. A document whose lines are all copies of earlier lines goes with them; rows
-that repeat a doc_id stand or fall together.
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last have the columns of documents, whatever
+further columns docs has. A stage that changes a text also sets n_chars, where there is such a column.
+
+Defined cases: a null text counts as empty, is judged by the classifier like any other, and stays null; a null id is
+never dropped for it (it sorts last, so of a group of copies the one with an id stays); of rows that agree in id and
+text one stays after the third stage; rows that share an id only are documents of their own; documents without words
+are no copies of each other; a document whose lines are all copies of earlier lines goes with them; empty tables give
+empty ones. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -23,15 +28,17 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones."""
     done = line_dedup.dedup_lines(docs)
-    left = done.where("n_removed = 0 or trim(text) != ''")
-    size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", size).select(*docs.columns)
+    removed = F.col(line_dedup.counts_of(docs)[1])
+    left = done.where((removed == 0) | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        left = left.withColumn("n_chars", F.when(removed > 0, size).otherwise(F.col("n_chars")))
+    return left.drop(*line_dedup.counts_of(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    found = ngram_jaccard.similar_documents(docs)
-    return docs.join(found.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return ngram_jaccard.one_of_each_group(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +47,10 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of byte-level BPE."""
-    done = bpe.encode(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), pattern())
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens and ids of byte-level BPE, and the text as the ids decode to it."""
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    done = bpe.decode(bpe.encode(docs, path, pattern()), path)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", "utf-8").alias("text"))
 
 
 STAGES = [
