@@ -76,9 +76,33 @@ def test_stages(spark):
 
     e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     assert set(kept) == set(before)
-    assert all(r["ids"] == e.encode_ordinary(before[i]["text"] or "") and r["n_tokens"] == len(r["ids"]) for i, r in kept.items())
+    assert all(r["ids"] == e.encode_ordinary(before[i]["text"] or "") and r["n_tokens"] == len(r["ids"]) and r["text"] == (before[i]["text"] or "") for i, r in kept.items())
 
 
 def test_run(spark):
     out = C.run(spark, SF)
-    assert out.columns == ["doc_id", "n_tokens", "ids"] and 0 < out.count() < 200
+    assert out.columns == ["doc_id", "n_tokens", "ids", "text"] and 0 < out.count() < 200
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls, repeats, ties, long texts and clashing columns through every stage."""
+    C.table(spark, SF, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    C.table(spark, SF, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    known = {r["doc_id"]: r["text"] for r in C.table(spark, SF, "documents").join(C.table(spark, SF, "labels").where("quality = 1"), "doc_id").collect()}
+    good = max(known.values(), key=len)
+    other = sorted((t for t in known.values() if len(t) > 300), key=hash)[0]
+    rows = [(1, good, 1), (1, good, 2), (None, good, 3), (None, other, 4), (None, None, 5), (2, None, 6), (2, "", 7), (3, (other + "\n") * 300, 8)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), n, n, n) for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars int, n_lines int, n_removed int, mark int")
+    frame = docs
+    for i, (name, stage) in enumerate(C.STAGES):
+        for odd in (frame, docs.limit(0)):
+            out = C.stored(stage(spark, odd, str(tmp_path)), f"odd{i}")
+            assert i == 4 or out.columns == docs.columns
+            if odd is not frame:
+                assert out.count() == 0
+            else:
+                result = out
+        if i == 2:
+            marks = [r["mark"] for r in C.STAGES[2][1](spark, docs, str(tmp_path)).collect()]
+            assert sum(m in (1, 2) for m in marks) == 1 and 3 not in marks and {5, 6, 7} <= set(marks)
+        frame = result
