@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.config import Config
@@ -69,6 +69,23 @@ def graph_events(extracted: DataFrame, canonical: DataFrame | None = None) -> tu
     return nodes, event(mentions).unionByName(event(rels.where("src != dst")))
 
 
+def united_entities(first: DataFrame, second: DataFrame, *order: Column) -> DataFrame:
+    """Entities (record_id, id, ...) of two extractors: of equal ids the first extractor's counts, then the given order."""
+    return _first_wins(first, second, ["record_id", "id"], order)
+
+
+def united_relations(first: DataFrame, second: DataFrame, *order: Column) -> DataFrame:
+    """Relations (record_id, src, dst, label, ...) of two extractors: whichever way round, the first extractor's counts."""
+    ends = lambda df: df.withColumns({"_low": F.least("src", "dst"), "_high": F.greatest("src", "dst")})
+    return _first_wins(ends(first), ends(second), ["record_id", "_low", "_high", "label"], order).drop("_low", "_high")
+
+
+def _first_wins(first: DataFrame, second: DataFrame, key: list[str], order: tuple[Column, ...]) -> DataFrame:
+    rest = [c for c in first.columns if c not in key]
+    both = first.withColumn("_from", F.lit(0)).unionByName(second.withColumn("_from", F.lit(1)))
+    return both.groupBy(*key).agg(F.min_by(F.struct(*rest) if rest else F.lit(0), F.struct("_from", *order)).alias("_x")).select(*key, *(["_x.*"] if rest else [])).select(*first.columns)
+
+
 def facts(extracted: DataFrame, docs: DataFrame) -> DataFrame:
     """Typed relations as facts for the memory layer; numbers run over records in order."""
     names = extracted.select("record_id", F.map_from_entries(F.transform("entities", lambda e: F.struct(e["id"], e["label"]))).alias("names"))

@@ -61,10 +61,25 @@ def user_principals(spark, sf):
     return acl.principals_of(users.select("user_id"), edges, principals)
 
 
-@query("select 'q' || s_suppkey as request_id, 's' || s_suppkey as user_id, 'create' as action, false as allowed, 'viewers don''t create' as reason from supplier")
+@query(
+    """with q as (select 'q' || s_suppkey as request_id, 's' || s_suppkey as user_id, ['viewer', 'member', 'admin'][s_suppkey % 3 + 1] as role, ['create', 'modify', 'delete'][s_suppkey // 3 % 3 + 1] as action, s_suppkey % 2 = 0 as own,
+  s_suppkey % 7 = 0 as shares_outside, s_suppkey % 5 = 4 as grants_outside from supplier),
+r as (select *, case when action = 'create' and role = 'viewer' then 'viewers don''t create' when action <> 'create' and role <> 'admin' and not own then 'neither owner nor admin'
+  when role <> 'admin' and shares_outside then 'shares outside of the organisation' when role <> 'admin' and grants_outside then 'grants outside of its scope' end as reason from q)
+select request_id, user_id, action, reason is null as allowed, reason from r"""
+)
 def authorized_requests(spark, sf):
+    """Requests of all roles and actions, on own and others' records, shared and granted inside and outside."""
     users, principals, edges, _ = access_tables(spark, sf)
-    asked = users.select(F.concat(F.lit("q"), F.substring("user_id", 2, 20)).alias("request_id"), "user_id", "org_id", F.lit("create").alias("action"), F.lit(None).cast("string").alias("owner_id"), F.array("user_id").alias("grants"), F.lit(None).cast("string").alias("share_with_org"))
+    k = F.substring("user_id", 2, 20).cast("int")
+    role = F.element_at(F.array(*map(F.lit, ("viewer", "member", "admin"))), k % 3 + 1)
+    principals = principals.withColumn("role", F.when(F.col("coll") == "users", role))
+    nation = edges.where("label = 'belongsTo'").select(F.col("src").alias("user_id"), F.col("dst").alias("nation"))
+    asked = users.join(nation, "user_id").select(
+        F.concat(F.lit("q"), k).alias("request_id"), "user_id", "org_id", F.element_at(F.array(*map(F.lit, ("create", "modify", "delete"))), (F.floor(k / 3) % 3 + 1).cast("int")).alias("action"),
+        F.when(k % 2 == 0, F.col("user_id")).otherwise("s0").alias("owner_id"), F.when(k % 5 == 4, F.array("user_id", F.lit("stranger"))).when(k % 5 == 3, F.array("nation", "user_id")).otherwise(F.array("org_id")).alias("grants"),
+        F.when(k % 7 == 0, "elsewhere").when(k % 7 == 1, F.col("org_id")).alias("share_with_org"),
+    )
     return acl.authorize(asked, principals, edges)
 
 
@@ -176,7 +191,12 @@ def graph_components(spark, sf):
     return graph.components(c)
 
 
-@query()
+@query(
+    f"""with {TRADE}, hub as (select greatest(50, (list_sort(list(degree)))[least(count(*) - 1, floor(count(*) * 0.99))::int + 1]) as h from deg),
+one as (select "to" as node from adj where node = 's1' and "to" in (select node from deg, hub where degree <= h)),
+two as (select node, weight from adj where "to" = 's2' and node in (select node from one) order by weight desc, node limit 1)
+select unnest([1, 2])::int as step, unnest(['s1', node]) as src, 'supplies' as label, unnest([node, 's2']) as dst from two"""
+)
 def shortest_paths(spark, sf):
     return graph.shortest_path(trade_graph(spark, sf), ["s1"], ["s2"])
 
@@ -189,13 +209,14 @@ def graph_communities(spark, sf):
     return graph.propagate_labels(trade_graph(spark, sf).join(region, "src"), "scope")
 
 
-BELIEF = "b as (select distinct 'r' || n_regionkey as user_id, 'k' || (o_custkey % 50) as src, lower(o_orderpriority) as label, o_orderstatus as dst from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"
+BELIEF = "b as (select distinct 'r' || n_regionkey as user_id, 'p' || l_partkey as src, lower(o_orderpriority) as label, o_orderstatus as dst from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"
 
 
 def beliefs(spark, sf) -> DataFrame:
-    o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
-    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.select(F.concat(F.lit("r"), "n_regionkey").alias("user_id"), F.concat(F.lit("k"), F.col("o_custkey") % 50).alias("src"), F.lower("o_orderpriority").alias("label"), F.col("o_orderstatus").alias("dst"))
+    """What regions hold about parts: with which priority they were ordered, and in which state the order is."""
+    l, o, c, n = (table(spark, sf, t) for t in ("lineitem", "orders", "customer", "nation"))
+    j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.select(F.concat(F.lit("r"), "n_regionkey").alias("user_id"), F.concat(F.lit("p"), "l_partkey").alias("src"), F.lower("o_orderpriority").alias("label"), F.col("o_orderstatus").alias("dst"))
 
 
 @query(f"with {BELIEF}, x as (select src, label, dst from b where user_id = 'r0'), y as (select src, label, dst from b where user_id = 'r1') select *, 'r0' as \"only\" from (select * from x except select * from y) union all select *, 'r1' from (select * from y except select * from x)")
@@ -315,7 +336,12 @@ def consolidated_sessions(spark, sf):
     return sessions.consolidate_session(sessions.fold_notes(note_events(spark, sf)), 0, "vr", 0)[1]
 
 
-@query()
+@query(
+    """with recursive e as materialized (select user_id, epoch_ms(ts) as ts, row_number() over (partition by user_id order by epoch_ms(ts)) as n from events),
+b as (select user_id, 1::bigint as n, ts, 2.0::double as level, true as allowed from e where n = 1
+  union all select user_id, n, ts, case when l >= 1 then l - 1 else l end, l >= 1 from (select e.user_id, e.n, e.ts, least(3.0, b.level + (e.ts - b.ts) / 1000 * 0.0005) as l from b join e on e.user_id = b.user_id and e.n = b.n + 1))
+select 'u' || user_id as key, count(*) filter (allowed) as allowed, count(*) filter (not allowed) as refused from b group by 1"""
+)
 def rate_limits(spark, sf):
     """A token bucket per user over all events."""
     e = table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("key"), ms("ts").alias("ts"), F.lit(1.0).alias("cost"))
