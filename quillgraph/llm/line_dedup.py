@@ -84,6 +84,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append("\n".join(kept))
         return pd.Series(out)
 
+    cut = cut.asNondeterministic()  # it runs once, whatever filters come after it
     every = keyed(docs, id_col, text_col).join(gone, ["p1", "p2"], "left")
     hit = F.col("lines").isNotNull()
     feeds = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
