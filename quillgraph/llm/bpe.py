@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bytewords as W
-from quillgraph.llm.common import pieces, small_batches, utf8
+from quillgraph.llm.common import pieces, small_batches, thrifty, utf8
 
 #: entries of each worker's dictionaries; slots and ids of its table of text parts
 MEMORY, SLOTS, MOST = 100_000, 1 << 20, 1 << 22
@@ -243,6 +243,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
 
     names = [*(f"k{i}" for i in range(len(keep))), "ids"]
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for batch in batches:
@@ -262,6 +263,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, ids, and decoded binary: the bytes that the ids stand for."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, start, size = bytes_of(path)
         for batch in batches:
@@ -277,6 +279,31 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
     return source.mapInArrow(run, kinds + "ids array<int>, decoded binary").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", "decoded")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of keep, ids array<int>, and decoded binary, in one pass of Python."""
+    names = [*(f"k{i}" for i in range(len(keep))), "ids", "decoded"]
+
+    @thrifty
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path, pattern)
+        table, start, size = bytes_of(path)
+        for batch in batches:
+            raw, off = utf8(batch.column(0))
+            for a, b in pieces(off):
+                ids, n = e.encode(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+                at = np.zeros(b - a + 1, np.int64)
+                np.cumsum(n, out=at[1:])
+                whole = b"".join(expand(table, start, size, ids[i : i + 500_000]) for i in range(0, len(ids), 500_000))
+                length = np.concatenate([[0], np.cumsum(size[ids])])[at]
+                decoded = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(length.astype(np.int32)), pa.py_buffer(whole)])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), decoded], names)
+
+    small_batches(docs.sparkSession)
+    source = docs.select(F.col(text_col), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    kinds = "".join(f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
+    return source.mapInArrow(run, kinds + "ids array<int>, decoded binary").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", "decoded")
+
+
 def expand(table: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> bytes:
     n = size[ids]
     ends = np.cumsum(n)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.bytewords import mix
-from quillgraph.llm.common import stored
+from quillgraph.llm.common import stored, thrifty
 from quillgraph.llm.components import components, local_roots
 
 #: entries of a cell that are compared at once with another such block
@@ -126,6 +126,7 @@ def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def entries(nodes: DataFrame) -> DataFrame:
     """(bucket, k, home): the cells of all vectors (k, v)."""
 
+    @thrifty
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):

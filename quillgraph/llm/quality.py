@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bytewords as W
-from quillgraph.llm.common import pieces, small_batches, stored, utf8
+from quillgraph.llm.common import pieces, small_batches, stored, thrifty, utf8
 
 NAMES = ("bytes", "words", "word_length", "word_spread", "upper", "digits", "stops", "shouts", "marks", "bars", "wide", "feeds", "distinct", "repeated_lines", "doubled", "letters", "echo")
 K = len(NAMES)
@@ -80,6 +80,7 @@ def batch_statistics(column: pa.Array) -> np.ndarray:
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, x array<double> (the K statistics)."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch_statistics(batch.column(0))
@@ -113,6 +114,7 @@ def fit(rows: DataFrame, own: float = 0.7, flat: float = 0.1) -> Model:
     """rows: x array<double>, y int (0 or 1). A class's covariance counts own, the pooled one 1 - own; then flat is the
     share of the diagonal."""
 
+    @thrifty
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + K + K * K))
         for batch in batches:
@@ -162,6 +164,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model, x = fitted(docs, labels)
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, K)
@@ -178,6 +181,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text") -
     at = names.index(text_col)
     kinds = ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(np.round(model.score(batch_statistics(batch.column(at))), 6) >= ACCEPT))

@@ -51,50 +51,67 @@ def pack(ids: np.ndarray, last: np.ndarray, least: int = LEAST, base: int = 1 <<
     """
     sym, last, rules, known, r, sure = ids.astype(np.int32), last.copy(), [], 0, 0, False
     bits = 18
-    while len(sym) > 1:
-        key = (sym[:-1].astype(np.int64) << 32) | sym[1:]
-        if sure:  # few frequent pairs are left, if any: count exactly
+    # places whose pair may be frequent: counts only fall, so a pair that was rare once is out unless a symbol is new
+    open_ = np.ones(len(sym), bool)
+    open_[-1:] = False
+    open_ &= ~last
+    while True:
+        at = np.flatnonzero(open_)
+        if not len(at):
+            break
+        key = (sym[at].astype(np.int64) << 32) | sym[at + 1]
+        if sure or len(at) < 5000:  # few places are left: count exactly
             values, slot = np.unique(key, return_inverse=True)
-            at = np.flatnonzero(~last[:-1])
         else:
             slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + (r << 1))) >> np.uint64(64 - bits)).view(np.int64)
             values = np.zeros(1 << bits, np.int64)
             values[slot] = key
-            at = np.flatnonzero((values[slot] == key) & ~last[:-1])
+            won = values[slot] == key
+            at, slot = at[won], slot[won]
         r += 1
         # of a run of places of one pair (as in "aaaa") every second one, from its start, is taken
-        h = slot[at]
-        begin = np.ones(len(at), bool)
-        begin[1:] = (at[1:] != at[:-1] + 1) | (h[1:] != h[:-1])
-        run = np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))
-        once = (np.arange(len(at)) - run) & 1 == 0
-        chosen = np.flatnonzero(np.bincount(h[once], minlength=len(values)) >= least)
+        once = every_second(at, slot)
+        frequent = np.bincount(slot[once], minlength=len(values)) >= least
+        hit = frequent[slot]
+        open_[at[~hit]] = False
+        chosen = np.flatnonzero(frequent)
         if not len(chosen):
-            if sure:
-                break
             sure = True
             continue
         rule = np.full(len(values), -1, np.int32)
-        rule[chosen] = np.arange(len(chosen), dtype=np.int32) + known
-        at, new = at[once], rule[h[once]]
-        at, new = at[new >= 0], new[new >= 0]
-        # chosen pairs that overlap: from each stretch's start every second one is replaced, the next round sees the rest
-        begin = np.concatenate([[True], at[1:] != at[:-1] + 1])
-        run = np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))
-        odd = (np.arange(len(at)) - run) & 1 == 0
+        rule[chosen] = np.arange(len(chosen), dtype=np.int32)
+        take = once & hit
+        at, new = at[take], rule[slot[take]]
+        # chosen pairs that overlap: from each stretch's start every second one is replaced, a later round sees the rest
+        odd = every_second(at)
         at, new = at[odd], new[odd]
-        used = np.bincount(new - known, minlength=len(chosen)) > 0
+        used = np.bincount(new, minlength=len(chosen)) > 0
         number = (np.cumsum(used) - 1 + known).astype(np.int32)
         rules.append(np.stack([values[chosen[used]] >> 32, values[chosen[used]] & 0xFFFFFFFF], 1).astype(np.int32))
-        sym[at] = number[new - known] + base
+        sym[at] = number[new] + base
         known += int(used.sum())
         last[at] = last[at + 1]
+        open_[at] = True
+        open_[at[at > 0] - 1] = True
         stay = np.ones(len(sym), bool)
         stay[at + 1] = False
-        sym, last = sym[stay], last[stay]
+        # a place before a dropped one now has the one after that as its neighbour
+        sym, last, open_ = sym[stay], last[stay], open_[stay]
+        open_[-1:] = False
+        open_ &= ~last
     return sym, (np.concatenate(rules) if rules else np.zeros((0, 2), np.int32)), last
 
 
+def every_second(at: np.ndarray, kind: np.ndarray | None = None) -> np.ndarray:
+    """Of stretches of neighbouring places (of one kind) the first, third, fifth ... place."""
+    begin = np.ones(len(at), bool)
+    begin[1:] = at[1:] != at[:-1] + 1
+    if kind is not None:
+        begin[1:] |= kind[1:] != kind[:-1]
+    run = np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))
+    return (np.arange(len(at)) - run) & 1 == 0
+
+
 def expansions(rules: np.ndarray, base: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All rules' expansions, one after another, with starts and lengths."""
     size = np.zeros(len(rules), np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.bytewords import mix, positions, set_keys
-from quillgraph.llm.common import in_slices, pieces, small_batches, stored, summed, utf8
+from quillgraph.llm.common import in_slices, pieces, small_batches, stored, summed, thrifty, utf8
 from quillgraph.llm.components import local_roots
 
 BUCKETS, SLICES = 1 << 18, 64
@@ -44,6 +44,7 @@ Extract = Callable[[np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray,
 def counts(docs: DataFrame, extract: Extract) -> np.ndarray:
     """How often the tokens of each hash bucket occur in all of docs (p1, p2, text)."""
 
+    @thrifty
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -73,6 +74,7 @@ def items(docs: DataFrame, extract: Extract, num: int, den: int, common: np.ndar
     """common: each hash bucket's rank (24 bits). (p1, p2, p3, n, k, prefix): a row per item; prefix holds the prefix tokens, rare first, where k is new to the task."""
     rank = docs.sparkSession.sparkContext.broadcast(common)
 
+    @thrifty
     def item(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
@@ -130,6 +132,7 @@ def binary(data: np.ndarray, off: np.ndarray) -> pa.Array:
 def prefix_counts(found: DataFrame) -> np.ndarray:
     """How many prefix tokens each hash bucket has."""
 
+    @thrifty
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -155,6 +158,7 @@ def postings(found: DataFrame, signed: bool) -> DataFrame:
     limit = max(RUN, 8 * int(load.mean()))
     parts = found.sparkSession.sparkContext.broadcast(np.minimum(-(-load // limit), 1 << 15).astype(np.int16))
 
+    @thrifty
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = utf8(batch.column(len(own)))
@@ -216,6 +220,7 @@ def candidates(post: DataFrame, num: int, den: int) -> DataFrame:
         b = np.concatenate([np.maximum(k[i], k[j]), side[at]])
         return a, b, np.concatenate([token[i], token[at]]), np.concatenate([part[i], part[at]]), np.arange(len(a)) < len(i)
 
+    @thrifty
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -262,6 +267,7 @@ def bloom(keys: DataFrame, count: int) -> np.ndarray:
     """Bits of all keys (column k), at most 2**27 of them; what it lets through needlessly is dropped by a join."""
     bits = 1 << min(27, max(18, int(16 * max(count, 1)).bit_length()))
 
+    @thrifty
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(bits // 8, np.uint8)
         for batch in batches:
@@ -282,6 +288,7 @@ def sets_of(docs: DataFrame, extract: Extract, wanted: np.ndarray) -> DataFrame:
     """(k, tokens) of all sets that the Bloom filter lets through, once per task."""
     bits = docs.sparkSession.sparkContext.broadcast(wanted)
 
+    @thrifty
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:

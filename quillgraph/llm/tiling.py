@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bytewords as W
-from quillgraph.llm.common import pieces, small_batches, utf8
+from quillgraph.llm.common import pieces, small_batches, thrifty, utf8
 
 BLOCK = 16_000_000
 LEAST, SHARE = 4, 0.6
@@ -179,6 +179,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     for rows in benchmark_blocks(bench, item_col, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(rows)
 
+        @thrifty
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = Benchmark(sent.value, least)
             for batch in batches:
@@ -204,6 +205,7 @@ def clean_documents(docs: DataFrame, bench: DataFrame, text_col: str = "text", i
     for rows in benchmark_blocks(bench, item_col, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(rows)
 
+        @thrifty
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = Benchmark(sent.value, least)
             for batch in batches:
