@@ -49,7 +49,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of byte-level BPE, and the text as the ids decode to it."""
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    done = bpe.decode(bpe.encode(docs, path, pattern()), path)
+    done = bpe.round_trip(docs, path, pattern())
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", "utf-8").alias("text"))
 
 
