@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +38,10 @@ def records(docs: DataFrame, extracted: DataFrame) -> DataFrame:
     )
 
 
-def chunks(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """A record's chunks replace all it had before."""
+def chunks(docs: DataFrame, cfg: Config = Config(), embedder: Callable[..., Column] = vectors.hash_embedding) -> DataFrame:
+    """A record's chunks replace all it had before. embedder: a UDF from a text column to vectors."""
     cut = docs.select("record_id", "virtual_record_id", "org_id", F.posexplode(chunk_text(T.strip_boilerplate(F.col("text")), cfg.chunk_size, cfg.min_chunk)).alias("i", "content"))
-    return cut.select(F.concat_ws("#", "record_id", "i").alias("point_id"), "virtual_record_id", "org_id", "content", vectors.hash_embedding("content").alias("embedding"))
+    return cut.select(F.concat_ws("#", "record_id", "i").alias("point_id"), "virtual_record_id", "org_id", "content", embedder("content").alias("embedding"))
 
 
 def grants(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,6 +56,18 @@ def extraction(docs: DataFrame) -> DataFrame:
     return docs.select("record_id", "seq", extract_knowledge("text").alias("k")).select("record_id", "seq", "k.entities", "k.relations")
 
 
+KNOWLEDGE = ("array<struct<id:string,label:string,type:string>>", "array<struct<from:string,to:string,type:string,confidence:double>>")
+
+
+def with_given(extracted: DataFrame, given: DataFrame) -> DataFrame:
+    """extracted, with graphs that came with records (record_id, entities, relations) before what was found in texts."""
+    g = given.select("record_id", F.col("entities").cast(KNOWLEDGE[0]).alias("own_e"), F.col("relations").cast(KNOWLEDGE[1]).alias("own_r"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    j = extracted.join(g, "record_id", "left").withColumn("every", F.concat(none(F.col("own_e"), KNOWLEDGE[0]), F.col("entities").cast(KNOWLEDGE[0])))
+    once = F.filter("every", lambda e, i: F.array_position(F.transform("every", lambda x: x["id"]), e["id"]) == i + 1)
+    return j.select("record_id", "seq", once.alias("entities"), F.concat(none(F.col("own_r"), KNOWLEDGE[1]), F.col("relations").cast(KNOWLEDGE[1])).alias("relations"))
+
+
 def graph_events(extracted: DataFrame, canonical: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Entities (id, label, type, seq) and edge events; canonical (id, canonical) renames entities."""
     ents = extracted.select("record_id", "seq", F.explode("entities").alias("e")).select("record_id", "seq", F.concat(F.lit(T.ENTITY), "e.id").alias("id"), "e.label", "e.type")

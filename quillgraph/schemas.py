@@ -10,7 +10,9 @@ EDGE_EVENTS = "seq long, ts long, op string, src string, dst string, label strin
 EDGES = "src string, dst string, label string, weight double, created_at long, valid_at long, invalid_at long, expired_at long, provenance array<string>, confidence double"
 FACTS = "seq long, ts long, subject string, predicate string, object string, confidence double, virtual_record_id string, record_id string, org_id string"
 MEMORIES = "id string, org_id string, virtual_record_id string, subject_key string, memory string, is_static boolean, is_forgotten boolean, forget_after long, forget_reason string, version int, parent_id string, root_id string, is_latest boolean, relation string, source_record_id string, created_at long, updated_at long, use_count long, last_used_at long, kind string, occurred_at long, actor_ids array<string>, confidence double"
-FORGOTTEN = "subject_key string, memory string"
+FORGOTTEN = "subject_key string, memory string, reason string"
+EPISODES = MEMORIES
+PROCEDURES = "seq long, ts long, org_id string, virtual_record_id string, record_id string, trigger string, action string"
 WORKING = "session_id string, item_id string, content string, repeat_count int, ref_count int, important boolean, first_seen_at long, last_seen_at long"
 AUDIT = "id long, ts long, actor string, action string, target string, prev_hash string, hash string"
 QUERIES = "query_id string, user_id string, org_id string, query string"

@@ -1,4 +1,4 @@
-"""A store of tables in Parquet, one immutable snapshot per version, and caches keyed by version."""
+"""A store of tables in Parquet: immutable snapshots and the rows appended since, and caches keyed by version."""
 
 from __future__ import annotations
 
@@ -9,38 +9,65 @@ from quillgraph import schemas
 from quillgraph.operators.lineage import cut
 
 
+#: appended parts after which a table is written anew as one snapshot
+PARTS = 64
+
+
 class Store:
-    """Tables under a path: ``path/table/v=N``. A write makes a new version; readers of older ones aren't disturbed."""
+    """Tables under a path: a snapshot is ``path/table/v=N``, rows appended to what is there are ``path/table/d=N``. Each
+    write makes a new version; readers of older ones aren't disturbed."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self._cache: dict[tuple, DataFrame] = {}
 
-    def versions(self, table: str) -> list[int]:
+    def _parts(self, table: str) -> list[tuple[int, str]]:
+        """(version, kind) of all complete parts, in order."""
         p = self._fs_path(f"{self.path}/{table}")
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(p):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [n for n in names if n.startswith("v=") and fs.exists(self._fs_path(f"{self.path}/{table}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
+        done = [n for n in names if n[:2] in ("v=", "d=") and fs.exists(self._fs_path(f"{self.path}/{table}/{n}/_SUCCESS"))]
+        return sorted((int(n[2:]), n[0]) for n in done)
+
+    def versions(self, table: str) -> list[int]:
+        return [n for n, _ in self._parts(table)]
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        known = self.versions(table)
+        """The last snapshot up to a version, with what was appended to it."""
+        known = [(n, k) for n, k in self._parts(table) if version is None or n <= version]
         if not known:
             return self.spark.createDataFrame([], schemas.ALL[table])
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{table}/v={known[-1] if version is None else version}")
+        first = max((i for i, (_, k) in enumerate(known) if k == "v"), default=0)
+        paths = [f"{self.path}/{table}/{k}={n}" for n, k in known[first:]]
+        out = None
+        for path in paths:  # each part has its own columns
+            part = self.spark.read.option("basePath", path).parquet(path)
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
 
-    def write(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
-        """A whole new state of a table. The new version is complete before anyone can see it."""
+    def _add(self, table: str, df: DataFrame, kind: str, partition_by: tuple[str, ...] = ()) -> int:
         n = (self.versions(table) or [0])[-1] + 1
-        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{table}/v={n}")
+        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{table}/{kind}={n}")
         self._cache.clear()
         return n
 
+    def write(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
+        """A whole new state of a table. The new version is complete before anyone can see it."""
+        return self._add(table, df, "v", partition_by)
+
     def append(self, table: str, df: DataFrame) -> int:
-        return self.write(table, self.read(table).unionByName(df, allowMissingColumns=True))
+        """Adds rows without touching what is there; after PARTS of them the table becomes one snapshot again."""
+        parts = self._parts(table)
+        n = self._add(table, df, "d" if parts else "v")
+        tail = 0
+        for _, kind in reversed(parts):
+            if kind == "v":
+                break
+            tail += 1
+        return n if tail + 1 < PARTS else self.write(table, self.read(table))
 
     def upsert(self, table: str, df: DataFrame, key: str) -> int:
         """Rows of df replace rows with the same key."""
