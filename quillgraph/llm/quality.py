@@ -7,8 +7,10 @@ that the fit needs are added up in tasks, so all labelled rows count and a few n
 
 Defined cases: a null or empty text has statistics of zero and gets a score; a null id is never labelled nor held out;
 labels that are null are left out, and of several labels of one id the lowest counts; documents that repeat an id
-each count for the fit; without two labelled rows of each class every score is the prior (0.5 without labels); other
-columns are ignored by score_documents and handed on by the filter; an empty table gives no rows.
+each count for the fit; without two labelled rows of each class every score is the prior (0.5 without labels); a score
+of just the bound is accepted (scores are rounded to six digits first); other columns are ignored by scored and handed
+on by the filter; an empty table gives no rows. Texts are taken whole, whatever their length; a task holds one text, or
+about 1 MB of shorter ones, at a time.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import bytewords as W
 from quillgraph.llm.common import pieces, small_batches, stored, thrifty, utf8
+from quillgraph.llm.setjoin import bloom, spots
 
 NAMES = ("bytes", "words", "word_length", "word_spread", "upper", "digits", "stops", "shouts", "marks", "bars", "wide", "feeds", "distinct", "repeated_lines", "doubled", "letters", "echo")
 K = len(NAMES)
@@ -77,12 +80,19 @@ def batch_statistics(column: pa.Array) -> np.ndarray:
     return np.concatenate(x) if x else np.zeros((0, K))
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, x array<double> (the K statistics)."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: np.ndarray | None = None) -> DataFrame:
+    """doc_id, x array<double> (the K statistics); only of documents whose id the Bloom filter wanted lets through."""
+    bits = docs.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if bits is not None:
+                key = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+                ok = np.ones(len(key), bool)
+                for h in spots(key, len(bits.value) * 8):
+                    ok &= (bits.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+                batch = batch.filter(pa.array(ok))
             x = batch_statistics(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * K, pa.int32()), pa.array(x.ravel()))], ["doc_id", "x"])
 
@@ -152,12 +162,17 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, y of the rows that may be learnt from."""
+    known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
+    return known.where(F.col("doc_id").isNotNull() & ~fold(F.col("doc_id")))
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """A model of the labelled rows that aren't held out, and the stored statistics of all documents."""
     small_batches(docs.sparkSession)
     x = stored(features(docs), "features")
-    known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
-    return fit(x.where(~fold(F.col("doc_id")) & F.col("doc_id").isNotNull()).join(known, "doc_id")), x
+    return fit(x.join(known_labels(labels), "doc_id")), x
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,8 +190,12 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that the classifier accepts, with their columns. Statistics and scores come in one pass."""
-    model, _ = fitted(docs, labels)
+    """The documents that the classifier accepts, with their columns. Labelled documents' statistics come first, for the
+    fit; then all documents' statistics and scores in one pass."""
+    small_batches(docs.sparkSession)
+    known = stored(known_labels(labels), "labels")
+    wanted = bloom(known.select(F.col("doc_id").alias("k")), known.count())
+    model = fit(stored(features(docs, text_col=text_col, wanted=wanted).join(known, "doc_id"), "labelled"))
     names = docs.columns
     at = names.index(text_col)
     kinds = ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))

@@ -67,7 +67,9 @@ def op6_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, index = warc.archive(table(spark, sf_dir, "pages"))
+    # the table has no time of capture: pages count as captured a second after one another
+    pages = table(spark, sf_dir, "pages").withColumn("captured", F.lit(1_577_836_800) + F.col("page_id"))
+    folder, index = warc.archive(pages, time_col="captured")
     return warc.captures(spark, index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

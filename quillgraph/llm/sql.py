@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm.licenses import PHRASES, TEMPLATES, regex_of
+from quillgraph.llm.licenses import PHRASES, TEMPLATES, regex_of, weight_of
 
 OP2 = r"""
 with rows as (
@@ -32,14 +32,14 @@ def op4() -> str:
         f"select rid, '{label}' as label, i - 1 as place from rows, lateral (select unnest(range(1, len(w) - {size[p] - 2})) as i) where len(w) >= {size[p]} and list_slice(w, i, i + {size[p] - 1}) = [{', '.join(repr(x) for x in p.split())}]"
         for p, label in PHRASES.items()
     )
-    more = " union all ".join(f"select rid, '{label}' as label from rows where regexp_matches(' ' || array_to_string(w, ' ') || ' ', ' {regex_of(t)}')" for label, t in TEMPLATES.items())
+    more = " union all ".join(f"select rid, '{label}' as label, {weight_of(t)} as t from rows where regexp_matches(' ' || array_to_string(w, ' ') || ' ', ' {regex_of(t)}')" for label, t in TEMPLATES.items())
     return f"""
 with rows as materialized (select row_number() over () as rid, doc_id, {AZ_WORDS} as w from documents),
 base as materialized ({at}), more as materialized ({more}),
 b as (select rid, count(*) as n, min(place) as f, max(place) as l, string_agg(distinct label, ',' order by label) as s from base group by rid),
-m as (select rid, max(t) as t, string_agg(distinct label, ',' order by label) as s from (select rid, label, 0 as t from base union all select rid, label, 1 from more) group by rid)
+m as (select rid, max(t) as t, string_agg(distinct label, ',' order by label) as s from (select rid, label, 0.0 as t from base union all select rid, label, t from more) group by rid)
 select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, f::bigint as first_word, l::bigint as last_word, coalesce(b.s, '') as base_labels, coalesce(m.s, '') as labels,
-  case when t = 1 then 1.0 when n > 0 then 0.5 else 0.0 end::double as score
+  case when t > 0 then t when n > 0 then 0.5 else 0.0 end::double as score
 from rows left join b using (rid) left join m using (rid)"""
 
 

@@ -8,9 +8,11 @@ least. The share of the item's words under tiles decides, in whatever order the
 
 The benchmark goes to the executors in blocks of at most BLOCK characters; each further block is another pass.
 
-Defined cases: a null text or item counts as empty; an item of fewer than least words is never found; null ids are
-kept as they are; rows that repeat are judged each; columns are handed on by clean_documents whatever their names;
-empty tables give no findings.
+Defined cases: a null text or item counts as empty, and an item without words is never found; an item of fewer than
+least words is found where all its words stand in a row; null ids are kept as they are; rows that repeat are judged
+each; columns are handed on by clean_documents whatever their names; empty tables give no findings. Texts are taken
+whole, whatever their length; a task holds the words of one text, or of about 1 MB of shorter ones, and for each text at
+most as many pairs of seeds as the block of the benchmark has seeds.
 """
 
 from __future__ import annotations
@@ -106,6 +108,14 @@ class Benchmark:
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.at = seeds[order], at[order]
         self.item = np.searchsorted(self.off, self.at, side="right") - 1
+        # items that are shorter than a seed, by their length: hashes of whole items, and items
+        self.short = []
+        for k in range(1, least):
+            own = np.flatnonzero(self.size == k)
+            if len(own):
+                whole = np.concatenate([seeds_of(self.words[a : a + k], k) for a in self.off[own]])
+                by = np.argsort(whole, kind="stable")
+                self.short.append((k, whole[by], own[by]))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -113,21 +123,46 @@ class Benchmark:
         """(row, item, coverage, tiles) of all rows and items that reach the share."""
         s, e, woff = W.find_words(raw, off, W.SYMBOL)
         h = W.hash_words(raw, s, e)
+        out: list[tuple[int, int, float, int]] = []
+        for k, whole, item in self.short:
+            g = seeds_of(h, k)
+            low, high = np.searchsorted(whole, g), np.searchsorted(whole, g, side="right")
+            at = np.flatnonzero(high > low)
+            row = np.searchsorted(woff, at, side="right") - 1
+            fits = at + k <= woff[row + 1]
+            pairs = {(int(r), int(i)) for r, p in zip(row[fits], at[fits]) for i in item[low[p] : high[p]]}
+            out.extend((r, i, 1.0, 1) for r, i in sorted(pairs))
         if len(h) < self.least or not len(self.seeds):
-            return []
+            return out
         g = seeds_of(h, self.least)
         at = np.flatnonzero(self.bits[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
         row = np.searchsorted(woff, at, side="right") - 1
         at, row = (x[at + self.least <= woff[row + 1]] for x in (at, row))
-        low, high = np.searchsorted(self.seeds, g[at]), np.searchsorted(self.seeds, g[at], side="right")
-        n = high - low
-        if not n.sum():
-            return []
-        hit = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row, place, item, at_item = np.repeat(row, n), np.repeat(at, n), self.item[hit], self.at[hit]
-        pair = row * len(self.ids) + item
-        by = np.lexsort((at_item, pair))
-        pair, place, at_item = pair[by], place[by], at_item[by]
+        known = np.searchsorted(self.seeds, g[at])
+        true = self.seeds[np.minimum(known, len(self.seeds) - 1)] == g[at]
+        at, row, known = at[true], row[true], known[true]
+        if not len(at):
+            return out
+        # each row's different seeds, with all places of items that have them
+        by = np.lexsort((known, row))
+        first = np.ones(len(by), bool)
+        first[1:] = (known[by][1:] != known[by][:-1]) | (row[by][1:] != row[by][:-1])
+        one = by[first]
+        n = np.searchsorted(self.seeds, g[at[one]], side="right") - known[one]
+        begin = 0
+        while begin < len(one):  # whole rows, as many as give about a million pairs
+            end = begin + max(1, int(np.searchsorted(np.cumsum(n[begin:]), 1 << 20)))
+            end = int(np.searchsorted(row[one], row[one[min(end, len(one)) - 1]], side="right"))
+            out.extend(self.tiled(h, at, row, g, one[begin:end], known, n[begin:end], share))
+            begin = end
+        return out
+
+    def tiled(self, h: np.ndarray, at: np.ndarray, row: np.ndarray, g: np.ndarray, one: np.ndarray, known: np.ndarray, n: np.ndarray, share: float) -> list[tuple[int, int, float, int]]:
+        """Findings of some rows. one: their different seeds as indices of at, each in n places of items."""
+        hit = np.repeat(known[one], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.repeat(row[one], n) * len(self.ids) + self.item[hit]
+        by = np.lexsort((self.at[hit], pair))
+        pair, at_item = pair[by], self.at[hit][by]
         # words of the item under seeds: each place adds what it doesn't share with the next one
         same = np.zeros(len(pair), bool)
         same[:-1] = pair[1:] == pair[:-1]
@@ -136,16 +171,18 @@ class Benchmark:
         begin = np.flatnonzero(np.concatenate([[True], ~same[:-1]]))
         bound = np.add.reduceat(step, begin)
         out = []
-        for a, b, c in zip(begin, [*begin[1:], len(pair)], bound):
+        for a, c in zip(begin, bound):
             r, i = divmod(int(pair[a]), len(self.ids))
             if c < share * self.size[i]:
                 continue
-            spots = np.unique(place[a:b])
+            low, high = np.searchsorted(row, r), np.searchsorted(row, r, side="right")
+            words = self.words[self.off[i] : self.off[i + 1]]
+            spots = at[low:high][np.isin(g[at[low:high]], seeds_of(words, self.least))]
             cover = np.unique((spots[:, None] + np.arange(self.least)).ravel())
             gaps = np.flatnonzero(np.diff(cover) > 1) + 1
             text = np.insert(h[cover], gaps, 0)
             blocked = np.insert(np.zeros(len(cover), bool), gaps, True)
-            found = tiles(self.words[self.off[i] : self.off[i + 1]], text, self.least, blocked)
+            found = tiles(words, text, self.least, blocked)
             covered = sum(t[2] for t in found) / self.size[i]
             if covered >= share:
                 out.append((r, i, float(covered), len(found)))

@@ -1,20 +1,23 @@
 """WARC archives of pages with deduplicated payloads, and an index merged externally from sorted runs.
 
-Each task writes one archive of gzip members (a record each) and one run: its captures sorted by URL key, timestamp
-and page id, in batches with a sparse index of first keys. Runs are merged k-way by loser trees: while there are more
+Each task writes one archive of gzip members (a record each) and runs of RUN captures at most, sorted by URL key,
+timestamp and page id, in batches with a sparse index of first keys. Runs are merged k-way by loser trees: while there are more
 than fan runs, groups of fan are merged to longer ones; the last merge is split by key ranges, each of whose tasks
 reads only the batches of its range and writes one part of the globally ordered index. Captures are then read back
 from the archives by the index's offsets.
 
 Of records with equal payloads (of at least least bytes) the one with the largest page id is a response, the others
-are revisits that refer to it. Payloads are joined with those roles by digest; keys that many rows share are salted.
+are revisits that refer to it. Payloads are joined with those roles by digest; the payloads that most rows share are
+joined by broadcast.
 
 Files are written under temporary names and renamed, so repeated tasks replace files by equal ones.
 
 Defined cases: a null html counts as an empty payload and a null URL as an empty one; a null page id is smaller than
 all others, and where all ids of a payload are null its records are responses; rows that repeat the largest id are
 all responses; other columns are ignored; an empty table gives no archives and no rows. White space and
-control characters of a URL are percent-encoded in its record.
+control characters of a URL are percent-encoded in its record. A null time counts as 1970; the date in a record stays
+within the years 1 and 9999, the index keeps the number. Payloads of any length are taken whole; a task holds one record
+at a time.
 """
 
 from __future__ import annotations
@@ -35,10 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import put_in_place, release, shared_dir
+from quillgraph.llm.common import put_in_place, release, shared_dir, stored
+from quillgraph.llm.setjoin import with_keys
 
-SALTS, BATCH, FAN = 16, 2048, 64
-EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
+BATCH, FAN, RUN_ROWS = 2048, 64, 100_000
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+DATES = -62_135_596_800, 253_402_300_799
 CONTROL = re.compile(r"[\x00-\x20\x7f-\x9f\u2028\u2029]")
 RUN = pa.schema([("key", pa.string()), ("ts", pa.int64()), ("page", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 Place = tuple[str, int, int]
@@ -66,7 +71,7 @@ def record(page: int | None, url: str, ts: int, payload: bytes, refers: int | No
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if refers is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>"]
-    head += [f"WARC-Date: {(EPOCH + timedelta(seconds=ts)).strftime('%Y-%m-%dT%H:%M:%SZ')}", f"WARC-Target-URI: {CONTROL.sub(lambda m: f'%{ord(m[0]):02X}', url)}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
+    head += [f"WARC-Date: {(EPOCH + timedelta(seconds=min(max(ts, DATES[0]), DATES[1]))).strftime('%Y-%m-%dT%H:%M:%SZ')}", f"WARC-Target-URI: {CONTROL.sub(lambda m: f'%{ord(m[0]):02X}', url)}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
     if refers is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}", "", ""]
@@ -179,39 +184,48 @@ def read_run(fs, path: str, low: Place | None = None, high: Place | None = None)
                         yield row
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[dict]:
-    """Writes archives and runs into folder; gives a row per run: path, count, sample."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8").alias("payload"))
+def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> list[dict]:
+    """Writes archives and runs into folder; gives a row per run: path, count, sample. time_col: seconds since 1970."""
+    time = F.coalesce(F.col(time_col).cast("long"), F.lit(0)) if time_col else F.lit(0).cast("long")
+    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), time.alias("ts"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8").alias("payload"))
     keyed = rows.withColumn("sha", F.sha1("payload"))
-    shared = keyed.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("page").alias("response"), F.count("*").alias("c")).where("c > 1").select("sha", "response", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    cast = keyed.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int")).join(shared, ["sha", "salt"], "left")
-    out = cast.select("page", "url", "payload", F.when(F.coalesce(F.col("page") < F.col("response"), F.col("response").isNotNull()), F.col("response")).alias("refers"))
+    shared = keyed.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("page").alias("response"), F.count("*").alias("c")).where("c > 1")
+    cast = with_keys(keyed, stored(shared, "shared"), "c", "left", key="sha")
+    out = cast.select("page", "url", "ts", "payload", F.when(F.coalesce(F.col("page") < F.col("response"), F.col("response").isNotNull()), F.col("response")).alias("refers"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
         name = f"{root}/{part:08d}.warc.gz"
-        temp, f, at, index = f"{name}.{TaskContext.get().taskAttemptId()}.tmp", None, 0, []
+        temp, f, at, index, runs = f"{name}.{TaskContext.get().taskAttemptId()}.tmp", None, 0, [], []
+
+        def spill() -> None:
+            run = RunWriter(fs, f"{root}/{part:08d}-{len(runs):04d}.run")
+            for row in sorted(index):
+                run.add(row)
+            runs.append(run.close())
+            index.clear()
+
         for batch in batches:
             for i in range(batch.num_rows):
-                page, url, payload, refers = (c[i].as_py() for c in batch.columns)
+                page, url, ts, payload, refers = (c[i].as_py() for c in batch.columns)
                 if f is None:
                     fs.create_dir(root, recursive=True)
                     f = fs.open_output_stream(temp)
-                ts = (page or 0) % 1_000_000_000
                 z = zlib.compressobj(6, zlib.DEFLATED, 31)
                 member = z.compress(record(page, url, ts, payload, refers)) + z.flush()
                 f.write(member)
                 index.append((url_key(url), ts, -1 if page is None else page, name, at, len(member)))
                 at += len(member)
+                if len(index) >= RUN_ROWS:
+                    spill()
         if f is None:
             return
         f.close()
         put_in_place(fs, temp, name)
-        run = RunWriter(fs, f"{root}/{part:08d}.run")
-        for row in sorted(index):
-            run.add(row)
-        yield pa.RecordBatch.from_pylist([run.close()], schema=pa.schema([("path", pa.string()), ("count", pa.int64()), ("sample", pa.list_(pa.string()))]))
+        if index:
+            spill()
+        yield pa.RecordBatch.from_pylist(runs, schema=pa.schema([("path", pa.string()), ("count", pa.int64()), ("sample", pa.list_(pa.string()))]))
 
     found = [r.asDict() for r in out.mapInArrow(write, MANIFEST).collect()]
     release()
@@ -310,7 +324,7 @@ def index_rows(spark: SparkSession, base: list[tuple[str, int]], folder: str) ->
     return parts.repartition(max(1, len(base)), "path").mapInArrow(read, "key string, ts long, page long, file string, offset long, length long, position long")
 
 
-def archive(pages: DataFrame, least: int = 0) -> tuple[str, list[dict]]:
+def archive(pages: DataFrame, least: int = 0, time_col: str | None = None) -> tuple[str, list[dict]]:
     """Writes archives and their merged index to the shared folder; gives the folder and the index's parts."""
     folder = shared_dir(pages.sparkSession, "warc")
-    return folder, merge_index(pages.sparkSession, write_archives(pages, folder, least), folder)
+    return folder, merge_index(pages.sparkSession, write_archives(pages, folder, least, time_col=time_col), folder)

@@ -122,7 +122,7 @@ def test_chat_round_trip(spark):
 
 
 def test_licenses(spark):
-    mit = licenses.TEMPLATES["mit-text"].replace("[[", "").replace("]]", "")
+    mit = re.sub(r"\{\{\d+\}\}", "2020 someone", licenses.TEMPLATES["mit-text"]).replace("[[", "").replace("]]", "")
     less = re.sub(r"\[\[.*?\]\]", "", licenses.TEMPLATES["mit-text"])
     rows = [
         (1, "x Licensed under the MIT License, under the mit license", {"mit"}, {"mit-notice"}),
@@ -130,7 +130,9 @@ def test_licenses(spark):
         (3, mit.title(), set(), {"mit-text"}),
         (4, less.upper(), set(), {"mit-text"}),
         (5, less.replace("free of charge", "for a charge"), set(), set()),
-        (6, "Copyright (c) 2020 by Some One. All rights reserved", set(), {"copyright-line", "rights-reserved"}),
+        (6, "Copyright (c) 2020 by Some One. All rights reserved", set(), set()),
+        (10, "This file is part of Foo. Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", set(), {"gpl-header"}),
+        (11, "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", {"apache-2"}, {"apache-2-header", "apache-2-notice"}),
         (7, "CC BY-NC", {"cc-by-nc"}, set()),
         (8, None, set(), set()),
         (9, "under the mit", set(), set()),
@@ -143,9 +145,12 @@ def test_licenses(spark):
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(at), min(at, default=None), max(at, default=None))
         assert set(r["base_labels"]) == base and set(r["labels"]) == base | more, text
-        assert r["score"] == (1.0 if more else 0.5 if base else 0.0)
+        assert r["score"] == (max(licenses.weight_of(licenses.TEMPLATES[t]) for t in more) if more else 0.5 if base else 0.0)
     with pytest.raises(ValueError):
-        licenses.Automaton("[[a]] b")
+        licenses.Automaton("[[a]] {{3}}")
+    # optional and replaceable regions at the start may be missing
+    found = licenses.scan(spark.createDataFrame([(1, "x a b"), (2, "b c"), (3, "c")], "doc_id long, text string"), templates={"t": "[[x a]] {{2}} b c"}, phrases={})
+    assert {r["doc_id"]: r["labels"] for r in found.collect()} == {1: [], 2: ["t"], 3: []}
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
@@ -167,6 +172,39 @@ def test_automata_equal_regular_expressions():
             assert m.accepts(licenses.hash_of(words).tolist()) == bool(e.match(" ".join(words) + " ")), (t, words)
 
 
+def test_scores_equal_a_dense_discriminant(spark):
+    """The same densities from a plain computation over all labelled rows at once."""
+    r = random.Random(4)
+    rows = [(i, " ".join("".join(r.choice("abcdefg,.! ") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 80))) * (1 + i % 2) + "\n" * (i % 5), "", i) for i in range(400)]
+    y = {i: int(r.random() < 0.4 + 0.3 * (i % 2)) for i in range(0, 400, 2)} | {i: 1 for i in range(1, 60, 2)}
+    d = docs(spark, rows)
+    x = {f["doc_id"]: np.array(f["x"]) for f in quality.features(d).collect()}
+    got = {s["doc_id"]: s["score"] for s in quality.scored(d, spark.createDataFrame([*y.items()], "doc_id long, quality int")).collect()}
+    learn = [i for i in y if zlib.crc32(str(i).encode()) % 4 != 2]
+    data = [np.stack([x[i] for i in learn if y[i] == c]) for c in (0, 1)]
+    pooled = sum((z - z.mean(0)).T @ (z - z.mean(0)) for z in data) / len(learn)
+
+    def density(v, z):
+        s = 0.7 * np.cov(z.T, bias=True) + 0.3 * pooled
+        s = 0.9 * s + 0.1 * np.diag(np.diag(s)) + 1e-3 * np.eye(len(s))
+        e = v - z.mean(0)
+        return -0.5 * e @ np.linalg.solve(s, e) - 0.5 * np.linalg.slogdet(s)[1]
+
+    prior = np.log((len(data[1]) + 1) / (len(data[0]) + 1))
+    for i, v in x.items():
+        want = 1 / (1 + np.exp(-np.clip((density(v, data[1]) - density(v, data[0])) / quality.TEMPER + prior, -30, 30)))
+        assert abs(got[i] - want) < 2e-6
+
+
+def test_a_score_of_just_the_bound_is_accepted(spark, monkeypatch):
+    rows = [(i, "a b", "", i) for i in range(8)]
+    lab = spark.createDataFrame([(0, 1), (1, 1), (3, 0)], "doc_id long, quality int")
+    score = quality.scored(docs(spark, rows), lab).first()["score"]
+    monkeypatch.setattr(quality, "ACCEPT", score)
+    assert {x["predicted"] for x in quality.scored(docs(spark, rows), lab).collect()} == {1}
+    assert quality.kept_documents(docs(spark, rows), lab).count() == 8
+
+
 def test_quality(spark):
     r = random.Random(9)
     rows, labels = [], []

@@ -142,3 +142,23 @@ def test_archives(spark):
 def test_no_pages(spark):
     folder, index = warc.archive(pages(spark, []))
     assert warc.captures(spark, index, folder).count() == 0
+
+
+def test_short_and_frequent_items(spark):
+    """Items of fewer words than a seed stand in a row or not at all; a seed may be in many items and places."""
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "Gamma!"), (3, ""), (4, None), (5, "one two three four five")] + [(100 + i, "the same four words " * 3 + f"then {i}") for i in range(200)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "x ALPHA, beta y"), (2, "alpha x beta"), (3, "gamma"), (4, None), (5, ""), (6, "two three four five one"), (7, "the same four words " * 3000), (8, "alpha"), (None, "alpha beta")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in tiling.contaminated(d, bench).collect()}
+    assert {x for x in got if x[0] != 7} == {(1, 1), (None, 1), (3, 2), (6, 5)}
+    assert {i for a, i in got if a == 7} == {100 + i for i in range(200)}
+    assert {r["doc_id"] for r in tiling.clean_documents(d, bench).collect()} == {2, 4, 5, 8}
+
+
+def test_runs_of_a_fixed_size_and_given_times(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RUN_ROWS", 7)
+    rows = [(i, f"http://a.org/{i % 3}", f"page {i % 11}", 10_000 - i * 60) for i in range(60)] + [(60, None, None, None), (61, "http://a.org/x", "y", 1 << 62)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, at long").repartition(2)
+    folder, index = warc.archive(df, time_col="at")
+    assert len(warc.write_archives(df, warc.shared_dir(spark, "again"), time_col="at")) >= 8
+    got = warc.captures(spark, index, folder).orderBy("position").collect()
+    assert [(x["url_key"], x["ts"], x["page_id"]) for x in got] == sorted((warc.url_key(u or ""), t or 0, p) for p, u, _, t in rows)
