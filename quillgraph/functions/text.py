@@ -98,6 +98,11 @@ def best_passage(content: Column, terms: Column) -> Column:
     return F.coalesce(F.array_max(scored)["line"], F.lit(""))
 
 
+def grams(c: Column, n: int) -> Column:
+    """The different runs of n characters."""
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def stem(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "(ing|ed|es|s)$", "")
 

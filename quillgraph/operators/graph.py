@@ -34,8 +34,18 @@ def resolve(names: DataFrame, entities: DataFrame) -> DataFrame:
     """names (name) to ids: by id or label, else by a part of either."""
     n = names.select("name", F.lower(F.trim("name")).alias("q"), T.slugify(F.col("name")).alias("slug")).where("q != ''")
     low = F.lower("label")
-    exact = n.join(entities, (F.col("id") == F.concat(F.lit(T.ENTITY), "slug")) | (low == F.col("q"))).select("name", "id", F.lit(0).alias("tier"))
-    part = n.join(entities, F.contains(low, F.col("q")) | ((F.length("slug") >= 3) & F.contains("id", F.col("slug")))).select("name", "id", F.lit(1).alias("tier"))
+    ents = entities.select("id", low.alias("low"))
+    hit = lambda df, tier: df.select("name", "id", F.lit(tier).alias("tier"))
+    exact = hit(n.join(ents, F.col("id") == F.concat(F.lit(T.ENTITY), "slug")), 0).unionByName(hit(n.join(ents, F.col("low") == F.col("q")), 0))
+    # a part of a label is found by its first characters, up to three, among the label's runs of as many
+    part = None
+    for text, wanted, least in (("low", "q", 1), ("id", "slug", 3)):
+        for size in (1, 2, 3):
+            fits = (F.length(wanted) >= 3) if size == 3 else (F.length(wanted) == size)
+            keyed = n.where(fits & (F.length(wanted) >= least)).withColumn("g", F.substring(wanted, 1, size))
+            one = keyed.join(ents.withColumn("g", F.explode(T.grams(F.col(text), size))), "g").where(F.contains(text, F.col(wanted)))
+            if size >= least:
+                part = hit(one, 1) if part is None else part.unionByName(hit(one, 1))
     both = exact.unionByName(part).groupBy("name", "id").agg(F.min("tier").alias("tier"))
     best = both.groupBy("name").agg(F.min("tier").alias("tier"))
     return both.join(best, ["name", "tier"]).select("name", "id")

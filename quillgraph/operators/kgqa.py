@@ -72,7 +72,13 @@ def answer(questions: DataFrame, entities: DataFrame, relations: DataFrame) -> D
     entity = spoken.withColumn("some", some).where("broad or not some or `all`").select("query_id", F.lit(2).alias("tier"), F.lit("entity").alias("route"), "fact", F.lit(0.85).alias("confidence"))
     stems = q.select("query_id", "user_id", F.explode(F.array_distinct(F.transform(F.filter(F.split(F.lower("query"), "[^a-z]+"), lambda w: F.length(w) >= 4), T.stem))).alias("w"))
     heads = typed.withColumn("head", T.stem(F.split("label", "_")[0])).where("length(head) >= 4")
-    said = stems.join(heads, "user_id").where("w = head or contains(w, head) or contains(head, w)").select("query_id", F.lit(3).alias("tier"), F.lit("predicate").alias("route"), own.alias("fact"), F.lit(0.8).alias("confidence"))
+    # of two words of which one holds the other, the longer one holds the shorter one's first four letters
+    first = lambda df, c: df.withColumn("g", F.substring(c, 1, 4))
+    every = lambda df, c: df.withColumn("g", F.explode(T.grams(F.col(c), 4)))
+    words, names = stems.select("user_id", "w").distinct(), heads.select("user_id", "head").distinct()
+    near = every(words, "w").join(first(names, "head"), ["user_id", "g"]).unionByName(first(words, "w").join(every(names, "head"), ["user_id", "g"]))
+    near = near.where(F.contains("w", F.col("head")) | F.contains("head", F.col("w"))).select("user_id", "w", "head").distinct()
+    said = stems.join(near, ["user_id", "w"]).join(heads, ["user_id", "head"]).select("query_id", F.lit(3).alias("tier"), F.lit("predicate").alias("route"), own.alias("fact"), F.lit(0.8).alias("confidence"))
     every = forward.unionByName(reverse).unionByName(binary).unionByName(preference).unionByName(entity).unionByName(said)
     best = F.min("tier").over(Window.partitionBy("query_id"))
     first = every.withColumn("best", best).where("tier = best")

@@ -55,9 +55,11 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int, acl: DataFrame | None = N
     return top_per_query(found, k, F.desc(F.round("score", 9)), F.col(key))
 
 
-def two_stage_knn(chunks: DataFrame, queries: DataFrame, k: int, cfg: Config = Config(), acl: DataFrame | None = None) -> DataFrame:
-    """Shortlist by vectors' prefixes (shorter, renormalised), then exact scores of the shortlist only."""
-    short = chunks.withColumn("embedding", vectors.prefix(F.col("embedding"), cfg.mrl_prefix))
+def two_stage_knn(chunks: DataFrame, queries: DataFrame, k: int, cfg: Config = Config(), acl: DataFrame | None = None, codes: bool = False) -> DataFrame:
+    """Shortlist by vectors' prefixes (shorter, renormalised; with codes as 8-bit numbers), then exact scores of the
+    shortlist only."""
+    start = vectors.prefix(F.col("embedding"), cfg.mrl_prefix)
+    short = chunks.withColumn("embedding", vectors.quantized(start)["codes"] if codes else start)
     q = queries.withColumn("vector", vectors.prefix(F.col("vector"), cfg.mrl_prefix))
     listed = knn(short, q, k * cfg.mrl_factor, acl).select("query_id", "point_id")
     full = listed.join(chunks.select("point_id", "embedding"), "point_id").join(queries.select("query_id", "vector"), "query_id")

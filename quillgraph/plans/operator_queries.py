@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.config import Config
+from quillgraph.functions import scores, vectors
 from quillgraph.functions import text as T
-from quillgraph.functions import vectors
 from quillgraph.operators import acl as access
-from quillgraph.operators import audit, evaluate, facts, graph, ingest, memory, retrieval
+from quillgraph.operators import ann, audit, evaluate, facts, graph, ingest, memory, retrieval
 from quillgraph.plans.registry import ms, query, table
 from quillgraph.plans.relational_queries import NOTES, note_events, trade_graph
+from quillgraph.plans.retrieval_queries import KNN, vector_tables
+from quillgraph.plans.text_queries import salient_sql
 from quillgraph.sources import export
 from quillgraph.sources.store import by_keys
 from quillgraph.streaming import sessions
@@ -262,14 +265,6 @@ def token_reduction(spark, sf):
     return e.select(F.col("case_id").alias("conv_id"), F.col("full_tokens").cast("long").alias("full_tokens"), F.round("shown_tokens", 6).alias("shown_tokens"), F.round("reduction", 6).alias("reduction"))
 
 
-def salient_sql(source: str) -> str:
-    """(key, terms) of source (key, text): the longest different words, ties in order of appearance."""
-    return f"""w as (select key, unnest(x) as w, unnest(range(1, len(x) + 1)) as i from (select key, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]{{2,}}') as x from ({source}))),
-d as (select key, w, min(i) as i from w where w not in ({", ".join(repr(x) for x in T.COMMON)}) group by 1, 2),
-l as (select * from d qualify row_number() over (partition by key order by length(w) desc, i) <= 6),
-salient as (select key, string_agg(w, ' ' order by length(w) desc, i) as terms, count(*) as n from l group by 1)"""
-
-
 @query(f"with {salient_sql('select conv_id as key, arg_min(text, turn) as text from conversations group by 1')} select 'gold:' || key as query_id, terms as query from salient where n >= 2")
 def gold_queries(spark, sf):
     """A query per conversation, of the longest words of its first turn."""
@@ -341,3 +336,64 @@ def reindexed_vectors(spark, sf):
     kept = ingest.reindex(t, 64)
     total = F.aggregate(vectors.doubles(F.col("embedding")), F.lit(0.0), lambda s, x: s + x)
     return kept.select("vec_id", F.size("embedding").cast("long").alias("n"), F.when(F.col("vec_id") % 3 > 0, F.round(total, 4)).alias("total"))
+
+
+@query(
+    """with v as materialized (select vec_id, list_transform(embedding, lambda x: x::double) as e, list_transform(list_slice(embedding, 1, 32), lambda x: x::double) as p from embeddings),
+c as materialized (select vec_id, e, p, list_transform(p, lambda x: floor(x / list_max(list_transform(p, lambda y: abs(y))) * 127 + 0.5)) as codes from v),
+s as (select 'q' || q.vec_id as query_id, c.vec_id as point_id, list_cosine_similarity(q.p, c.codes) as short, list_cosine_similarity(q.e, c.e) as score from c, c q where q.vec_id % 50 = 0),
+l as (select *, row_number() over (partition by query_id order by round(short, 9) desc, point_id) as n from s)
+select query_id, point_id, round(score, 6) as score, (row_number() over (partition by query_id order by round(score, 9) desc, point_id))::int as rank from l where n <= 64 qualify rank <= 8"""
+)
+def knn_by_codes(spark, sf):
+    """Shortlists by 8-bit codes of halves of the vectors, then exact scores."""
+    chunks, asked, _ = vector_tables(spark, sf)
+    return retrieval.two_stage_knn(chunks, asked, 8, Config(mrl_prefix=32), codes=True).withColumn("score", F.round("score", 6))
+
+
+@query()
+def knn_approximate(spark, sf):
+    """Neighbours by inverted lists: of queries whose id is divisible by 50, in the 8 lists nearest to each."""
+    chunks, asked, _ = vector_tables(spark, sf)
+    c = ann.centroids(chunks)
+    indexed = ann.cut(ann.lists(chunks, c))
+    return ann.search(indexed, c, asked, 8).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {NOTES} select count(distinct conv_id) as sessions, count(*) as items from i where repeats > 0")
+def session_totals(spark, sf):
+    return sessions.session_count(sessions.fold_notes(note_events(spark, sf)))
+
+
+@query("select c_custkey, lower(to_base(list_reduce([unicode(c)::bigint for c in string_split(c_name, '')], lambda h, c: xor(h, c) * 16777619 & 4294967295, 2166136261::bigint), 36)) as hash from customer")
+def content_hashes(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", vectors.content_hash(F.col("c_name")).alias("hash"))
+
+
+@query("select o_orderkey, case o_orderkey % 3 when 0 then epoch_ms(o_orderdate) when 1 then epoch_ms(date_trunc('day', o_orderdate)) else 5 end as at from orders")
+def parsed_times(spark, sf):
+    """Times from numbers, dates in text, and neither."""
+    text = F.when(F.col("o_orderkey") % 3 == 0, ms("o_orderdate").cast("string")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("some day")
+    return table(spark, sf, "orders").select("o_orderkey", scores.when_ms(text, 5).alias("at"))
+
+
+@query(r"""select conv_id, turn, regexp_matches(lower(coalesce(text, '')), '\b(all|both|compare|comparison|each|every|everything|list|summary|versus|vs)\b') as broad,
+regexp_matches(coalesce(text, ''), '(?i)\b(prefer(ence)?s?|interests?|hobb(y|ies)|favou?rites?|passions?|tastes?)\b') or (regexp_matches(coalesce(text, ''), '(?i)\b(fond|keen|into|likes?|lov(ing|es?)|enjoy(s|ing)?|prefers?)\b') and regexp_matches(coalesce(text, ''), '(?i)\b(myself|mine|my|me|i''m|im|i)\b')) as preference from conversations""")
+def query_classes(spark, sf):
+    """Which texts ask for breadth, and which for preferences."""
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.wants_breadth(t).alias("broad"), T.asks_preference(t).alias("preference"))
+
+
+@query(r"""with p as (select page_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(url, '^.*[/\\]', ''), '\.[A-Za-z0-9]{1,5}$', ''), '[-_ :#]+'), lambda p: not regexp_matches(p, '(?i)^([0-9a-f]{8,}|[0-9a-f-]{32,}|\d+)$')) as parts from pages) select page_id, trim(array_to_string(parts, ' ')) as name from p""")
+def source_names(spark, sf):
+    """Readable names of pages' sources."""
+    return table(spark, sf, "pages").select("page_id", T.clean_source(F.col("url")).alias("name"))
+
+
+@query("select doc_id, doc_id % 4 = 0 and coalesce(length(text), 0) >= 10 as is_binary from documents")
+def binary_files(spark, sf):
+    """Contents with a zero byte near their start, which a fourth of them are given here."""
+    t = F.coalesce("text", F.lit(""))
+    raw = F.encode(F.when((F.col("doc_id") % 4 == 0) & (F.length(t) >= 10), F.concat(F.substring(t, 1, 10), F.lit("\0"), t)).otherwise(t), "utf-8")
+    return table(spark, sf, "documents").select("doc_id", T.is_binary(raw).alias("is_binary"))

@@ -149,6 +149,14 @@ def best_passages(spark, sf):
     return b.select("item_id", T.best_passage(F.col("text"), F.slice(T.query_tokens(F.col("text")), 1, 3)).alias("passage"))
 
 
-@query()
+def salient_sql(source: str) -> str:
+    """(key, terms) of source (key, text): the longest different words, ties in order of appearance."""
+    return f"""w as (select key, unnest(x) as w, unnest(range(1, len(x) + 1)) as i from (select key, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]{{2,}}') as x from ({source}))),
+d as (select key, w, min(i) as i from w where w not in ({", ".join(repr(x) for x in T.COMMON)}) group by 1, 2),
+l as (select * from d qualify row_number() over (partition by key order by length(w) desc, i) <= 6),
+salient as (select key, string_agg(w, ' ' order by length(w) desc, i) as terms, count(*) as n from l group by 1)"""
+
+
+@query(f"with {salient_sql('select item_id as key, text from benchmark')} select item_id, coalesce(terms, '') as terms from benchmark left join salient on key = item_id")
 def salient_terms(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(T.salient_terms(F.col("text")), " ").alias("terms"))

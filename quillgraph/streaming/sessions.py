@@ -40,6 +40,11 @@ def expire(items: DataFrame, now_ms: int, ttl_ms: int = DAY_MS) -> DataFrame:
     return items.where(F.col("last_seen_at") >= now_ms - ttl_ms)
 
 
+def session_count(items: DataFrame) -> DataFrame:
+    """One row: sessions (different ones with items) and items."""
+    return items.agg(F.count_distinct("session_id").alias("sessions"), F.count("*").alias("items"))
+
+
 def is_salient() -> Column:
     return F.col("important") | (F.col("repeat_count") >= 2) | (F.col("ref_count") >= 2)
 

@@ -229,3 +229,74 @@ def test_audit_chain(spark):
         assert [x["id"] for x in check(changed).collect()] == [3]
         assert [x["id"] for x in check(log.where("id <> 2")).collect()] == [3]
     assert [x["id"] for x in audit.newest(log, 2).collect()] == [5, 4]
+
+
+def test_inverted_lists_find_most_neighbours(spark, monkeypatch):
+    """Recall against exact neighbours over clustered vectors, with lists split into blocks."""
+    from quillgraph.operators import ann, retrieval
+
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    r = np.random.default_rng(6)
+    v = (r.standard_normal((30, 24)).repeat(100, 0) + 0.7 * r.standard_normal((3000, 24))).astype(np.float32)
+    chunks = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(5000, None), (5001, [1.0])], "point_id long, embedding array<float>")
+    asked = spark.createDataFrame([(f"q{i}", "u", v[i].tolist()) for i in range(0, 3000, 60)], "query_id string, user_id string, vector array<float>")
+    c = ann.centroids(chunks, sample=2000)
+    indexed = ann.cut(ann.lists(chunks, c))
+    assert indexed.count() == 3000 and 30 <= len(c) <= 60
+    got = {(x["query_id"], x["point_id"]) for x in ann.search(indexed, c, asked, 8).collect()}
+    want = {(x["query_id"], x["point_id"]) for x in retrieval.knn(chunks, asked, 8).collect()}
+    assert len(got) == len(want) == 400 and len(got & want) >= 0.9 * len(want)
+    assert ann.search(indexed, c, asked.limit(0), 8).count() == 0
+
+
+def test_hybrid_search_equals_a_plain_computation(spark):
+    """The flagship's search over chunks of a few documents: both legs, fusion, access and cuts in plain Python."""
+    import math
+    import re
+
+    from quillgraph.functions import vectors
+    from quillgraph.operators import retrieval
+
+    r = np.random.default_rng(8)
+    vocabulary = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    texts = [" ".join(r.choice(vocabulary, r.integers(4, 14))) + "." for _ in range(120)]
+    rows = [(f"r{i // 3}#{i % 3}", f"r{i // 3}", t, [float(x) for x in vectors.hash_vector(t, {})]) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "point_id string, virtual_record_id string, content string, embedding array<double>")
+    may = {u: {f"r{i}" for i in range(40) if i % 3 != k} for k, u in enumerate(("a", "b"))}
+    acl = spark.createDataFrame([(u, x, x) for u, xs in may.items() for x in xs], "user_id string, virtual_record_id string, record_id string")
+    records = spark.createDataFrame([(f"r{i}", "a" if i % 5 == 0 else "z", 1.0, 0, 0) for i in range(40)], "record_id string, owner_id string, importance double, last_accessed_at long, access_count long")
+    edges = spark.createDataFrame([("s", "d", "works_at", 5, ["r1"])], "src string, dst string, label string, expired_at long, provenance array<string>")
+    asks = [(f"q{i}", "ab"[i % 2], " ".join(r.choice(vocabulary, 5))) for i in range(12)]
+    queries = spark.createDataFrame([(*a, [float(x) for x in vectors.hash_vector(a[2], {})]) for a in asks], "query_id string, user_id string, query string, vector array<double>")
+    found, _ = retrieval.hybrid_search(queries, chunks, records, edges, acl, 1000)
+    got = {}
+    for x in found.orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((x["point_id"], round(x["rrf"], 9)))
+    words = {p: re.findall("[a-z0-9]+", t.lower()) for p, _, t, _ in rows}
+    average = sum(map(len, words.values())) / len(words)
+    for q, user, query in asks:
+        mine = [(p, v, t, e) for p, v, t, e in rows if v in may[user]]
+        vec = np.array(vectors.hash_vector(query, {}))
+        dense = sorted(((-round(float(np.dot(vec, e)), 9), p) for p, _, _, e in mine))[:64]
+        score = {}
+        for term in re.findall("[a-z0-9]+", query):
+            df = sum(term in w for w in words.values())
+            idf = max(math.log((len(words) - df + 0.5) / (df + 0.5)), 1e-6)
+            for p, _, _, _ in mine:
+                if tf := words[p].count(term):
+                    score[p] = score.get(p, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words[p]) / average))
+        sparse = sorted((-round(s, 9), p) for p, s in score.items())[:64]
+        fused = {}
+        for leg in (dense, sparse):
+            for rank, (_, p) in enumerate(leg, 1):
+                fused[p] = fused.get(p, 0) + 1 / (60 + rank)
+        for p in fused:
+            i = int(p[1:].split("#")[0])
+            fused[p] *= (1.2 if user == "a" and i % 5 == 0 else 1) * (0.5 if i == 1 else 1)
+        top, want, per = max(fused.values()), [], {}
+        for p in sorted(fused, key=lambda p: (-round(fused[p], 12), p)):
+            record = p.split("#")[0]
+            if fused[p] >= 0.3 * top and per.get(record, 0) < 2 and len(want) < 8:
+                per[record] = per.get(record, 0) + 1
+                want.append((p, round(fused[p], 9)))
+        assert got[q] == want
