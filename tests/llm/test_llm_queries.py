@@ -76,7 +76,12 @@ def test_guard_leaves_the_rest(tmp_path):
     import sys
 
     root = os.path.dirname(os.path.abspath(entry.__file__))
-    shutil.copytree(os.path.join(root, "quillgraph"), tmp_path / "quillgraph", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    for folder, left_out in (("quillgraph", "llm"), ("tests", "llm")):
+        shutil.copytree(os.path.join(root, folder), tmp_path / folder, ignore=shutil.ignore_patterns(left_out, "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py"):
+        shutil.copy(os.path.join(root, name), tmp_path)
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
     code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and not any(n.startswith('op') for n in e.queries()) and 'pipeline' not in e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=tmp_path, check=True, env=env)
+    subprocess.run([sys.executable, "-m", "pytest", "tests/test_functions.py", "-q", "-x"], cwd=tmp_path, check=True, env=env)
