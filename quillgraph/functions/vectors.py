@@ -50,9 +50,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(x, y) / size).otherwise(0.0)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: what a lambda refers to otherwise is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalized(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    scaled = lambda v: F.transform(v["a"], lambda x: F.when(v["n"] > 0, x.cast("double") / v["n"]).otherwise(x.cast("double")))
+    return let(a, lambda a: let(F.struct(a.alias("a"), norm(a).alias("n")), scaled))
 
 
 def prefix(a: Column, size: int) -> Column:
@@ -62,9 +67,12 @@ def prefix(a: Column, size: int) -> Column:
 
 def quantized(a: Column) -> Column:
     """struct<codes array<int>, scale double>: symmetric 8-bit codes whose dot products approach cosines by scale."""
-    top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
-    codes = F.transform(a, lambda x: F.when(top > 0, F.floor(x.cast("double") * 127 / top + 0.5)).otherwise(0).cast("int"))
-    return F.struct(codes.alias("codes"), F.when(top > 0, top / (127 * norm(a))).otherwise(0.0).alias("scale"))
+    def coded(v: Column) -> Column:
+        a, top = v["a"], v["top"]
+        codes = F.transform(a, lambda x: F.when(top > 0, F.floor(x.cast("double") * 127 / top + 0.5)).otherwise(0).cast("int"))
+        return F.struct(codes.alias("codes"), F.when(top > 0, top / (127 * norm(a))).otherwise(0.0).alias("scale"))
+
+    return let(a, lambda a: let(F.struct(a.alias("a"), F.array_max(F.transform(a, lambda x: F.abs(x.cast("double")))).alias("top")), coded))
 
 
 def sparse(c: Column) -> Column:
