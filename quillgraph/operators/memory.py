@@ -13,8 +13,8 @@ from quillgraph import schemas
 from quillgraph.config import FUNCTIONAL, GENERIC, PERMANENT, Config
 from quillgraph.functions import scores, vectors
 from quillgraph.functions import text as T
+from quillgraph.operators import ranking
 from quillgraph.operators.facts import is_typed
-from quillgraph.operators.ranking import blocks
 
 OPPOSITES = dict(x.split(":") for x in "agrees_with:disagrees_with allows:forbids approves:rejects enables:blocks includes:excludes likes:dislikes loves:hates prefers:avoids recommends:discourages supports:opposes trusts:distrusts".split())
 OPPOSITES |= {v: k for k, v in OPPOSITES.items()}
@@ -193,72 +193,27 @@ def strength(now_ms: int, cfg: Config = Config()):
     return scores.memory_strength(now_ms, F.col("last_used_at"), F.col("updated_at"), F.col("use_count"), F.col("confidence"), cfg.memory_half_life_days)
 
 
-def nearest_facts(facts: DataFrame, queries: DataFrame, acl: DataFrame, limit: int) -> DataFrame:
-    """Of every some facts each query's best, so that only those are shuffled; the query set goes to all tasks in blocks."""
-    spark = facts.sparkSession
-    users = acl.join(queries.select("user_id").distinct(), "user_id", "left_semi").groupBy("virtual_record_id").agg(F.collect_set("user_id").alias("users"))
-    columns = ["id", "memory", "strength", "updated_at"]
-    source = facts.join(users, "virtual_record_id").select(*columns, F.col("embedding").cast("array<double>"), "users")
-    kind = "query_id string, similarity double, " + ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in columns)
-    found = spark.createDataFrame([], kind)
-    for block in blocks(queries, "query_id", "user_id", "vector"):
-        names, askers, sent = zip(*block)
-        sent = spark.sparkContext.broadcast((names, askers, [np.array([] if v is None else v, float) for v in sent]))
-
-        def best(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            names, askers, q = sent.value
-            for whole in frames:
-                whole = whole.sort_values(["strength", "updated_at", "id"], ascending=[False, False, True], kind="stable")
-                for at in range(0, len(whole), 2000):
-                    f = whole.iloc[at : at + 2000]
-                    raw = cosines([np.array([] if v is None else v, float) for v in f["embedding"]], q)
-                    who = [set(u) for u in f["users"]]
-                    may = {u: np.array([u in w for w in who]) for u in set(askers)}
-                    s = np.where(np.stack([may[u] for u in askers], 1), np.round(raw, 9), -np.inf)
-                    top = np.argsort(-s, axis=0, kind="stable")[:limit]
-                    i, j = top.T.ravel(), np.repeat(np.arange(len(names)), len(top))
-                    ok = s[i, j] > -np.inf
-                    i, j = i[ok], j[ok]
-                    out = f.iloc[i][columns]
-                    out.insert(0, "similarity", raw[i, j])
-                    out.insert(0, "query_id", [names[x] for x in j])
-                    yield out
-
-        found = found.unionByName(source.mapInPandas(best, kind))
-    return found
-
-
-def cosines(rows: list[np.ndarray], queries: list[np.ndarray]) -> np.ndarray:
-    """vectors.cosine of each row and query: 0 where a norm is 0; the shorter length counts."""
-    out = np.zeros((len(rows), len(queries)))
-    sizes = lambda x: {n: [i for i, v in enumerate(x) if len(v) == n] for n in {len(v) for v in x} - {0}}
-    for n, r in sizes(rows).items():
-        for m, c in sizes(queries).items():
-            k = min(n, m)
-            x, y = np.array([rows[i][:k] for i in r]), np.array([queries[i][:k] for i in c])
-            size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)
-            out[np.ix_(r, c)] = np.where(size > 0, x @ y.T / np.where(size > 0, size, 1), 0.0)
-    return out
-
-
 def recall(memories: DataFrame, queries: DataFrame, acl: DataFrame, now_ms: int, kind: str = "semantic", limit: int = 8, cfg: Config = Config()) -> DataFrame:
     """(query_id, id, memory, similarity, rank) of current memories that the asking user may see.
 
     memories carry an embedding; queries: query_id, user_id, vector. Facts go by similarity, then strength; episodes by
     similarity and recency above a floor; procedures by similarity above a floor.
     """
+    m = current(memories, now_ms, kind).withColumn("strength", strength(now_ms, cfg))
+    users = acl.join(queries.select("user_id").distinct(), "user_id", "left_semi").groupBy("virtual_record_id").agg(F.collect_set("user_id").alias("users"))
+    m = m.join(users, "virtual_record_id").withColumn("recency", scores.episode_score(now_ms, F.lit(0.0), F.coalesce("occurred_at", "created_at"), cfg.episode_half_life_days) if kind == "episodic" else F.lit(0.0))
     if kind == "semantic":
-        rows = nearest_facts(current(memories, now_ms, kind).withColumn("strength", strength(now_ms, cfg)), queries, acl, limit)
-        order = [F.desc(F.round("similarity", 9)), F.desc("strength"), F.desc("updated_at"), F.col("id")]
+        carry, how = (("strength", "descending"), ("updated_at", "descending"), ("memory", None)), {}
+        order = [F.desc(F.round("score", 9)), F.desc("strength"), F.desc("updated_at"), F.col("id")]
     else:
-        asked = queries.select("query_id", "user_id", "vector")
-        rows = asked.join(acl.select("user_id", "virtual_record_id").distinct(), "user_id").join(current(memories, now_ms, kind), "virtual_record_id")
-        rows = rows.withColumn("similarity", F.coalesce(vectors.cosine(F.col("vector"), F.col("embedding")), F.lit(0.0))).withColumn("strength", strength(now_ms, cfg))
-        rows = rows.where(F.col("similarity") >= cfg.episode_floor)
-        score = scores.episode_score(now_ms, F.col("similarity"), F.coalesce("occurred_at", "created_at"), cfg.episode_half_life_days) if kind == "episodic" else F.col("similarity")
-        order = [F.desc(F.round(score, 9)), F.col("id")]
+        carry, how = (("recency", None), ("memory", None)), {"weight": 0.7 if kind == "episodic" else 1.0, "bonus": "recency", "floor": cfg.episode_floor}
+        order = [F.desc(F.round(F.lit(how["weight"]) * F.col("score") + F.col("recency"), 9)), F.col("id")]
+    source = m.select("id", F.col("embedding").cast("array<double>"), "users", *[c for c, _ in carry])
+    rows = ranking.nearest(source, queries, limit, "id", True, carry, True, **how)
+    if rows is None:
+        return memories.sparkSession.createDataFrame([], f"query_id string, id {memories.schema['id'].dataType.simpleString()}, memory string, similarity double, rank int")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= limit).select("query_id", "id", "memory", "similarity", "rank")
+    return ranked.where(F.col("rank") <= limit).select("query_id", "id", "memory", F.col("score").alias("similarity"), "rank")
 
 
 def reinforce(memories: DataFrame, uses: DataFrame) -> DataFrame:

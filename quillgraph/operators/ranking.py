@@ -19,42 +19,56 @@ SLICE = 2_000_000
 
 
 class Best:
-    """The k best rows per query of scores that come in slices: by score (9 digits), then by key."""
+    """The k best rows per query of scores that come in slices: by score (9 digits), then by ties, then by key.
 
-    def __init__(self, k: int, queries: int):
+    low is what a row's score has to reach for each query: that of the k-th of the rows kept so far.
+    """
+
+    def __init__(self, k: int, queries: int, ties: tuple[tuple[str, str], ...] = ()):
         self.k, self.queries, self.held, self.parts = k, queries, 0, []
+        self.order = [("q", "ascending"), ("r", "descending"), *ties, ("key", "ascending")]
+        self.low = np.full(queries, -np.inf)
 
     def add(self, keys: pa.Array, score: np.ndarray) -> None:
         """score: rows x queries, -inf where a row doesn't count."""
         r = np.round(score, 9)
-        if len(r) > self.k:
-            least = np.partition(r, len(r) - self.k, axis=0)[len(r) - self.k]
-            row, col = np.nonzero((r >= least) & (r > -np.inf))
-        else:
-            row, col = np.nonzero(r > -np.inf)
-        if not len(row):
+        row, col = self.fitting(r, slice(None), 0.0)
+        self.keep(col, r[row, col], score[row, col], {"key": keys.take(pa.array(row))})
+
+    def fitting(self, r: np.ndarray, at: np.ndarray | slice, error: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns that may be among the best, where r (rows x queries at) is off by up to error."""
+        least = self.low[at] - error
+        if len(r) > self.k and np.isneginf(least).any():
+            least = np.maximum(least, np.partition(r, len(r) - self.k, axis=0)[len(r) - self.k] - 2 * error)
+        return np.nonzero((r >= np.maximum(least, np.finfo(float).min).astype(r.dtype)) & (r > -np.inf))
+
+    def keep(self, col: np.ndarray, r: np.ndarray, score: np.ndarray, columns: dict[str, pa.Array]) -> None:
+        if not len(col):
             return
-        part = pa.table({"q": pa.array(col.astype(np.int32)), "r": pa.array(r[row, col]), "score": pa.array(score[row, col]), "key": keys.take(pa.array(row))})
-        self.parts.append(part)
-        self.held += len(row)
-        if self.held > 4 * self.k * self.queries + 100_000:
+        self.parts.append(pa.table({"q": pa.array(col.astype(np.int32)), "r": pa.array(r), "score": pa.array(score), **columns}))
+        self.held += len(col)
+        if len(self.parts) == 1 or self.held > 2 * self.k * self.queries + 50_000:
             self.parts = [self.found()]
             self.held = self.parts[0].num_rows
+            q, r = (self.parts[0].column(c).to_numpy() for c in ("q", "r"))
+            full = np.bincount(q, minlength=self.queries) >= self.k
+            last = np.searchsorted(q, np.arange(self.queries), "right") - 1
+            self.low = np.where(full, r[last], self.low)
 
     def found(self) -> pa.Table | None:
         if not self.parts:
             return None
         t = pa.concat_tables(self.parts).combine_chunks()
-        t = t.take(pc.sort_indices(t, sort_keys=[("q", "ascending"), ("r", "descending"), ("key", "ascending")]))
+        t = t.take(pc.sort_indices(t, sort_keys=self.order))
         q = t.column("q").to_numpy()
         first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
         place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
         return t.filter(pa.array(place < self.k))
 
-    def batches(self, names: list, key: str) -> Iterator[pa.RecordBatch]:
+    def batches(self, names: list, key: str, more: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
         t = self.found()
         if t is not None and t.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(names).take(t.column("q").combine_chunks()), t.column("key").combine_chunks(), t.column("score").combine_chunks()], ["query_id", key, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(names).take(t.column("q").combine_chunks()), *[t.column(c).combine_chunks() for c in ("key", "score", *more)]], ["query_id", key, "score", *more])
 
 
 class Access:
@@ -87,44 +101,139 @@ def blocks(queries: DataFrame, *columns: str) -> Iterator[list]:
         yield block
 
 
-def nearest(source: DataFrame, queries: DataFrame, k: int, key: str, restricted: bool) -> DataFrame | None:
-    """(query_id, key, score): each task's k best by cosine. source: key, vector and, if restricted, users array<string>;
-    a vector of another length than the query's has no score."""
-    kind = source.schema[key].dataType.simpleString()
+class Sized:
+    """Queries' vectors by length; of rows of another length nothing counts or, if ragged, the shorter length."""
+
+    def __init__(self, vectors: list[np.ndarray], ragged: bool = False):
+        sizes, self.ragged, self.known = np.array([len(v) for v in vectors], int), ragged, {}
+        self.groups = {int(d): (at, np.stack([vectors[i] for i in at]) if d else np.zeros((len(at), 0))) for d in np.unique(sizes) for at in [np.flatnonzero(sizes == d)]}
+
+    def units(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(queries, their unit vectors, the same as floats of 32 bits), cut to the size of rows."""
+        for d, (at, q) in self.groups.items():
+            n = min(d, size)
+            if n != max(d, size) and not self.ragged:
+                continue
+            if (d, n) not in self.known:
+                unit = units(q[:, :n])
+                self.known[d, n] = (at, unit, np.ascontiguousarray(unit, np.float32))
+            yield self.known[d, n]
+
+
+def units(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1)
+    return v / np.where(n > 0, n, 1)[:, None]
+
+
+def vectors_by_size(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors as doubles) of each length; null counts as empty."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for d in np.unique(size):
+        rows = np.flatnonzero(size == d)
+        yield rows, column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), d) if d else np.zeros((len(rows), 0))
+
+
+def cosines_of(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of unit vectors, row by row, the same for the same pair wherever it stands."""
+    return np.nan_to_num(np.concatenate([(v[a : a + 50_000] * q[a : a + 50_000]).sum(1) for a in range(0, max(1, len(v)), 50_000)]))
+
+
+def nearest(source: DataFrame, queries: DataFrame, k: int, key: str, restricted: bool, carry: tuple[tuple[str, str | None], ...] = (), ragged: bool = False, weight: float = 1.0, bonus: str | None = None, floor: float = -np.inf) -> DataFrame | None:
+    """(query_id, key, score, carried columns): each task's k best by cosine. source: key, vector and, if restricted,
+    users array<string>, then the carried columns (name and, where it decides ties, the order).
+
+    Vectors of another length than the query's have no score unless ragged. With a bonus (a carried column) rows are
+    ranked by weight * cosine + bonus; cosines below the floor don't count. Products of 32 bits find what may be among
+    the best, within their error bound; these pairs are computed again in doubles.
+    """
+    kinds = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c, _ in carry)
+    kind = f"query_id string, {key} {source.schema[key].dataType.simpleString()}, score double{kinds}"
+    names_of, ties = tuple(c for c, _ in carry), tuple((c, o) for c, o in carry if o)
     found = None
     for block in blocks(queries, "query_id", "user_id", "vector"):
-        sent = source.sparkSession.sparkContext.broadcast(([r["query_id"] for r in block], [r["user_id"] for r in block], [np.array(r["vector"], float) for r in block]))
+        sent = source.sparkSession.sparkContext.broadcast(([r["query_id"] for r in block], [r["user_id"] for r in block], [np.array([] if r["vector"] is None else r["vector"], float) for r in block]))
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, users, vectors = sent.value
-            sizes = np.array([len(v) for v in vectors])
-            groups = {}
-            for d in np.unique(sizes):
-                at = np.flatnonzero(sizes == d)
-                q = np.stack([vectors[i] for i in at]) if d else np.zeros((len(at), 0))
-                n = np.linalg.norm(q, axis=1)
-                groups[int(d)] = (at, q / np.where(n > 0, n, 1)[:, None])
-            top, access = Best(k, len(names)), Access(users) if restricted else None
+            sized, top, access = Sized(vectors, ragged), Best(k, len(names), ties), Access(users) if restricted else None
             step = max(1, SLICE // len(names))
             for batch in batches:
                 for a in range(0, batch.num_rows, step):
                     part = batch.slice(a, step)
-                    size = pc.fill_null(pc.list_value_length(part.column(1)), -1).to_numpy(zero_copy_only=False)
-                    for d, (at, q) in groups.items():
-                        rows = np.flatnonzero(size == d)
-                        if not len(rows):
-                            continue
-                        own = part.take(pa.array(rows))
-                        v = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), d)
-                        n = np.linalg.norm(v, axis=1)
-                        s = np.full((len(rows), len(names)), -np.inf)
-                        s[:, at] = np.nan_to_num(v @ q.T / np.where(n > 0, n, 1)[:, None])
-                        if access is not None:
-                            s[~access.mask(own.column(2))] = -np.inf
-                        top.add(own.column(0), s)
-            yield from top.batches(names, key)
-
-        part = source.mapInArrow(best, f"query_id string, {key} {kind}, score double")
+                    may = access.mask(part.column(2)) if access is not None else None
+                    more = part.column(part.schema.get_field_index(bonus)).to_numpy(zero_copy_only=False) if bonus else None
+                    for rows, v in vectors_by_size(part.column(1)):
+                        for at, q, short in sized.units(v.shape[1]):
+                            n = q.shape[1]
+                            own, error = units(v[:, :n]), (n + 8) * 2.4e-7
+                            s = np.nan_to_num(own.astype(np.float32) @ short.T)
+                            wanted = None if np.isneginf(floor) else s >= floor - error
+                            if bonus:
+                                s = (weight * s + more[rows][:, None]).astype(np.float32)
+                            if wanted is not None:
+                                s[~wanted] = -np.inf
+                            if may is not None:
+                                s[~(may[rows] if len(at) == len(names) else may[np.ix_(rows, at)])] = -np.inf
+                            i, j = top.fitting(s, at, error)
+                            raw = cosines_of(own[i], q[j]) if len(i) else np.zeros(0)
+                            ok = raw >= floor
+                            i, j, raw = i[ok], j[ok], raw[ok]
+                            r = np.round(weight * raw + more[rows[i]] if bonus else raw, 9)
+                            place = pa.array(rows[i])
+                            top.keep(at[j], r, raw, {"key": part.column(0).take(place), **{c: part.column(part.schema.get_field_index(c)).take(place) for c in names_of}})
+            yield from top.batches(names, key, names_of)
+
+        part = source.mapInArrow(best, kind)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def best_of_records(chunks: DataFrame, queries: DataFrame) -> DataFrame | None:
+    """(query_id, virtual_record_id, point_id, score): of each record that a query names, each task's best chunk by
+    cosine, then by point_id. chunks: virtual_record_id, point_id, embedding; queries: query_id, vector, records."""
+    record, point = (chunks.schema[c].dataType.simpleString() for c in ("virtual_record_id", "point_id"))
+    kind = f"query_id string, virtual_record_id {record}, point_id {point}, score double"
+    found = None
+    for block in blocks(queries, "query_id", "vector", "records"):
+        wanted: dict = {}
+        for i, row in enumerate(block):
+            for r in row["records"]:
+                wanted.setdefault(r, []).append(i)
+        names = list(wanted)
+        pairs = [np.array(wanted[r]) for r in names]
+        sent = chunks.sparkSession.sparkContext.broadcast(([r["query_id"] for r in block], [np.array([] if r["vector"] is None else r["vector"], float) for r in block], names, pairs))
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            asking, vectors, names, pairs = sent.value
+            known, sized = pa.array(names), {}
+            first = np.concatenate([[0], np.cumsum([len(p) for p in pairs])])
+            top = Best(1, int(first[-1]))
+            for batch in batches:
+                of = pc.fill_null(pc.index_in(batch.column(0).cast(known.type), value_set=known), -1).to_numpy(zero_copy_only=False)
+                order = np.argsort(of, kind="stable")
+                order = order[of[order] >= 0]
+                for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
+                    n = int(of[rows[0]])
+                    if n not in sized:
+                        if len(sized) > 256:
+                            sized.clear()
+                        sized[n] = Sized([vectors[i] for i in pairs[n]], True)
+                    for a in range(0, len(rows), step := max(1, SLICE // len(pairs[n]))):
+                        part = batch.take(pa.array(rows[a : a + step]))
+                        for own, v in vectors_by_size(part.column(2)):
+                            for at, q, short in sized[n].units(v.shape[1]):
+                                u, error, at = units(v[:, : q.shape[1]]), (q.shape[1] + 8) * 2.4e-7, at + first[n]
+                                i, j = top.fitting(np.nan_to_num(u.astype(np.float32) @ short.T), at, error)
+                                raw = cosines_of(u[i], q[j])
+                                top.keep(at[j], raw, raw, {"key": part.column(1).take(pa.array(own[i]))})
+            t = top.found()
+            if t is not None and t.num_rows:
+                pair = t.column("q").to_numpy()
+                n = np.searchsorted(first, pair, "right") - 1
+                query = np.concatenate(pairs)[pair]
+                yield pa.RecordBatch.from_arrays([pa.array(asking).take(pa.array(query)), known.take(pa.array(n)), t.column("key").combine_chunks(), t.column("score").combine_chunks()], ["query_id", "virtual_record_id", "point_id", "score"])
+
+        part = chunks.mapInArrow(best, kind)
         found = part if found is None else found.unionByName(part)
     return found
 
