@@ -197,3 +197,19 @@ def test_principal_components(spark):
     got = np.array([p["components"] for p in graph.pca(rows, 2).orderBy("id").collect()])
     axes = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :2]
     assert np.allclose(np.abs(got), np.abs(x @ axes), atol=1e-3)
+
+
+def test_access_is_found_once_for_users_with_the_same_rights(spark):
+    """A hundred members of a group are one class; a grant or an organisation of one's own makes another."""
+    users = [(f"u{i:03d}", "org2" if i == 7 else "org1") for i in range(100)]
+    u = spark.createDataFrame(users + [("u008", "org2"), ("stranger", "org1")], "user_id string, org_id string")
+    p = [(x, "users", x, None, None) for x, _ in users] + [("g", "groups", None, None, None), ("rg", "recordGroups", None, None, None), ("any", "anyone", None, "org2", "r5")]
+    p = spark.createDataFrame(p, "id string, coll string, user_id string, org_id string, file_key string")
+    e = [(x, "g", "belongsTo") for x, _ in users if x != "u050"] + [("g", "rg", "permissions"), ("u009", "r6", "permissions")] + [(f"r{i}", "rg", "inheritPermissions") for i in range(4)]
+    e = spark.createDataFrame(e, "src string, dst string, label string")
+    r = spark.createDataFrame([(f"r{i}", f"v{i}", "c", "CONNECTOR", "COMPLETED") for i in range(8)], "record_id string, virtual_record_id string, connector_id string, origin string, indexing_status string")
+    seen, members = acl.accessible_to_classes(u, p, e, r)
+    assert {x["class"] for x in members.collect()} == {"u000", "u007", "u008", "u009", "u050"}
+    assert seen.count() == 4 + 5 + 5 + 5
+    want = {(x, i) for x, _ in users for i in range(4) if x != "u050"} | {("u007", 5), ("u008", 5), ("u009", 6)}
+    assert sorted((x["user_id"], x["virtual_record_id"], x["record_id"]) for x in acl.accessible(u, p, e, r).collect()) == sorted((x, f"v{i}", f"r{i}") for x, i in want)
