@@ -6,8 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from quillgraph import schemas
 from quillgraph.config import FUNCTIONAL, GENERIC, PERMANENT, Config
@@ -15,6 +19,7 @@ from quillgraph.functions import scores, vectors
 from quillgraph.functions import text as T
 from quillgraph.operators import ranking
 from quillgraph.operators.facts import is_typed
+from quillgraph.operators.lineage import cut
 
 OPPOSITES = dict(x.split(":") for x in "agrees_with:disagrees_with allows:forbids approves:rejects enables:blocks includes:excludes likes:dislikes loves:hates prefers:avoids recommends:discourages supports:opposes trusts:distrusts".split())
 OPPOSITES |= {v: k for k, v in OPPOSITES.items()}
@@ -46,17 +51,21 @@ def keyed_facts(facts: DataFrame) -> DataFrame:
     )
 
 
-def consolidate(facts: DataFrame, visible: DataFrame | None = None) -> DataFrame:
+def consolidate(facts: DataFrame, visible: DataFrame | None = None, subject: str | None = None) -> DataFrame:
     """Memories from facts in order of seq.
 
     A new value of a functional subject supersedes the one before it unless it is less certain; an equal one only
     refreshes it; contradicting predicates about the same subject and object retire each other. A writer's record
-    touches only what the writer sees: visible (writer_record, virtual_record_id); without it all is visible.
+    touches only what the writer sees: visible (writer_record, virtual_record_id); without it all is visible. With a
+    subject (an entity id) only its facts are folded; those of others don't touch them.
 
     The fold is sequential per subject and object group, so groups are those keys that can touch each other: the
-    subject and predicate of functional facts, the subject and object of others.
+    subject and predicate of functional facts, the subject and object of others. Groups of functional facts whose
+    certainty never falls are folded many at once, the others row by row.
     """
     f = keyed_facts(facts)
+    if subject is not None:
+        f = f.where(F.col("subject_id") == subject)
     group = F.when(F.col("functional"), F.col("subject_key")).otherwise(F.concat_ws("|", F.lit("pair"), "subject_id", "object_id"))
     f = f.withColumn("fold", group)
     if visible is not None:
@@ -73,8 +82,6 @@ def consolidate(facts: DataFrame, visible: DataFrame | None = None) -> DataFrame
         out = opposite.get(base, []) + ([base] if base != p else [f"not_{base}", f"no_longer_{base}"])
         return [x for x in out if x != p]
 
-    names = [c.split()[0] for c in schemas.MEMORIES.split(", ")]
-
     def step(rows: list[dict], x: dict) -> None:
         """One assertion, upon the memories of its fold so far."""
         sees = None if x["sees"] is None else {*x["sees"], x["virtual_record_id"]}
@@ -105,28 +112,65 @@ def consolidate(facts: DataFrame, visible: DataFrame | None = None) -> DataFrame
             "relation": "updates" if new else None, "source_record_id": x["record_id"], "created_at": x["ts"], "updated_at": x["ts"], "use_count": 0, "last_used_at": None, "kind": "semantic", "occurred_at": None, "actor_ids": [], "confidence": sure,
         })
 
-    def out(rows: list[dict]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=names)
-        for c in ("forget_after", "last_used_at", "occurred_at"):
-            frame[c] = frame[c].astype("Int64")
-        return frame
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted, so only the fold at hand is held."""
-        done, rows, key = [], [], None
-        for frame in frames:
-            for x in frame.to_dict("records"):
-                if x["fold"] != key:
+    schema = to_arrow_schema(_parse_datatype_string(schemas.MEMORIES))
+
+    def out(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, schema)
+
+    def at_once(t: pa.RecordBatch, start: np.ndarray) -> pa.RecordBatch:
+        """Whole groups, from start on each, of functional facts whose certainty never falls: versions are runs of equal memories."""
+        said = pc.dictionary_encode(t.column("memory")).indices.to_numpy()
+        new = np.concatenate([[True], said[1:] != said[:-1]])
+        new[start] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], t.num_rows) - 1
+        heads = np.flatnonzero(np.isin(first, start))
+        size = np.diff(np.append(heads, len(first)))
+        version = np.arange(len(first)) - np.repeat(heads, size) + 1
+        rows = t.take(pa.array(first))
+        own = pc.binary_join_element_wise("mem:", rows.column("seq").cast(pa.string()), "")
+        later, n = version > 1, len(first)
+        ends = np.zeros(n, bool)
+        ends[heads + size - 1] = True
+        given = {
+            "id": own, "version": pa.array(version.astype(np.int32)), "parent_id": own.take(pa.array(np.where(later, np.arange(n) - 1, 0), mask=~later)), "root_id": own.take(pa.array(np.repeat(heads, size))), "is_latest": pa.array(ends), "is_forgotten": pa.array(np.zeros(n, bool)),
+            "relation": pa.array(["updates"]).take(pa.array(np.zeros(n, int), mask=~later)), "source_record_id": rows.column("record_id"), "created_at": rows.column("ts"), "updated_at": t.column("ts").take(pa.array(last)), "use_count": pa.array(np.zeros(n, int)),
+            "kind": pa.array(["semantic"]).take(pa.array(np.zeros(n, int))), "actor_ids": pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.string())), "confidence": pc.fill_null(rows.column("confidence"), 1.0),
+        }
+        columns = [given[f.name] if f.name in given else rows.column(f.name) if f.name in t.schema.names else pa.nulls(n, f.type) for f in schema]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted. A group at a batch's edge is held as its memories so far; those inside are whole."""
+        rows, key = [], None
+        for t in batches:
+            if not t.num_rows:
+                continue
+            place = pc.run_end_encode(t.column("fold")).run_ends.to_numpy()
+            keys, start = t.column("fold").take(pa.array(place - 1)).to_pylist(), np.append(0, place[:-1])
+            group = np.repeat(np.arange(len(place)), place - start)
+            sure = pc.fill_null(t.column("confidence"), 1.0).to_numpy(zero_copy_only=False)
+            falls = np.append(False, (sure[1:] < sure[:-1]) & (group[1:] == group[:-1]))
+            odd = falls | np.isnan(sure) | ~t.column("functional").to_numpy(zero_copy_only=False) | t.column("sees").is_valid().to_numpy(zero_copy_only=False)
+            single = np.bincount(group, weights=odd) > 0
+            single[[0, -1]] = True
+            if not single.all():
+                inside = ~single
+                yield at_once(t.filter(pa.array(inside[group])), np.append(0, np.cumsum((place - start)[inside])[:-1]))
+            done = []
+            for g in np.flatnonzero(single):
+                if keys[g] != key:
                     done.extend(rows)
-                    rows, key = [], x["fold"]
-                    if len(done) > 5000:
-                        yield out(done)
-                        done = []
-                step(rows, x)
-        if done or rows:
-            yield out(done + rows)
+                    rows, key = [], keys[g]
+                for x in t.slice(start[g], place[g] - start[g]).to_pylist():
+                    step(rows, x)
+            if done:
+                yield out(done)
+        if rows:
+            yield out(rows)
 
-    return f.repartition("fold").sortWithinPartitions("fold", "seq").mapInPandas(fold, schemas.MEMORIES)
+    f = f.select("fold", "seq", "ts", "org_id", "virtual_record_id", "record_id", "subject_key", "subject_id", "object_id", "predicate", "memory", F.col("confidence").cast("double").alias("confidence"), "functional", "is_static", "sees")
+    return f.repartition("fold").sortWithinPartitions("fold", "seq").mapInArrow(fold, schemas.MEMORIES)
 
 
 def consolidate_windows(facts: DataFrame) -> DataFrame:
@@ -266,6 +310,7 @@ def profile(memories: DataFrame, related: DataFrame, subject: str, now_ms: int)
 
 def revisions(memories: DataFrame) -> DataFrame:
     """(kind, before, after): updates of functional facts, and contradictions, matched by the reason they left."""
+    memories = cut(memories.select("id", "parent_id", "memory", "is_forgotten", "forget_reason"))  # four tables are made of them
     new = memories.select(F.col("id").alias("new_id"), F.col("memory").alias("after"), "parent_id")
     updates = memories.select(F.col("id").alias("parent_id"), F.col("memory").alias("before")).join(new, "parent_id").select(F.lit("updated").alias("kind"), "before", "after")
     gone = memories.where("is_forgotten").select(F.col("memory").alias("before"), "forget_reason")

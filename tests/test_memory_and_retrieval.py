@@ -1,6 +1,7 @@
 """Memories over time, retrieval, questions, metrics and the audit chain."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -300,3 +301,38 @@ def test_hybrid_search_equals_a_plain_computation(spark):
                 per[record] = per.get(record, 0) + 1
                 want.append((p, round(fused[p], 9)))
         assert got[q] == want
+
+
+def test_folds_at_once_equal_folds_by_row(spark):
+    """Functional facts with rising, falling and unknown certainties and others, in batches of all sizes, against a fold in plain Python."""
+    r = random.Random(2)
+    rows = [(f"P{r.randrange(12)}", r.choice(["lives_in", "works_at"] * 3 + ["met"]), r.choice("abc"), *r.choice([(1.0,), (1.0,), (1.0,), (0.4,)])) for _ in range(400)]
+    facts = told(spark, rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        got = []
+        for size in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got.append(sorted(map(str, memory.consolidate(facts).collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got[0] == got[1]
+    want = {}
+    for i, (s, p, o, sure) in enumerate(rows):
+        chain = want.setdefault((s, p) if p != "met" else (s, p, o), [])
+        if not chain or chain[-1][0] != o and sure >= chain[-1][1]:
+            chain.append((o, sure))
+    versions = {(f"{k[0]} {k[1].replace('_', ' ')} {o}", n + 1, n + 1 == len(c), sure) for k, c in want.items() for n, (o, sure) in enumerate(c)}
+    m = memory.consolidate(facts).collect()
+    assert {(x["memory"], x["version"], x["is_latest"], x["confidence"]) for x in m} == versions and len(m) == len(versions)
+    own = {x["id"]: x for x in m}
+    for x in m:
+        assert (x["parent_id"] is None) == (x["version"] == 1) == (x["relation"] is None) and own[x["root_id"]]["version"] == 1 and own[x["root_id"]]["subject_key"] == x["subject_key"]
+        assert x["parent_id"] is None or (own[x["parent_id"]]["version"], own[x["parent_id"]]["subject_key"]) == (x["version"] - 1, x["subject_key"])
+
+
+def test_a_timeline_folds_its_subject_only(spark):
+    facts = told(spark, [("Ann", "lives_in", "Oslo"), ("Bob", "lives_in", "Rome"), ("Ann", "lives_in", "Bonn")])
+    m = memory.consolidate(facts, subject="entity:ann")
+    assert {x["subject_key"] for x in m.collect()} == {"entity:ann|lives_in"}
+    assert memory.timeline(m, "entity:ann").collect() == memory.timeline(memory.consolidate(facts), "entity:ann").collect()
