@@ -281,7 +281,7 @@ def memory_history(spark, sf):
 
 @query(f"with {VERSIONS} select created_at as at, 'fact' as kind, memory as text, version, not is_latest as superseded from m where subject_key like 'entity:customer-7|%'")
 def fact_timeline(spark, sf):
-    return memory.timeline(memory.consolidate(ordered_facts(spark, sf)), "entity:customer-7")
+    return memory.timeline(memory.consolidate(ordered_facts(spark, sf), subject="entity:customer-7"), "entity:customer-7")
 
 
 @query(f"with {VERSIONS} select 'updated' as kind, a.memory as before, b.memory as after from m a join m b on a.subject_key = b.subject_key and b.version = a.version + 1")
