@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from quillgraph.operators.lineage import cut
+
 #: queries that travel to all tasks at once; more of them go in further blocks
 QUERY_BLOCK = 4096
 SLICE = 2_000_000
@@ -151,6 +153,8 @@ def nearest(source: DataFrame, queries: DataFrame, k: int, key: str, restricted:
     names_of, ties = tuple(c for c, _ in carry), tuple((c, o) for c, o in carry if o)
     found = None
     for block in blocks(queries, "query_id", "user_id", "vector"):
+        if found is None and len(block) == QUERY_BLOCK:
+            source = cut(source)  # further blocks read it again
         sent = source.sparkSession.sparkContext.broadcast(([r["query_id"] for r in block], [r["user_id"] for r in block], [np.array([] if r["vector"] is None else r["vector"], float) for r in block]))
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -201,6 +205,8 @@ def best_of_records(chunks: DataFrame, queries: DataFrame) -> DataFrame | None:
                 wanted.setdefault(r, []).append(i)
         names = list(wanted)
         pairs = [np.array(wanted[r]) for r in names]
+        if found is None and len(block) == QUERY_BLOCK:
+            chunks = cut(chunks)  # further blocks read it again
         sent = chunks.sparkSession.sparkContext.broadcast(([r["query_id"] for r in block], [np.array([] if r["vector"] is None else r["vector"], float) for r in block], names, pairs))
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -228,7 +228,7 @@ def memory_recall(spark, sf):
     """Facts about order status, recalled for every customer whose key is divisible by 50 by similarity and strength."""
     from quillgraph.plans.relational_queries import ordered_facts
 
-    m = memory.consolidate(ordered_facts(spark, sf)).withColumn("embedding", vectors.hash_embedding("memory"))
+    m = cut(memory.consolidate(ordered_facts(spark, sf))).withColumn("embedding", vectors.hash_embedding("memory"))
     c = table(spark, sf, "customer").where("c_custkey % 50 = 0")
     q = c.select(F.concat(F.lit("q"), "c_custkey").alias("query_id"), F.lit("u").alias("user_id"), F.concat(F.lit("status of customer "), "c_custkey").alias("query")).withColumn("vector", vectors.hash_embedding("query"))
     acl = m.select(F.lit("u").alias("user_id"), "virtual_record_id").distinct()
