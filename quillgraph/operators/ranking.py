@@ -302,6 +302,49 @@ def counted(texts: DataFrame, phrases, key: str, more: tuple[str, ...] = ()) ->
     return texts.select("tokens", key, *more).mapInArrow(run, ", ".join([*kinds, "length long", "phrase array<int>", "tf array<int>"]))
 
 
+def text_scores(asked: Phrases, row: np.ndarray, phrase: np.ndarray, tf: np.ndarray, length: np.ndarray, weight: np.ndarray, average: float, rows: int, queries: int, k1: float, b: float) -> np.ndarray:
+    """BM25 as rows x queries from where a phrase stands, how often, and the length of that text."""
+    share = weight[phrase] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
+    n = np.diff(asked.first)[phrase]
+    at = np.repeat(asked.first[phrase], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.bincount(np.repeat(row, n) * queries + asked.query[at], weights=np.repeat(share, n) * asked.times[at], minlength=rows * queries).reshape(rows, queries).astype(float)  # of nothing bincount gives whole numbers
+
+
+def best_of_tenant(k: int, key: str, average: float, k1: float, b: float):
+    """The k best rows of one tenant (key, embedding, tokens) for its queries (query_id, vector, phrases with their
+    weights), by cosine and by BM25: a function of a cogroup, which gives query_id, key, score and leg."""
+
+    def best(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        mine, names, out = mine.combine_chunks(), asked.column("query_id").to_pylist(), []
+        keys = mine.column(key).combine_chunks()
+        if mine.num_rows and names:
+            given = [i for i, v in enumerate(asked.column("vector")) if v.is_valid]
+            held = mine.filter(mine.column("embedding").is_valid())
+            if given and held.num_rows:
+                own, top = held.column(key).combine_chunks(), Best(k, len(given))
+                sized = Sized([np.array(asked.column("vector")[i].as_py(), float) for i in given])
+                for rows, v in vectors_by_size(held.column("embedding").combine_chunks()):
+                    u = units(v)
+                    for at, q, short in sized.units(v.shape[1]):
+                        i, j = top.fitting(np.nan_to_num(u.astype(np.float32) @ short.T), at, (v.shape[1] + 8) * 2.4e-7)
+                        raw = cosines_of(u[i], q[j])
+                        top.keep(at[j], np.round(raw, 9), raw, {"key": own.take(pa.array(rows[i]))})
+                out += [("vector", x) for x in top.batches([names[i] for i in given], key)]
+            said = [(i, tuple(p["p"]), p["weight"]) for i, ps in enumerate(asked.column("phrases").to_pylist()) for p in ps or []]
+            if said:
+                phrases, top, of = Phrases([(i, p) for i, p, _ in said]), Best(k, len(names)), {p: w for _, p, w in said}
+                row, phrase, tf, length = phrases.count(mine.column("tokens").combine_chunks())
+                score = text_scores(phrases, row, phrase, tf, length[row], np.array([of[p] for p in phrases.phrases]), average, mine.num_rows, len(names), k1, b)
+                score[score == 0] = -np.inf
+                top.add(keys, score)
+                out += [("keyword", x) for x in top.batches(names, key)]
+        kind = pa.schema([("query_id", pa.string()), (key, keys.type), ("score", pa.float64()), ("leg", pa.string())])
+        parts = [pa.Table.from_batches([x]).append_column("leg", pa.array([leg] * x.num_rows, pa.string())).cast(kind) for leg, x in out]
+        return pa.concat_tables(parts) if parts else kind.empty_table()
+
+    return best
+
+
 def best_texts(coded: DataFrame, names: list, users: list, phrases, weight: np.ndarray, average: float, k: int, key: str, restricted: bool, k1: float, b: float) -> DataFrame:
     """(query_id, key, score): each task's k best by BM25. coded: as counted() gives it, and users if restricted."""
     kind = coded.schema[key].dataType.simpleString()
@@ -312,7 +355,6 @@ def best_texts(coded: DataFrame, names: list, users: list, phrases, weight: np.n
         asked = phrases.value
         top, access = Best(k, len(names)), Access(users) if restricted else None
         step = max(1, SLICE // len(names))
-        degree = np.diff(asked.first)
         for batch in batches:
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
@@ -320,10 +362,7 @@ def best_texts(coded: DataFrame, names: list, users: list, phrases, weight: np.n
                 row = np.repeat(np.arange(part.num_rows), size)
                 phrase, tf = (part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
                 length = part.column(1).to_numpy(zero_copy_only=False)[row]
-                share = weight[phrase] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
-                n = degree[phrase]
-                at = np.repeat(asked.first[phrase], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                score = np.bincount(np.repeat(row, n) * len(names) + asked.query[at], weights=np.repeat(share, n) * asked.times[at], minlength=part.num_rows * len(names)).reshape(part.num_rows, len(names))
+                score = text_scores(asked, row, phrase, tf, length, weight, average, part.num_rows, len(names), k1, b)
                 score[score == 0] = -np.inf
                 if access is not None:
                     score[~access.mask(part.column(4))] = -np.inf

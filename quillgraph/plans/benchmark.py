@@ -30,7 +30,7 @@ def run(history: DataFrame, questions: DataFrame, k: int = 10, cfg: Config = Con
     chunks, records, acl = case_tables(history, cfg)
     asked = questions.where("not abstain").select(F.col("question_id").alias("query_id"), F.col("case_id").alias("user_id"), F.col("question").alias("query"), vectors.hash_embedding("question").alias("vector"))
     edges = spark.createDataFrame([], "src string, dst string, label string, expired_at long, provenance array<string>")
-    found, _ = retrieval.hybrid_search(asked, chunks, records, edges, acl, 0, Config(**{**cfg.__dict__, "topk": k}), **options)
+    found, _ = retrieval.hybrid_search(asked, chunks, records, edges, acl, 0, Config(**{**cfg.__dict__, "topk": k}), **{"tenants": True, **options})
     ids = found.select("query_id", F.regexp_replace("record_id", "^[^/]*/", "").alias("id"), "rank", "passage")
     gold = questions.where("not abstain").select(F.col("question_id").alias("query_id"), F.explode("evidence_ids").alias("id"), F.lit(1.0).alias("grade"))
     scored = evaluate.metrics(ids, gold, k)

@@ -87,3 +87,19 @@ def test_graph_leg_equals_all_pairs(spark, monkeypatch):
             want.setdefault(name, []).append(min(rows, key=lambda r: (round(r[0], 12), r[1])))
     want = {(name, i, round(-s, 8) + 0.0) for name, rows in want.items() for s, i in rows}
     assert {(r["query_id"], r["point_id"], round(r["score"], 8) + 0.0) for r in got.collect()} == want
+
+
+def test_tenants_legs_equal_those_of_the_whole_table(spark, monkeypatch):
+    """Each user's queries against that user's chunks only, in cells, give what a search of all chunks gives."""
+    g = np.random.default_rng(6)
+    words = ["red", "blue", "v1", "2", "sea", "salt", "été", "wind"]
+    rows = [(f"p{i:03d}", f"v{i // 2}", (" ".join(g.choice(words, 6)) + " v1.2") if i // 2 % 5 != 4 else "gone", None if i == 3 else g.normal(size=8).tolist()) for i in range(150)]
+    chunks = spark.createDataFrame(rows, "point_id string, virtual_record_id string, content string, embedding array<float>")
+    acl = spark.createDataFrame([(f"u{i % 5}", f"v{i}", f"r{i}") for i in range(75)] + [("u0", "v1", "r1")], "user_id string, virtual_record_id string, record_id string")
+    asks = [(f"q{i}", f"u{i % 6}", " ".join(g.choice(words, 3)) + [" v1.2", "", " gone zzz"][i % 3] if i % 6 != 4 else "red", None if i == 4 else g.normal(size=8).tolist()) for i in range(24)] + [("none", "u1", "", None), ("miss", "u7", "zzz", None)]
+    queries = spark.createDataFrame(asks, "query_id string, user_id string, query string, vector array<float>")
+    got = retrieval.tenant_legs(chunks, queries, 7, acl, most=4)
+    want = {"vector": retrieval.knn(chunks, queries, 7, acl), "keyword": retrieval.bm25(chunks, queries, 7, acl)}
+    for leg in want:
+        a, b = ({(r["query_id"], r["point_id"], r["rank"], round(r["score"], 9)) for r in x.collect()} for x in (got[leg], want[leg]))
+        assert a == b and a
