@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
 
@@ -11,6 +12,7 @@ from quillgraph.functions.vectorised import arrow_udf
 TITLES = frozenset("capt dr hon lt madam madame miss mr mrs ms mx prof rev sgt sir".split())
 LEGAL = frozenset("ab ag as bv co company corp corporation gmbh inc incorporated limited llc llp lp ltd nv oy plc pvt sa srl".split())
 SMALL = frozenset("a an and at by de el for in la le of on the to van von".split())
+UNTOLD = SMALL | LEGAL | TITLES
 SHORT = dict(zip("assn assoc bros dept depts govt intl mfg natl univ".split(), "association association brothers department departments government international manufacturing national university".split()))
 FORMAL = {
     nick: formal
@@ -30,6 +32,7 @@ BUCKETS = (
 )
 
 
+@functools.lru_cache(4096)
 def bucket(kind: str | None) -> str:
     up = (kind or "").strip().upper()
     return next((b for b, words in BUCKETS if up and re.search(words, up)), "generic")
@@ -60,19 +63,25 @@ def initials(words: list[str]) -> list[str]:
 
 
 def _telling(words: Iterable[str]) -> list[str]:
-    return [w for w in words if len(w) >= 2 and w not in SMALL | LEGAL | TITLES]
+    return [w for w in words if len(w) >= 2 and w not in UNTOLD]
 
 
 def index_keys(name: str, b: str = "generic") -> list[str]:
     """Keys that an entity is found under."""
-    words = normal(name, b)
+    return _index(normal(name, b))
+
+
+def _index(words: list[str]) -> list[str]:
     own = _telling(words)
     return list(dict.fromkeys([*own, *(FORMAL[w] for w in own if FORMAL.get(w, w) != w), *initials(words)]))
 
 
 def lookup_keys(name: str, b: str = "generic") -> list[str]:
     """Keys that a name looks under: its longest word, formal forms of nicknames, initials."""
-    words = normal(name, b)
+    return _lookup(normal(name, b))
+
+
+def _lookup(words: list[str]) -> list[str]:
     longest = max((w for w in words if w not in SMALL), key=len, default=None)
     return list(dict.fromkeys([*([longest] if longest else []), *(FORMAL[w] for w in _telling(words) if FORMAL.get(w, w) != w), *initials(words)]))
 
@@ -95,6 +104,17 @@ def osa(a: str, b: str, most: int = 2) -> int:
     return min(last[-1], most + 1)
 
 
+def within_one(a: str, b: str) -> bool:
+    """osa(a, b, 1) <= 1, from the first place where they differ."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    x, y = a[i:], b[i:]
+    return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[:2][::-1] and x[2:] == y[2:])
+
+
 def match(a: str, a_kind: str | None, b: str, b_kind: str | None) -> tuple[bool, float, str]:
     """(whether, how sure, why)."""
     ba, bb = bucket(a_kind), bucket(b_kind)
@@ -110,7 +130,7 @@ def match(a: str, a_kind: str | None, b: str, b_kind: str | None) -> tuple[bool,
         return True, 1.0, "equal"
     if (len(wa) == 1 and wa[0] in initials(wb)) or (len(wb) == 1 and wb[0] in initials(wa)):
         return True, 0.95, "acronym"
-    if min(len(sa), len(sb)) >= 6 and osa(sa, sb, 1) <= 1:
+    if min(len(sa), len(sb)) >= 6 and within_one(sa, sb):
         return True, 0.9, "typo"
     if shared == "person":
         fa, fb = ([FORMAL.get(w, w) for w in x] for x in (wa, wb))
@@ -127,22 +147,18 @@ def name_class(name: str, kind: str | None) -> dict:
     """What the rules see of a name: names with equal class ids match the same names.
 
     looks and index are the blocking keys; the normal forms are among them, so that equal forms always meet. A pair
-    that any rule but containment accepts shares a key of near in one and of far in the other. few holds the words
-    whose presence in another person's words would be containment, many the words that may hold them.
+    that is equal or an acronym shares a key of near in one and of far in the other; texts holds the forms that are
+    long enough for a typo. few holds the words whose presence in another person's words would be containment, many
+    the words that may hold them.
     """
     b = bucket(kind)
     forms = {s: normal(name, s) for s in ((b,) if b != "generic" else ("generic", "person", "org"))}
     if not forms[b]:
-        return {"node": None, "looks": [], "index": [], "near": [], "far": [], "few": [], "many": []}
+        return {"node": None, "looks": [], "index": [], "near": [], "far": [], "texts": [], "few": [], "many": []}
     whole = list(dict.fromkeys("=" + " ".join(w) for w in forms.values()))
-    looks, index = lookup_keys(name, b) + whole, index_keys(name, b) + whole
+    looks, index = _lookup(forms[b]) + whole, _index(forms[b]) + whole
     near, far, few, many = set(whole), set(whole), [], []
     for s, words in forms.items():
-        text = " ".join(words)
-        if len(text) >= 6:  # within one edit of each other: equal after at most one deletion in each
-            cuts = {text, *(text[:i] + text[i + 1 :] for i in range(len(text)))}
-            near.update(f"{k}~{x}" for k in looks for x in cuts)
-            far.update(f"{k}~{x}" for k in index for x in cuts)
         short, long = words if len(words) == 1 else [], initials(words)
         near.update([*("<" + x for x in short), *(">" + x for x in long)])
         far.update([*("<" + x for x in long), *(">" + x for x in short)])
@@ -153,15 +169,16 @@ def name_class(name: str, kind: str | None) -> dict:
             many = sorted(set(formal))
             if len(formal) >= 2 or (len(formal[0]) >= 4 and formal[0] not in SMALL | LEGAL):
                 few = many
+    texts = [w[1:] for w in whole if len(w) > 6]
     node = "|".join([b, *(" ".join(w) for w in forms.values())])
-    return {"node": node, "looks": looks, "index": index, "near": sorted(near), "far": sorted(far), "few": few, "many": many}
+    return {"node": node, "looks": looks, "index": index, "near": sorted(near), "far": sorted(far), "texts": texts, "few": few, "many": many}
 
 
-@arrow_udf("node string, looks array<string>, index array<string>, near array<string>, far array<string>, few array<string>, many array<string>")
+@arrow_udf("node string, looks array<string>, index array<string>, near array<string>, far array<string>, texts array<string>, few array<string>, many array<string>")
 def name_classes(names: pd.Series, kinds: pd.Series) -> pd.DataFrame:
     text = lambda x: None if x is None or x != x else x
     rows = [name_class(text(n) or "", text(k)) for n, k in zip(names, kinds)]
-    return pd.DataFrame(rows, columns=["node", "looks", "index", "near", "far", "few", "many"])
+    return pd.DataFrame(rows, columns=["node", "looks", "index", "near", "far", "texts", "few", "many"])
 
 
 @arrow_udf("match boolean, score double, reason string")

@@ -10,48 +10,75 @@ from quillgraph.operators.graph import components
 from quillgraph.operators.lineage import cut
 
 
+#: counters of words by hash; a counter that several words share only makes the choice of a rare word less good
+COUNTERS = 1 << 18
+
+
+def tasks(df: DataFrame) -> int:
+    """Tasks for names' rules: their rows are few bytes, but much work, which adaptive plans would leave to one task."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
 def classes(surfaces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, node) of all surfaces, and a row per node, the class of names that no rule tells apart, with its keys.
+    """(id, node) of all surfaces, and a row per node, the class of names that no rule tells apart, with its number (n)
+    and its keys.
 
     A form without any word has no node; it matches nothing.
     """
-    labels = surfaces.groupBy("label", "type").agg(F.count("*").alias("n")).select("label", "type", names.name_classes("label", "type").alias("c"))
+    once = surfaces.select("label", "type").repartition(tasks(surfaces), "label", "type").distinct()
+    labels = once.select("label", "type", F.explode(F.array(names.name_classes("label", "type"))).alias("c"))  # computed once, then filtered
     labels = cut(labels.where("c.node is not null").select("label", "type", "c.*"))
     of = labels.select(F.col("label").alias("l"), F.col("type").alias("t"), "node")
     own = surfaces.join(of, F.col("label").eqNullSafe(F.col("l")) & F.col("type").eqNullSafe(F.col("t"))).select("id", "node").distinct()
-    first = F.min_by(F.struct("label", "type", "looks", "index", "near", "far", "few", "many"), F.struct("label", "type"))
-    return cut(own), cut(labels.groupBy("node").agg(first.alias("x")).select("node", "x.*"))
+    first = F.min_by(F.struct("label", "type", "looks", "index", "near", "far", "texts", "few", "many"), F.struct("label", "type"))
+    return cut(own), cut(labels.groupBy("node").agg(first.alias("x")).select(F.monotonically_increasing_id().alias("n"), "node", "x.*"))
 
 
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """(inner, outer) nodes where the rarest word of one is among the other's: all that can hold all its words."""
-    words = outer.select(F.col("node").alias("outer"), F.explode("many").alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("n"))
-    few = inner.select(F.col("node").alias("inner"), F.explode("few").alias("word")).join(often, "word", "left")
-    rare = few.groupBy("inner").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
-    return rare.join(words, "word").select("inner", "outer")
+    """(inner, outer) numbers of nodes where a rare word of one is among the other's: all that can hold all its words.
+
+    Words are counted by hash, so that a word of most names is never brought together in one task.
+    """
+    counter = lambda rows: rows.withColumn("c", F.pmod(F.xxhash64("word"), F.lit(COUNTERS)))
+    words = counter(outer.select(F.col("n").alias("outer"), F.explode("many").alias("word")))
+    often = words.groupBy("c").agg(F.count("*").alias("often"))
+    few = counter(inner.select(F.col("n").alias("inner"), F.explode("few").alias("word"))).join(F.broadcast(often), "c", "left")
+    rare = few.groupBy("inner").agg(F.min_by(F.struct("word", "c"), F.struct(F.coalesce("often", F.lit(0)), "word")).alias("x")).select("inner", "x.*")
+    asked = words.join(F.broadcast(rare.select("c").distinct()), "c", "left_semi")
+    return rare.select("inner", "word").join(asked.select("outer", "word"), "word").select("inner", "outer")
+
+
+def cuts(nodes: DataFrame, name: str) -> DataFrame:
+    """(name, k): hashes of nodes' texts, whole and without each of their characters. Texts within one edit of each other
+    have one in common."""
+    each = F.expr("transform(sequence(0, length(text)), i -> xxhash64(concat(left(text, i), substring(text, i + 2))))")
+    return nodes.select(F.col("n").alias(name), F.explode("texts").alias("text")).select(name, F.explode(each).alias("k"))
 
 
 def links(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(a, b, score, reason) of different nodes that share a blocking key and match.
+    """(a, b, score, reason, na, nb) of different nodes, and their numbers, that share a blocking key and match.
 
     Each rule finds its pairs by keys of its own, so a blocking key that many nodes share costs no more than the
     pairs that come out. What the keys give too much is judged and dropped.
     """
-    near = a.select(F.col("node").alias("a"), F.explode("near").alias("k")).select("a", F.xxhash64("k").alias("k"))
-    far = b.select(F.col("node").alias("b"), F.explode("far").alias("k")).select("b", F.xxhash64("k").alias("k"))
-    pairs = near.join(far, "k").select("a", "b")
-    pairs = pairs.unionByName(contained(a, b).toDF("a", "b")).unionByName(contained(b, a).toDF("b", "a")).where("a != b").distinct()
-    x = a.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("type").alias("ta"), "looks")
-    y = b.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("type").alias("tb"), "index")
-    blocked = pairs.join(x, "a").join(y, "b").where(F.arrays_overlap("looks", "index"))
-    judged = blocked.select("a", "b", names.name_match("la", "ta", "lb", "tb").alias("m"))
-    return judged.where((F.col("m.match")) & (F.col("m.score") >= least)).select("a", "b", "m.score", "m.reason")
+    near = a.select(F.col("n").alias("na"), F.explode("near").alias("k")).select("na", F.xxhash64("k").alias("k"))
+    far = b.select(F.col("n").alias("nb"), F.explode("far").alias("k")).select("nb", F.xxhash64("k").alias("k"))
+    holds = contained(a, b)
+    held = holds if a is b else contained(b, a)
+    other = "na != nb" if a is b else "true"
+    pairs = near.join(far, "k").where(other).select("na", "nb").unionByName(cuts(a, "na").join(cuts(b, "nb"), "k").where(other).select("na", "nb"))
+    pairs = pairs.unionByName(holds.toDF("na", "nb").where(other)).unionByName(held.toDF("nb", "na").where(other)).distinct()
+    pairs = cut(pairs)  # the plan in two, each of which is planned again whenever a part of it is done
+    x = a.select(F.col("n").alias("na"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("type").alias("ta"), "looks")
+    y = b.select(F.col("n").alias("nb"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("type").alias("tb"), "index")
+    blocked = pairs.join(x, "na").join(y, "nb").where(F.arrays_overlap("looks", "index") & (F.col("a") != F.col("b")))
+    judged = blocked.repartition(tasks(a)).select("a", "b", "na", "nb", F.explode(F.array(names.name_match("la", "ta", "lb", "tb"))).alias("m"))  # judged once, then filtered
+    return judged.where((F.col("m.match")) & (F.col("m.score") >= least)).select("a", "b", "m.score", "m.reason", "na", "nb")
 
 
 def with_self(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """links, and each node to itself."""
-    return found.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("score"), F.lit("equal").alias("reason")))
+    return found.drop("na", "nb").unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("score"), F.lit("equal").alias("reason")))
 
 
 def matches(surfaces: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
@@ -76,11 +103,13 @@ def best_match(surfaces: DataFrame, known: DataFrame) -> DataFrame:
 def groups(surfaces: DataFrame) -> DataFrame:
     """(id, component) of all surfaces that have a word."""
     own, nodes = classes(surfaces)
-    found = links(nodes, nodes, 0.85).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    own = cut(own.join(nodes.select("node", "n"), "node").select("id", "n"))
+    found = links(nodes, nodes, 0.85).select(F.col("na").alias("src"), F.col("nb").alias("dst"))
     # an id that comes with several names holds them together
-    several = own.groupBy("id").agg(F.min("node").alias("src")).join(own, "id").where("src != node").select("src", F.col("node").alias("dst"))
-    group = components(found.unionByName(several).select("src", "dst", F.lit("same").alias("label"), F.lit(1.0).alias("weight")))
-    return own.join(group, "node", "left").select("id", F.coalesce("component", "node").alias("component")).distinct()
+    several = own.groupBy("id").agg(F.min("n").alias("src")).join(own, "id").where("src != n").select("src", F.col("n").alias("dst"))
+    same = cut(found.unionByName(several))  # read in both directions, found once
+    group = components(same.select("src", "dst", F.lit("same").alias("label"), F.lit(1.0).alias("weight")))
+    return own.join(group.withColumnRenamed("node", "n"), "n", "left").select("id", F.coalesce("component", "n").alias("component")).distinct()
 
 
 def canonicalise(surfaces: DataFrame) -> DataFrame:

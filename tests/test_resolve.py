@@ -60,3 +60,19 @@ def test_names_under_a_common_word(spark):
     assert got["p1"] == got["p2"] == "p1" and got["q1"] == got["q2"] == "q1"
     new = table(spark, [("n", "Smith", "PERSON", 0)]).drop("seq")
     assert resolve.best_match(new, table(spark, rows).drop("seq")).collect()[0]["canonical"] == "p1"
+
+
+def test_keys_grow_with_the_length_of_names():
+    """A name's keys: once a key per blocking key and character, some hundreds."""
+    for kind in ("PERSON", "ORG", None):
+        c = names.name_class("Customer#000000001 abcd1234 of UNITED STATES", kind)
+        assert len(c["near"]) + len(c["far"]) < 30 and len(c["texts"]) <= 3
+
+
+def test_one_edit_equals_the_distance():
+    r = random.Random(2)
+    words = ["".join(r.choice("abc") for _ in range(r.randint(0, 6))) for _ in range(400)]
+    words += [w[:i] + x + w[j:] for w in words[:60] for i in range(len(w) + 1) for j in (i, i + 1) for x in ("", "c")]
+    for a in words[:400]:
+        for b in r.sample(words, 60):
+            assert names.within_one(a, b) == (names.osa(a, b, 1) <= 1)
