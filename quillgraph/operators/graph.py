@@ -200,9 +200,12 @@ def related_records(edges: DataFrame, acl: DataFrame, seeds: DataFrame, limit: i
     near = first.join(hop, "e").select("query_id", F.col("to").alias("e")).unionByName(first).distinct().join(rare, "e")
     w = Window.partitionBy("query_id").orderBy("deg", "e")
     kept = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cfg.max_neighbours)
-    found = kept.join(mentions, "e").groupBy("query_id", "record_id").agg(F.count("*").alias("shared"))
+    # access comes before records are counted: only what a query's user may read is ever paired with it
     asked = seeds.select("query_id", "user_id").distinct()
-    allowed = found.join(asked, "query_id").join(acl.select("user_id", "record_id"), ["user_id", "record_id"], "left_semi").join(seeds.select("query_id", "record_id"), ["query_id", "record_id"], "left_anti")
+    may = acl.select("user_id", "record_id").join(asked.select("user_id").distinct(), "user_id", "left_semi").distinct()
+    readable = mentions.join(rare.select("e"), "e", "left_semi").join(may, "record_id")
+    found = kept.select("query_id", "e").join(asked, "query_id").join(readable, ["user_id", "e"]).groupBy("query_id", "user_id", "record_id").agg(F.count("*").alias("shared"))
+    allowed = found.join(seeds.select("query_id", "record_id"), ["query_id", "record_id"], "left_anti")
     ranked = allowed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "record_id")))
     return ranked.where(F.col("rank") <= limit).select("query_id", "record_id", "shared", "rank")
 
