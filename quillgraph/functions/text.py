@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -51,6 +52,27 @@ def strip_boilerplate(c: Column) -> Column:
     return F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n")
 
 
+_SPACE, _ENDS = " \t\n\x0b\f\r", "\u0085\u2028\u2029"  # white space and further line ends as the JVM has them
+_PHRASE = re.compile("|".join(PHRASES).replace(".?", f"[^\n\r{_ENDS}]?"), re.I | re.A)
+_MENU = re.compile(f"(?:{'|'.join(MENU)})[{_ENDS}]?\\Z", re.I | re.A)
+_LONGEST = max(map(len, MENU)) + 1
+#: each phrase holds one of these
+_PARTS = tuple(p.split(".?")[0] for p in PHRASES)
+
+
+def stripped_text(text: str) -> str:
+    """strip_boilerplate() in Python: phrases are looked for line by line only where a text holds a part of one."""
+    low, kept = text.lower(), []
+    risky = any(p in low for p in _PARTS) and _PHRASE.search(text) is not None
+    for line in re.split("\r?\n", text):
+        t = line.strip(_SPACE)
+        if t[-1:] in _ENDS:  # Java's $ is also before a last line end
+            t = (t[:-1].rstrip(_SPACE) + t[-1:]).strip(" ")
+        if t and not (len(t) <= _LONGEST and _MENU.match(t)) and not (risky and _PHRASE.search(t)):
+            kept.append(line)
+    return "\n".join(kept)
+
+
 def sentences(c: Column) -> Column:
     return F.split(c, SENTENCES)
 
@@ -75,7 +97,9 @@ ACCENTED, PLAIN = _folds()
 
 def search_tokens(c: Column) -> Column:
     """What full-text search finds: runs of letters and digits of any script, lower-cased, without accents, in order."""
-    return F.regexp_extract_all(F.translate(F.lower(c), ACCENTED, PLAIN), F.lit(r"([\p{L}\p{N}\p{Co}]+)"))
+    low = F.lower(c)
+    plain = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))  # only ASCII: no accents
+    return F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}\p{Co}]+)"))
 
 
 def search_terms(c: Column) -> Column:

@@ -6,12 +6,10 @@ import math
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgraph.functions.vectorised import arrow_udf
-
 DIM = 256
 
 
@@ -138,6 +136,12 @@ def _hash_on(state: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.nda
     return h
 
 
+def _runs(length: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs in a row, each element's place in its run, and that place counted from the run's begin."""
+    inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    return inner, np.repeat(begin, length) + inner
+
+
 def hash_vectors(texts: list[str | None]) -> np.ndarray:
     """hash_vector of many texts at once, over the bytes of all of them."""
     n = len(texts)
@@ -151,29 +155,27 @@ def hash_vectors(texts: list[str | None]) -> np.ndarray:
     own = _hash_on(own, wide, start, size)
     # words are told apart by two hashes
     other = _hash_on(np.full(len(start), np.uint32(0x9E3779B9), np.uint32), wide * np.uint32(31) + np.uint32(7), start, size)
-    key = own.astype(np.uint64) << np.uint64(32) | other
-    order = np.lexsort((key, row))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (key[order[1:]] != key[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
-    first, count = order[fresh], np.diff(np.append(np.flatnonzero(fresh), len(order)))
+    # each different word is looked at once, however many texts hold it
+    key, place, word = np.unique(own.astype(np.uint64) << np.uint64(32) | other, return_index=True, return_inverse=True)
+    pair, count = np.unique(row * len(key) + word, return_counts=True)
+    text, said = pair // max(1, len(key)), pair % max(1, len(key))
     weight = 1 + np.log(np.maximum(count, 1))
-    cells, parts = [row[first] * DIM + own[first] % DIM], [np.where(own[first] >= 1 << 31, weight, -weight)]
+    cells, parts = [text * DIM + own[place][said] % DIM], [np.where(own[place][said] >= 1 << 31, weight, -weight)]
     # letter triples of each different word, with a sign on both ends
-    length = size[first]
-    word = np.repeat(np.arange(len(first)), length)
-    inner = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length)
-    at = start[first][word] + inner
+    length, begin = size[place], start[place]
+    inner, at = _runs(length, begin)
     edge = np.uint32(ord("#"))
     before = np.where(inner > 0, wide[np.maximum(at - 1, 0)], edge)
-    after = np.where(inner + 1 < length[word], wide[np.minimum(at + 1, len(wide) - 1)], edge)
+    after = np.where(inner + 1 < np.repeat(length, length), wide[np.minimum(at + 1, len(wide) - 1)], edge)
     h = np.full(len(at), _state("c:"), np.uint32)
     for x in (before, wide[at], after):
         h = (h ^ x) * _PRIME
-    cells.append(row[first][word] * DIM + h % DIM)
-    parts.append(np.where(h >= 1 << 31, 0.5 * weight[word], -0.5 * weight[word]))
+    _, at = _runs(length[said], (np.cumsum(length) - length)[said])
+    cells.append(np.repeat(text * DIM, length[said]) + (h % DIM)[at])
+    parts.append(np.repeat(weight, length[said]) * np.where(h >= 1 << 31, 0.5, -0.5)[at])
     pair = np.flatnonzero(row[1:] == row[:-1])
-    h = _hash_on(np.full(len(pair), _state("b:"), np.uint32), wide, start[pair], size[pair])
-    h = _hash_on((h ^ np.uint32(ord("_"))) * _PRIME, wide, start[pair + 1], size[pair + 1])
+    h = (_hash_on(np.full(len(key), _state("b:"), np.uint32), wide, begin, length) ^ np.uint32(ord("_"))) * _PRIME
+    h = _hash_on(h[word[pair]], wide, start[pair + 1], size[pair + 1])
     cells.append(row[pair] * DIM + h % DIM)
     parts.append(np.where(h >= 1 << 31, 0.7, -0.7))
     v = np.bincount(np.concatenate(cells).astype(np.int64), weights=np.concatenate(parts), minlength=n * DIM).reshape(n, DIM)
@@ -181,15 +183,26 @@ def hash_vectors(texts: list[str | None]) -> np.ndarray:
     return v / np.where(norm > 0, norm, 1)[:, None]
 
 
-@arrow_udf("array<float>")
-def hash_embedding(texts: pd.Series) -> pd.Series:
-    out, part, held = [], [], 0
-    for t in texts:
-        part.append(t)
-        held += len(t or "")
-        if held > 1 << 20:
-            out.extend(hash_vectors(part).astype(np.float32))
-            part, held = [], 0
-    if part:
-        out.extend(hash_vectors(part).astype(np.float32))
-    return pd.Series(out, dtype=object)
+#: letters of texts that are embedded at once; more of them don't fit into a processor's cache
+BLOCK = 1 << 18
+
+
+def hash_embedding(texts, once: bool = False) -> Column:
+    """The vectors of a text column, as array<float>; from Arrow to Arrow, without an object per text. With once a
+    filter on them isn't pushed to where they would be computed for it, and again for the result."""
+
+    @F.arrow_udf("array<float>")
+    def embed(texts: pa.Array) -> pa.Array:
+        out, part, held = [np.zeros(0, np.float32)], [], 0
+        for t in texts.to_pylist():
+            part.append(t)
+            held += len(t or "")
+            if held > BLOCK:
+                out.append(hash_vectors(part).astype(np.float32).reshape(-1))
+                part, held = [], 0
+        if part:
+            out.append(hash_vectors(part).astype(np.float32).reshape(-1))
+        off = np.arange(len(texts) + 1, dtype=np.int32) * DIM
+        return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(out)))
+
+    return (embed.asNondeterministic() if once else embed)(texts)

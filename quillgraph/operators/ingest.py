@@ -40,8 +40,13 @@ def records(docs: DataFrame, extracted: DataFrame) -> DataFrame:
 
 def chunks(docs: DataFrame, cfg: Config = Config(), embedder: Callable[..., Column] = vectors.hash_embedding) -> DataFrame:
     """A record's chunks replace all it had before. embedder: a UDF from a text column to vectors."""
-    cut = docs.select("record_id", "virtual_record_id", "org_id", F.posexplode(chunk_text(T.strip_boilerplate(F.col("text")), cfg.chunk_size, cfg.min_chunk)).alias("i", "content"))
-    return cut.select(F.concat_ws("#", "record_id", "i").alias("point_id"), "virtual_record_id", "org_id", "content", embedder("content").alias("embedding"))
+    return pieces(docs, cfg).withColumn("embedding", embedder("content"))
+
+
+def pieces(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Chunks without their vectors."""
+    cut = docs.select("record_id", "virtual_record_id", "org_id", F.posexplode(chunk_text(F.col("text"), cfg.chunk_size, cfg.min_chunk, strip=True)).alias("i", "content"))
+    return cut.select(F.concat_ws("#", "record_id", "i").alias("point_id"), "virtual_record_id", "org_id", "content")
 
 
 def grants(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

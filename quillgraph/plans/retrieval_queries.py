@@ -13,7 +13,7 @@ from quillgraph.functions import text as T
 from quillgraph.functions import vectors
 from quillgraph.operators import acl as access
 from quillgraph.operators import evaluate, ingest, kgqa, memory, resolve, retrieval
-from quillgraph.operators.lineage import cut
+from quillgraph.operators.lineage import cut, stored
 from quillgraph.plans.registry import ms, query, table
 
 
@@ -149,7 +149,8 @@ def corpus(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Documents as chunks and records with an owner (source) and a language group; access by owner and group."""
     d = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("record_id"), F.concat(F.lit("d"), "doc_id").alias("virtual_record_id"), F.lit("org").alias("org_id"), F.concat(F.lit("doc "), "doc_id").alias("record_name"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("owner_id"), F.array(F.concat(F.lit("lang:"), "lang")).alias("permitted_principals"), F.col("doc_id").alias("seq"), F.lit(1_700_000_000_000).alias("created_at"))
     docs, _ = ingest.accepted(d)
-    chunks = cut(ingest.chunks(docs))  # every leg reads them, so texts are cut and embedded once
+    chunks = stored(ingest.pieces(docs), "chunks").withColumn("embedding", vectors.hash_embedding("content", once=True))  # texts are cut once; one leg reads vectors, so these aren't written
+    docs = cut(docs.drop("text"))  # and texts aren't read for access
     grants, _ = ingest.grants(docs)
     users = docs.select(F.col("owner_id").alias("user_id")).where("user_id is not null").distinct().withColumn("org_id", F.lit("org"))
     member = users.select(F.col("user_id").alias("src"), F.lit("lang:en").alias("dst"), F.lit("belongsTo").alias("label"))
