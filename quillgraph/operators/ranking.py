@@ -18,6 +18,8 @@ from quillgraph.operators.lineage import cut
 #: queries that travel to all tasks at once; more of them go in further blocks
 QUERY_BLOCK = 4096
 SLICE = 2_000_000
+#: terms of texts that are looked up at once
+TERMS = 250_000
 
 
 class Best:
@@ -288,16 +290,27 @@ class Phrases:
         return pair // max(1, len(self.phrases)), pair % max(1, len(self.phrases)), tf, length
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose lists in a column hold about ``most`` elements in all; a longer list is alone."""
+    upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def counted(texts: DataFrame, phrases, key: str, more: tuple[str, ...] = ()) -> DataFrame:
     """(key, more, length, phrase array<int>, tf array<int>) of texts (key, tokens array<string>, more)."""
     kinds = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in (key, *more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, phrase, tf, length = phrases.value.count(batch.column(0))
-            off = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(off, pa.array(x.astype(np.int32))) for x in (phrase, tf)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(length), *lists], [key, *more, "length", "phrase", "tf"])
+            for part in slices(batch, 0, TERMS):
+                row, phrase, tf, length = phrases.value.count(part.column(0))
+                off = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(off, pa.array(x.astype(np.int32))) for x in (phrase, tf)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(length), *lists], [key, *more, "length", "phrase", "tf"])
 
     return texts.select("tokens", key, *more).mapInArrow(run, ", ".join([*kinds, "length long", "phrase array<int>", "tf array<int>"]))
 

@@ -103,3 +103,14 @@ def test_tenants_legs_equal_those_of_the_whole_table(spark, monkeypatch):
     for leg in want:
         a, b = ({(r["query_id"], r["point_id"], r["rank"], round(r["score"], 9)) for r in x.collect()} for x in (got[leg], want[leg]))
         assert a == b and a
+
+
+def test_terms_are_looked_up_in_slices():
+    import pyarrow as pa
+
+    lists = [["a"] * n if n is not None else None for n in (3, 0, None, 9, 1, 4, 4, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string())), pa.array(range(8))], ["tokens", "id"])
+    for part in (batch, batch.slice(2, 5), batch.slice(0, 0)):
+        cuts = list(ranking.slices(part, 0, 5))
+        assert pa.Table.from_batches(cuts, part.schema).to_pylist() == part.to_pylist()
+        assert all(c.num_rows == 1 or sum(len(x or []) for x in c.column(0).to_pylist()) <= 5 for c in cuts)
