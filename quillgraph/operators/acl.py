@@ -101,11 +101,18 @@ def can_access(acl: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(acl.select("user_id", "virtual_record_id", F.lit(True).alias("allowed")), ["user_id", "virtual_record_id"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
-def visible_edges(edges: DataFrame, acl: DataFrame) -> DataFrame:
-    """(user_id, edge columns) of edges that an accessible record asserts; without provenance nothing is visible."""
-    cut = edges.select("src", "dst", "label", F.explode("provenance").alias("record_id"))
-    seen = cut.join(acl.select("user_id", "record_id"), "record_id").select("user_id", "src", "dst", "label").distinct()
-    return seen.join(edges, ["src", "dst", "label"])
+def visible_edges(edges: DataFrame, acl: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """(user_id, edge columns) of edges that an accessible record asserts; without provenance nothing is visible.
+
+    Where an edge stands once (as folded) and only some columns besides src, dst and label are wanted, small ones, they
+    are carried along, and edges aren't computed and joined a second time.
+    """
+    key = ["src", "dst", "label"]
+    cut = edges.select(*key, *(carry or ()), F.explode("provenance").alias("record_id"))
+    seen = cut.join(acl.select("user_id", "record_id"), "record_id")
+    if carry is not None:
+        return seen.groupBy("user_id", *key).agg(*[F.first(c).alias(c) for c in carry]) if carry else seen.select("user_id", *key).distinct()
+    return seen.select("user_id", *key).distinct().join(edges, key)
 
 
 def filter_facets(records: DataFrame, facets: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:

@@ -13,14 +13,15 @@ from quillgraph.operators.acl import visible_edges
 from quillgraph.operators.lineage import cut
 
 
-def knowledge_graph(edges: DataFrame, entities: DataFrame, acl: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per user: entities that accessible records mention, and live relations between them that such records assert."""
+def knowledge_graph(edges: DataFrame, entities: DataFrame, acl: DataFrame, carry: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per user: entities that accessible records mention, and live relations between them that such records assert,
+    with all columns or those to carry (as visible_edges())."""
     mentions = edges.where("label = 'mentions'").select(F.col("src").alias("record_id"), F.col("dst").alias("id"))
     seen = mentions.join(acl.select("user_id", "record_id"), "record_id").select("user_id", "id").distinct()
     own = seen.join(entities, "id").select("user_id", "id", "label", F.coalesce("type", F.lit("CONCEPT")).alias("type"))
     live = edges.where(~F.col("label").isin(*STRUCTURAL) & F.col("expired_at").isNull())
     ends = seen.select("user_id", F.col("id").alias("src")), seen.select("user_id", F.col("id").alias("dst"))
-    between = visible_edges(live, acl).join(ends[0], ["user_id", "src"], "left_semi").join(ends[1], ["user_id", "dst"], "left_semi")
+    between = visible_edges(live, acl, carry).join(ends[0], ["user_id", "src"], "left_semi").join(ends[1], ["user_id", "dst"], "left_semi")
     return own, between
 
 

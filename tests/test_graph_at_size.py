@@ -30,3 +30,20 @@ def test_related_records_pair_only_what_a_user_may_read(spark):
                 n[x] = n.get(x, 0) + 1
         want |= {(q, x, c, i + 1) for i, (x, c) in enumerate(sorted(n.items(), key=lambda z: (-z[1], z[0]))[:5])}
     assert {tuple(x) for x in got.collect()} == want
+
+
+def test_relations_carry_what_is_wanted_without_a_second_join_of_edges(spark):
+    r = random.Random(5)
+    records = [f"r{i}" for i in range(40)]
+    rows = [(a, f"e{r.randrange(8)}", "mentions", 1.0, None, [a]) for a in records for _ in range(3)]
+    said = {(f"e{r.randrange(8)}", f"e{r.randrange(8)}", label) for label in ("knows", "likes") for _ in range(20)}
+    rows += [(*k, float(r.randrange(5)) if r.random() < 0.8 else None, 7 if r.random() < 0.2 else None, r.sample(records, r.randrange(4))) for k in sorted(said)]
+    edges = spark.createDataFrame(rows, EDGE)
+    ents = spark.createDataFrame([(f"e{i}", f"E{i}", None) for i in range(8)], "id string, label string, type string")
+    acl = spark.createDataFrame([(f"u{r.randrange(3)}", a) for a in records for _ in range(2)], "user_id string, record_id string").distinct()
+    want = graph.knowledge_graph(edges, ents, acl)[1].select("user_id", "src", "dst", "label", "weight")
+    got = graph.knowledge_graph(edges, ents, acl, carry=("weight",))[1].select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count()
+    assert plan(got).count("Join") < plan(want).count("Join")
+    bare = graph.knowledge_graph(edges, ents, acl, carry=())[1]
+    assert bare.columns == ["user_id", "dst", "src", "label"] and bare.count() == got.count()
